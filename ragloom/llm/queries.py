@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ragloom.llm import decontaminate, language_id, near_dedup, piece_codec, secret_scan, token_counts
+from ragloom.llm import decontaminate, language_id, near_dedup, piece_codec, secret_scan, substring_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = substring_dedup.remove_duplicate_passages(documents(spark, sf_dir))
+    return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(documents(spark, sf_dir))
 
@@ -45,7 +51,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op8_token_counts, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op8_token_counts, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
