@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontaminate, language_id, near_dedup, piece_codec, secret_scan, substring_dedup, token_counts
+from ragloom.llm import decontaminate, fingerprints, html_text, language_id, near_dedup, piece_codec, secret_scan, substring_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,6 +41,10 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), settings=near_dedup.Settings(width=2))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_successor(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -50,8 +54,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op8_token_counts, op9_decontaminate)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op7_fingerprints, op8_token_counts, op9_decontaminate, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
