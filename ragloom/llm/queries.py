@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontaminate, fingerprints, html_text, language_id, near_dedup, piece_codec, secret_scan, substring_dedup, token_counts
+from ragloom.llm import decontaminate, fingerprints, html_text, language_id, near_dedup, piece_codec, secret_scan, substring_dedup, token_counts, warc_revisits
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_revisits.resolve(warc_revisits.captures_of_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.withColumn("headers", shown)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substring_dedup.remove_duplicate_passages(documents(spark, sf_dir))
     return parsed.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -60,8 +66,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op7_fingerprints, op8_token_counts, op9_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op7_fingerprints, op8_token_counts, op9_decontaminate, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.oracle()}
+    return {"op1_warc_revisits": warc_revisits.oracle(), "op9_decontaminate": decontaminate.oracle()}
