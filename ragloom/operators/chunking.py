@@ -35,16 +35,15 @@ def sliding_windows(segments: DataFrame, keys: list[str], order: str, size: int
     """
     step = max(1, size - overlap)
     own = Window.partitionBy(*keys)
-    placed = segments.select(*keys, order, text, (F.row_number().over(own.orderBy(order)) - 1).alias("at"), F.count("*").over(own).alias("n"))
-    last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step)).cast("int")
-    low = F.greatest(F.lit(0), F.ceil((F.col("at") - size + 1) / step)).cast("int")
-    high = F.least(last, F.floor(F.col("at") / step)).cast("int")
+    placed = segments.select(*keys, F.col(text).alias("__text"), (F.row_number().over(own.orderBy(order)) - 1).alias("__at"), F.count("*").over(own).alias("__n"))
+    last = F.greatest(F.lit(0), F.ceil((F.col("__n") - size) / step)).cast("int")
+    low = F.greatest(F.lit(0), F.ceil((F.col("__at") - size + 1) / step)).cast("int")
+    high = F.least(last, F.floor(F.col("__at") / step)).cast("int")
     dealt = placed.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("window_index"))
     chunks = dealt.groupBy(*keys, "window_index").agg(
-        F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n_segments"),
-        F.array_join(F.transform(ordered([text], "at"), lambda s: F.coalesce(s[text], F.lit(""))), " ").alias("text"))
-    prev = F.when(F.col("window_index") == 0, 0).otherwise(overlap)
-    marked = chunks.withColumn("overlap_prev", prev)
+        F.min("__at").alias("first"), F.max("__at").alias("last"), F.count("*").alias("n_segments"),
+        F.array_join(F.transform(ordered(["__text"], "__at"), lambda s: F.coalesce(s["__text"], F.lit(""))), " ").alias("text"))
+    marked = chunks.withColumn("overlap_prev", F.when(F.col("window_index") == 0, 0).otherwise(overlap))
     following = F.lead("overlap_prev").over(own.orderBy("window_index"))
     return marked.withColumn("overlap_next", F.coalesce(following, F.lit(0)))
 
@@ -62,8 +61,8 @@ def concept_blocks(segments: DataFrame, keys: list[str], order: str, topics: str
     scored = F.transform(F.coalesce(F.col(topics), F.array().cast("array<string>")), lambda t, i: F.struct(named(t).alias("n"), (-i).alias("at"), t.alias("topic")))
     best = F.array_max(scored)
     leading = F.when(F.size(scored) == 0, F.lit(None)).when(best["n"] > 0, best["topic"])
-    seen = segments.withColumn("ahead", ahead).withColumn("leading", leading).withColumn("at", F.row_number().over(own) - 1)
-    packed = seen.groupBy(*keys).agg(ordered(["leading", text], "at").alias("rows"), F.max(F.size(F.coalesce(F.col(topics), F.array().cast("array<string>")))).alias("n_topics"))
+    seen = segments.withColumn("ahead", ahead).withColumn("leading", leading).withColumn("__place", F.row_number().over(own) - 1)
+    packed = seen.groupBy(*keys).agg(ordered(["leading", text], "__place").alias("rows"), F.max(F.size(F.coalesce(F.col(topics), F.array().cast("array<string>")))).alias("n_topics"))
     start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("count"), F.lit(None).cast("string").alias("topic"), F.array().cast("array<int>").alias("blocks"))
 
     def fold(state: Column, row: Column) -> Column:
@@ -76,7 +75,7 @@ def concept_blocks(segments: DataFrame, keys: list[str], order: str, topics: str
     blocks = F.aggregate("rows", start, fold, lambda s: s["blocks"])
     flat = packed.withColumn("blocks", blocks).select(*keys, "blocks", F.posexplode("rows").alias("i", "row")).select(*keys, F.get("blocks", F.col("i")).alias("block"), "row")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda s: F.coalesce(s[text], F.lit(""))), " ")
-    return flat.groupBy(*keys, "block").agg(F.min("row.at").alias("first"), F.max("row.at").alias("last"), F.count("*").alias("n_segments"), F.mode("row.leading", True).alias("topic"), joined.alias("text"))
+    return flat.groupBy(*keys, "block").agg(F.min("row.__place").alias("first"), F.max("row.__place").alias("last"), F.count("*").alias("n_segments"), F.mode("row.leading", True).alias("topic"), joined.alias("text"))
 
 
 def lecture_summary(lectures: DataFrame, summary: str = "summary", topics: str = "topics", terms: str = "key_terms") -> DataFrame:

@@ -28,12 +28,19 @@ def upsert(spark: SparkSession, table: str, new: DataFrame, keys: tuple[str, ...
     touched = new.select("course_id", "namespace").distinct()
     existing = spark.table(table).join(F.broadcast(touched), ["course_id", "namespace"], "left_semi")
     merged = latest(existing, new, list(keys), version).select(spark.table(table).columns)
-    from pyspark import StorageLevel
-
-    kept = merged.persist(StorageLevel.DISK_ONLY)  # read before its own partitions are overwritten
-    kept.count()
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
-    kept.unpersist()
+    if spark.sparkContext.getCheckpointDir() is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-shared-"))
+    # The merged rows are kept in the shared checkpoint folder before their own partitions are overwritten.
+    kept = merged.checkpoint()
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        kept.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(name, before)
 
 
 def shaped(chunks: DataFrame) -> DataFrame:
