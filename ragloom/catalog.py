@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.functions import display
 from ragloom.functions import text as tx
-from ragloom.operators import cache, chunking, keywords, metrics, ranking, relational, vectors
+from ragloom.operators import cache, chunking, keywords, metrics, ocr, ranking, relational, vectors
 from ragloom.plans import planner
 from ragloom.sources import readers, writers
 from ragloom.streaming import rate_limit
@@ -545,6 +546,43 @@ def s12_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.when(ext == "html", ext).otherwise("").alias("ext"))
 
 
+# --- shown chunks and recognised pages ---------------------------------------------------------
+
+@query("""SELECT doc_id, source || ' · pp. ' || (doc_id % 9 + 1) || ' · § ' || lang AS citation, trim(concat_ws(' ', nullif(text, ''), nullif(lang, ''))) AS search_text, substr(coalesce(text, ''), 1, 320) AS preview FROM documents""")
+def t28_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("documents").alias("source"), F.col("source").alias("source_file"), F.col("text").alias("raw_text"), (F.col("doc_id") % 9 + 1).cast("string").alias("page_range"), F.col("lang").alias("section_title"))
+    shown = display.retrieved(docs)
+    return shown.select("doc_id", "citation", F.trim(display.search_text()).alias("search_text"), F.substring("display_text", 1, 320).alias("preview"))
+
+
+@query()
+def t22_code_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", ocr.looks_like_code(text).alias("code"), ocr.code_language(text).alias("language"))
+
+
+@query("""SELECT event_id, CASE WHEN b < 70 AND c > 40 THEN 'low_light' WHEN b > 200 AND c < 35 AND blur > 400 THEN 'clean_scan' WHEN noise = 'high' AND c < 50 THEN 'noisy_print' WHEN watermark THEN 'watermarked'
+WHEN b < 130 AND blur < 80 THEN 'photo' WHEN c < 30 AND b > 90 AND b < 180 THEN 'newspaper' ELSE 'mixed' END AS image_type FROM (
+SELECT event_id, event_id % 256 AS b, user_id % 70 AS c, event_id % 600 AS blur, CASE WHEN event_type = 'error' THEN 'high' ELSE 'low' END AS noise, event_id % 17 = 0 AS watermark FROM events)""")
+def i1_page_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 256).alias("brightness"), (F.col("user_id") % 70).alias("contrast"), (F.col("event_id") % 600).alias("blur"), F.when(F.col("event_type") == "error", "high").otherwise("low").alias("noise"), (F.col("event_id") % 17 == 0).alias("watermark"))
+    return ocr.page_decisions(seen).select("event_id", "image_type")
+
+
+@query("""WITH kept AS (SELECT user_id, event_id // 10 AS block, string_agg(props, ' ' ORDER BY event_id) AS text, avg(value) AS conf FROM events GROUP BY ALL HAVING avg(value) >= 45)
+SELECT user_id, count(*) AS n_blocks, round(avg(conf), 2) AS confidence FROM kept GROUP BY user_id""")
+def c31_ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 10).alias("block_num"), F.col("event_id").alias("word_num"), F.col("props").alias("text"), F.col("value").alias("conf"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+    return ocr.blocks(words, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n_blocks"), F.round(F.avg("confidence"), 2).alias("confidence"))
+
+
+@query("""SELECT CAST(1 AS DOUBLE) AS adaptation FROM (SELECT count(*) AS n FROM benchmark) WHERE n > 0""")
+def m29_mode_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modes = F.explode(F.array(*map(F.lit, ranking.MODE_WEIGHTS))).alias("mode")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("what is it").alias("query"), modes)
+    return metrics.mode_adaptation(metrics.source_weights(planner.plan(asked)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -188,3 +188,45 @@ def chunk_report(df: DataFrame, source: str) -> DataFrame:
     """Size statistics of a source's chunks with the source's own bounds, in one row."""
     least, most = CHUNK_WORDS[source]
     return size_stats(df.withColumn("source", F.lit(source)), ["source"], "text", least, most)
+
+
+def source_weights(plans: DataFrame) -> DataFrame:
+    """The mean weight of each mode and source."""
+    return plans.groupBy("mode", "source").agg(F.avg("weight").alias("weight"))
+
+
+def mode_adaptation(weights: DataFrame) -> DataFrame:
+    """One row: of three expected differences between modes' source weights the share that holds."""
+    w = lambda mode, source: F.coalesce(F.max(F.when((F.col("mode") == mode) & (F.col("source") == source), F.col("weight"))), F.lit(0.0))
+    checks = [w("quiz", "qna") - w("ask", "qna") >= 0.3, w("summarize", "documents") - w("quiz", "documents") >= 0.2, w("ask", "youtube") - w("quiz", "youtube") >= 0.1]
+    return weights.agg(F.round(sum((c.cast("int") for c in checks), F.lit(0)) / len(checks), 6).alias("adaptation"))
+
+
+def rates(df: DataFrame, keys: list[str], tests: dict[str, Column]) -> DataFrame:
+    """The share of rows for which each test holds; null counts as no."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(F.coalesce(t, F.lit(False)).cast("double")).alias(name) for name, t in tests.items()])
+
+
+def source_rates(df: DataFrame, source: str, keys: list[str] | None = None) -> DataFrame:
+    """The rates that a source's chunks are judged by."""
+    c = F.col
+    tests = {
+        "qna": lambda: {"qa_rate": c("chunk_type").isin("single_qa", "multi_qa"), "answers_rate": F.size("answers") > 0, "year_rate": c("year_hint") > 0, "marks_rate": c("marks_hint") > 0},
+        "audio": lambda: {"low_confidence_rate": c("avg_confidence") < 0.7, "concept_rate": c("strategy") == "concept_block", "unclear_rate": c("has_unclear_segments")},
+        "documents": lambda: {"table_rate": c("has_table"), "image_rate": c("has_image"), "list_rate": c("has_list")},
+        "image": lambda: {"low_confidence_rate": c("ocr_confidence") < 80, "code_rate": c("has_code"), "formula_rate": c("has_formula"), "linked_rate": c("prev_chunk_id").isNotNull() | c("next_chunk_id").isNotNull()},
+        "handwritten": lambda: {"flash_rate": F.lower("model_used").contains("flash"), "pro_rate": F.lower("model_used").contains("pro"), "good_ink_rate": c("ink_quality") == "good", "equation_rate": c("has_equations")},
+        "youtube": lambda: {"chapter_rate": (c("chapter_title") != "") & (c("chapter_title") != "Unknown"), "deep_link_rate": c("deep_link") != "", "manual_rate": ~c("is_generated_transcript")},
+    }
+    return rates(df, keys or [], tests[source]())
+
+
+def temporal_coverage(df: DataFrame, keys: list[str], end: str, duration: str) -> DataFrame:
+    """How far the last chunk reaches into the recording, 1 at most."""
+    return df.groupBy(*keys).agg(F.least(F.coalesce(F.try_divide(F.max(end), F.max(duration)), F.lit(0.0)), F.lit(1.0)).alias("coverage"))
+
+
+def text_richness(text: Column) -> Column:
+    """Distinct words over words, and 0.1 more, 1 at most."""
+    words = tx.words(F.lower(text))
+    return F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.size(F.array_distinct(words)) / F.size(words) + 0.1, F.lit(1.0)))

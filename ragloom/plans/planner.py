@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ragloom.operators import ranking as rk
 from ragloom.operators.vectors import dense_top_k
+from ragloom.sources.writers import staged
 
 # Sizes of dense lists (from, to), who gets a BM25 list and diversity selection, and what categories change.
 DENSE_K = {"qna": (4, 8), "image": (3, 6), "audio": (6, 12), "youtube": (5, 8), "documents": (5, 9), "handwritten": (3, 6)}
@@ -76,13 +77,14 @@ def retrieve(queries: DataFrame, plans: DataFrame, chunks: DataFrame, top_k: int
     budget = plans.withColumn("fetch_k", rk.fetch_size(F.col("dense_k"), F.col("bm25_k")))
     keys = ["query_id", "source"]
     dense = dense_top_k(queries, chunks, rk.MOST_CANDIDATES, by=["source"])
-    fetched = dense.join(budget, keys).where(F.col("rank") <= F.col("fetch_k")).join(chunks.drop("embedding"), ["source", "chunk_id"])
+    # A bounded number of candidates a query and source; they are read several times from here on.
+    fetched = staged(dense.join(budget, keys).where(F.col("rank") <= F.col("fetch_k")).join(chunks.drop("embedding"), ["source", "chunk_id"]))
     kept = rk.diverse(fetched.where("use_mmr"), keys, F.col("mmr_k"), F.col("lambda"))
     plain = fetched.where("not use_mmr").withColumn("mmr_rank", F.col("rank"))
     pool = kept.unionByName(plain).withColumn("dense_rank", F.col("mmr_rank"))
     sources = F.create_map(*[F.lit(x) for i, s in enumerate(rk.SOURCES) for x in (s, i)])
     given = F.col(signals) if signals else F.array().cast("array<string>")
-    boosted = pool.withColumn("boost", rk.metadata_boost(F.col("source"), given)).withColumn("no", F.element_at(sources, F.col("source")) * 2)
+    boosted = staged(pool).withColumn("boost", rk.metadata_boost(F.col("source"), given)).withColumn("no", F.element_at(sources, F.col("source")) * 2)
     lists = boosted.where(F.col("dense_rank") <= F.col("dense_k")).select(*keys, "chunk_id", F.col("dense_rank").alias("rank"), "weight", "boost", F.col("no").alias("list_no"), F.when(F.col("use_mmr"), "mmr").otherwise("dense").alias("method"))
     words = rk.bm25(boosted.where("bm25_k > 0"), keys, rank="dense_rank").where(F.col("bm25_rank") <= F.col("bm25_k"))
     sparse = words.select(*keys, "chunk_id", F.col("bm25_rank").alias("rank"), (F.col("weight") * rk.lookup(rk.BM25_WEIGHTS, F.col("source"))).alias("weight"), "boost", (F.col("no") + 1).alias("list_no"), F.lit("bm25").alias("method"))

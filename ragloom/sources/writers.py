@@ -10,6 +10,16 @@ TEXT_LIMITS = {"raw_text": 8000, "tables_text": 4000, "image_summaries": 8000, "
 LIST_LIMITS = {"questions": 30, "answers": 30, "concepts": 50, "keywords": 50, "gemini_keywords": 30, "gemini_content_signals": 20}
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared checkpoint folder; where none is set (as in tests), a local one is."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-shared-"))
+    return df.checkpoint()
+
+
 def create_table(spark: SparkSession, name: str, ddl: str) -> None:
     """A chunk table parted by course and namespace, unless it is there.  ``ddl`` must name both columns."""
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet PARTITIONED BY (course_id, namespace)")
@@ -28,12 +38,7 @@ def upsert(spark: SparkSession, table: str, new: DataFrame, keys: tuple[str, ...
     touched = new.select("course_id", "namespace").distinct()
     existing = spark.table(table).join(F.broadcast(touched), ["course_id", "namespace"], "left_semi")
     merged = latest(existing, new, list(keys), version).select(spark.table(table).columns)
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-shared-"))
-    # The merged rows are kept in the shared checkpoint folder before their own partitions are overwritten.
-    kept = merged.checkpoint()
+    kept = staged(merged)  # before its own partitions are overwritten
     name = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(name)
     spark.conf.set(name, "dynamic")

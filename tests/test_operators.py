@@ -329,3 +329,41 @@ def test_streamed_days(spark, tmp_path):
     run = rate_limit.stream_daily(stream).writeStream.format("memory").queryName("days").outputMode("append").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {(r.user_id, int(r.used)) for r in spark.table("days").collect()} == {(u, sum(e[5] for e in EVENTS if e[1] == u)) for u in (1, 2)}
+
+
+def test_display(spark):
+    from ragloom.functions import display
+
+    rows = [("qna", "sheet.pdf", "3", 2021, 5, ["q?"], ["a"]), ("audio", None, None, None, None, None, None), ("other", "f", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "source string, source_file string, page_range string, year_hint int, marks_hint int, questions array<string>, answers array<string>").withColumn("text", F.lit("body")).withColumn("start_label", F.when(F.col("source") == "audio", "01:00")).withColumn("end_label", F.lit("02:00"))
+    found = {r.source: (r.citation, r.display_text) for r in display.retrieved(df).collect()}
+    assert found == {"qna": ("sheet.pdf · pp. 3 · 2021 · [5 marks]", "Q1: q?\nA1: a"), "audio": ("Lecture · @ 01:00–02:00", "[Lecture @ 01:00–02:00]\nbody"), "other": ("f", "body")}
+    assert [r[0] for r in display.wide(df).select(display.search_text()).collect()][0] == "q? a"
+    header = display.context_header(F.lit("c1"), F.lit(None).cast("string"), F.lit("T"), F.lit(""), F.lit(2), F.lit(3))
+    assert df.select(header).first()[0] == "[c1 | T | Pages 2-3]"
+    assert [r.document for r in display.sources(df.withColumn("rank", F.lit(1)), ["source"]).collect()] == ["sheet.pdf", "Course material", "f"]
+
+
+def test_recognised_pages(spark):
+    from ragloom.operators import ocr
+
+    words = [(1, 1, 1, "def", 90.0, 0, 50, 5, 5), (1, 1, 2, "f(x): return x == y;", 80.0, 6, 50, 9, 5), (1, 2, 1, "Title", 96.0, 0, 2, 5, 5), (1, 3, 1, "x", 99.0, 0, 90, 1, 1), (1, 4, 1, "faint words", 20.0, 0, 95, 1, 1), (1, 5, 1, "none", -1.0, 0, 0, 1, 1)]
+    df = spark.createDataFrame(words, "page int, block_num int, word_num int, text string, conf double, x int, y int, w int, h int")
+    found = ocr.blocks(df, ["page"])
+    assert [(r.block_num, r.text, r.w) for r in found.orderBy("reading_order").collect()] == [(2, "Title", 5), (1, "def f(x): return x == y;", 15)]
+    page = ocr.pages(found, ["page"]).first()
+    assert page.has_code and page.text.startswith("Title\n\n[CODE:") and page.warnings == []
+    cheap = spark.createDataFrame([(1, "a", 0.9), (2, "b", 0.3), (3, None, None), (4, "d", 0.1)], "page int, text string, confidence double")
+    better = spark.createDataFrame([(2, "B", 0.8), (3, "C", 0.7)], "page int, text string, confidence double")
+    assert sorted(r.page for r in ocr.to_escalate(cheap).collect()) == [2, 3, 4]
+    assert sorted((r.page, r.text, r.model) for r in ocr.escalated(cheap, better, ["page"]).collect()) == [(1, "a", "flash"), (2, "B", "pro"), (3, "C", "pro"), (4, "d", "flash")]
+    assert ocr.full_text(cheap.withColumn("doc", F.lit(1)), "doc").first().text == "[Page 1]\na\n\n[Page 2]\nb\n\n[Page 4]\nd"
+    kinds = spark.createDataFrame([("Head", 1), ("- item", 50), ("Figure 2", 95), ("a = b < c", 50), ("text", 50), ("", 50)], "t string, y int")
+    assert [r[0] for r in kinds.select(ocr.block_type(F.col("t"), F.col("y"), F.lit(100))).collect()] == ["heading", "list_item", "caption", "formula", "paragraph", "unknown"]
+
+
+def test_source_rates(spark):
+    df = spark.createDataFrame([("Unknown", "l", True), ("One", "", None)], "chapter_title string, deep_link string, is_generated_transcript boolean")
+    r = metrics.source_rates(df, "youtube").first()
+    assert (r.n, r.chapter_rate, r.deep_link_rate, r.manual_rate) == (2, 0.5, 0.5, 0.0)
+    assert metrics.temporal_coverage(spark.createDataFrame([(1, 50.0, 100.0)], "k int, e double, d double"), ["k"], "e", "d").first().coverage == 0.5
