@@ -9,8 +9,7 @@
    chosen miss probability; what is left is verified exactly, on the full sets.
 4. Verified links join classes to components.  Buckets whose classes are all in one
    component are done, as no further link could change it.  In the others every pair
-   across components is compared in blocks of bounded size, and the survivors are
-   verified as before.
+   across components is compared and verified in blocks of bounded size.
 
 So no pair within a group of copies is listed for its own sake, and none that could
 join two components is left out.
@@ -38,7 +37,7 @@ from ragloom.llm.support import mix, ragged, run_hashes, steps, utf8, words, wri
 #: Ids up to this number (8 bytes each) are sent to all tasks to pick rows of a large table; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 #: Classes of one bucket that a task compares with one another at once.
-BLOCK = 1024
+BLOCK = 512
 
 
 @dataclass(frozen=True)
@@ -154,9 +153,8 @@ def screened(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
     return joined.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b) those that are links by their full sets.  ``docs``: id and text of every document."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def full_sets(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """(id, set) of the documents whose ids are in ``nodes`` (id, without repeats).  ``docs``: id and text of every document."""
     if nodes.count() <= MOST_SENT:
         nodes = F.broadcast(nodes)
     base = docs.join(nodes, "id", "left_semi").select("id", "text")
@@ -169,7 +167,12 @@ def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([batch.column(0), ragged(values, ends, pa.int64())], names=schema.names)
 
-    sets = written(base.mapInArrow(run, schema), "sets")
+    return written(base.mapInArrow(run, schema), "sets")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Of pairs (a, b) those that are links by their full sets."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, s)
     joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - common
@@ -209,8 +212,8 @@ class Groups:
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def add(self, pairs: DataFrame) -> None:
-        found = written(verified(pairs, self.docs, self.settings), "links")
+    def add(self, links: DataFrame) -> None:
+        found = written(links, "links")
         if not found.isEmpty():
             self.edges = found if self.edges is None else self.edges.union(found)
             self.labels = components(self.edges)
@@ -221,52 +224,84 @@ class Groups:
         if survivors.isEmpty():
             return
         first = survivors.groupBy("a").agg(F.max_by("b", "agree").alias("b"))
-        self.add(written(first, "pairs"))
+        self.add(verified(written(first, "pairs"), self.docs, self.settings))
         rest = relabel(relabel(survivors.join(first, ["a", "b"], "left_anti"), self.labels, "a", "la"), self.labels, "b", "lb")
         rest = written(rest.where("la != lb").select("a", "b").distinct(), "pairs")
         if not rest.isEmpty():
-            self.add(rest)
+            self.add(verified(rest, self.docs, self.settings))
 
 
-def across(members: DataFrame, sigs: DataFrame, labels: DataFrame | None, s: Settings) -> DataFrame:
-    """Survivors among the pairs of classes that share a bucket but no component.
+def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, labels: DataFrame | None, s: Settings) -> DataFrame:
+    """Links (a, b) between classes that share a bucket but no component.
 
-    ``members``: bucket, node and the bucket's size.  The classes outside a bucket's
-    commonest component are compared with all its classes, in blocks of BLOCK by BLOCK.
+    ``members``: bucket, node and the bucket's size.  The classes outside a bucket's commonest
+    component are compared with all its classes, in blocks of BLOCK by BLOCK: by their
+    signatures, and what these don't rule out by the full sets that stand beside them.  A pair is compared in
+    the first band that it shares, and not if links of the block have joined its components.
+    So a task gives no more links than it joins components, however many pairs it holds.
     """
     labelled = relabel(members.where("size > 2"), labels, "node", "label")
     counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    rows = labelled.join(mixed.select("bucket", "major", "n", "n_major"), "bucket").join(sigs.select("node", "sig"), "node")
+    rows = written(labelled.join(mixed.select("bucket", "major", "n", "n_major"), "bucket"), "mixed")
+    sets = full_sets(rows.select(F.col("node").alias("id")).distinct(), docs, s)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     minor_blocks = F.ceil((F.col("n") - F.col("n_major")) / BLOCK).cast("int")
     place = F.xxhash64("node")
-    all_rows = rows.select("bucket", "node", "label", "sig", F.lit(False).alias("minor"), F.pmod(place, blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("j"))
-    minor = rows.where("label != major").select("bucket", "node", "label", "sig", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.pmod(place, minor_blocks).cast("int").alias("j"))
-    dealt = all_rows.union(minor).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").select("bucket", "i", "j", "node", "label", "minor", "sig")
+    all_rows = rows.select("bucket", "node", "label", F.lit(False).alias("minor"), F.pmod(place, blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("j"))
+    minor = rows.where("label != major").select("bucket", "node", "label", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.pmod(place, minor_blocks).cast("int").alias("j"))
+    told = sigs.join(sets.select(F.col("id").alias("node"), "set"), "node").select("node", "bands", "sig", "set")
+    dealt = all_rows.union(minor).join(told, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = dealt.select("bucket", "i", "j", "node", "label", "minor", "bands", "sig", "set")
     kind = members.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("agree", T.LongType())])
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         is_minor = rows.column("minor").to_numpy(zero_copy_only=False).astype(bool)
-        sig, node, label = signatures(rows.column("sig"), s), rows.column("node").to_pylist(), np.unique(rows.column("label").to_pandas().to_numpy(), return_inverse=True)[1]
+        node, (names, label) = rows.column("node").to_pylist(), np.unique(rows.column("label").to_pandas().to_numpy(), return_inverse=True)
+        sig = signatures(rows.column("sig"), s)
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, s.bands)
+        sets = rows.column("set").combine_chunks()
+        ends, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+        band = int(np.flatnonzero(bands[0] == rows.column("bucket")[0].as_py())[0])
+        top = np.arange(len(names))  # of each component the one that links of this block have joined it to
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                x = top[x]
+            return x
+
         left, right = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
-        a, b, agreed = [], [], []
-        for at in range(0, len(left), 64):
-            x, y = np.nonzero(label[left[at : at + 64]][:, None] != label[right][None])
+        links = []
+        for at in range(0, len(left), 32):
+            x, y = np.nonzero(label[left[at : at + 32]][:, None] != label[right][None])
             x, y = left[at + x], right[y]
-            agree, done = np.zeros(len(x), np.int64), 0
+            done = 0
             for seen, need in bounds(s):
-                agree += (sig[x, done:seen] == sig[y, done:seen]).sum(1)
+                agree = (sig[x, done:seen] == sig[y, done:seen]).sum(1) + (agree if done else 0)
                 keep = agree >= need
                 x, y, agree, done = x[keep], y[keep], agree[keep], seen
                 if not len(x):
                     break
-            a += [min(node[i], node[j]) for i, j in zip(x, y)]
-            b += [max(node[i], node[j]) for i, j in zip(x, y)]
-            agreed += agree.tolist()
+            if band and len(x):
+                keep = ~(bands[x, :band] == bands[y, :band]).any(1)
+                x, y, agree = x[keep], y[keep], agree[keep]
+            for k in np.argsort(-agree, kind="stable") if len(x) else ():
+                i, j = int(x[k]), int(y[k])
+                p, q = root(label[i]), root(label[j])
+                if p == q:
+                    continue
+                m, n = int(ends[i + 1] - ends[i]), int(ends[j + 1] - ends[j])
+                if 100 * min(m, n) < s.percent * max(m, n):
+                    continue
+                both = np.concatenate([values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= s.percent * (m + n - common):
+                    top[max(p, q)] = min(p, q)
+                    links.append((min(node[i], node[j]), max(node[i], node[j])))
         arrow = rows.schema.field("node").type
-        return pa.RecordBatch.from_arrays([pa.array(a, arrow), pa.array(b, arrow), pa.array(agreed, pa.int64())], names=["a", "b", "agree"])
+        return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], arrow) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -286,7 +321,7 @@ def across(members: DataFrame, sigs: DataFrame, labels: DataFrame | None, s: Set
         if held:
             yield compare(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return dealt.mapInArrow(run, schema).distinct()
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -303,7 +338,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", setti
     members = written(cells.join(buckets, "bucket"), "members")
     groups = Groups(docs, s)
     groups.settle(screened(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), sigs, s))
-    groups.settle(across(members.select("bucket", "node", "size"), sigs, groups.labels, s))
+    groups.add(across(members.select("bucket", "node", "size"), sigs, docs, groups.labels, s))
 
     placed = rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
     placed = relabel(placed, groups.labels, "node", "component")
