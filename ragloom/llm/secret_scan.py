@@ -38,8 +38,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Letters, digits and marks of both base64 alphabets.
 _B64 = r"[A-Za-z0-9+/_-]"
-#: A run that is long enough to hold the smallest key or signed token.
-_RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-]){_B64}{{24,}}(?:\.{_B64}+\.{_B64}*)?={{0,2}}")
+#: Three parts of a signed token, or a run that is long enough to hold the smallest key.
+_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:{_B64}{{12,}}\.{_B64}+\.{_B64}*|{_B64}{{24,}}={{0,2}})")
 _PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]+)-----((?:\s*[A-Za-z0-9+/=-]+:[^\n]*\n)*[A-Za-z0-9+/=\s]+)-----END \1-----")
 _HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 
@@ -168,13 +168,13 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     found = set()
     for m in _RUN.finditer(text):
         run = m.group()
-        if "." in run:
-            if is_signed_token(run):
-                found.add((m.start(), KINDS.index("jwt"), m.end()))
+        if "." in run and is_signed_token(run):
+            found.add((m.start(), KINDS.index("jwt"), m.end()))
             continue
-        kind = kind_of(unbase64(run))
+        run = run.partition(".")[0]
+        kind = kind_of(unbase64(run)) if len(run) >= 24 else None
         if kind:
-            found.add((m.start(), KINDS.index(kind), m.end()))
+            found.add((m.start(), KINDS.index(kind), m.start() + len(run)))
     for m in _HEX_RUN.finditer(text):
         kind = kind_of(bytes.fromhex(m.group()))
         if kind:

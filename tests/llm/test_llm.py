@@ -212,6 +212,8 @@ def test_secret_scan():
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(key).decode())) + "\n-----END RSA PRIVATE KEY-----"
     openssh = b"openssh-key-v1\x00" + b"".join(len(p).to_bytes(4, "big") + p for p in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + len(wire).to_bytes(4, "big") + wire + bytes(40)
     cases = {"der": [base64.b64encode(key).decode(), key.hex(), pem], "sshkey": [base64.b64encode(wire).decode()], "jwt": [token], "openssh": [base64.b64encode(openssh).decode()]}
+    cases["jwt"].append(base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=") + ".eyJhIjoxfQ.c2ln")
+    assert (4, secret_scan.KINDS.index("jwt"), 4 + len(token)) in secret_scan.scan(f"key={token}.")
     for kind, texts in cases.items():
         for text in texts:
             around = f"é words {text} after"
@@ -281,6 +283,10 @@ def test_html_extraction(spark):
     assert html_text.extract(page) == text.replace("|", "\n\n")
     soup = "<body><div class='menu'><a>Home</a></div><div class='post'><h2>Head</h2><p>" + "Some long text, with marks. " * 20 + "</p><p>Short.</p></div><div>tiny</div></body>"
     assert html_text.extract(soup).split("\n\n")[::2] == ["Head", "Short."]
+    assert html_text.extract("<div class='layout has-sidebar'><p>Kept, all of it.</p><div class='sidebar'>Not this.</div></div>") == "Kept, all of it."
+    assert html_text.extract("<div id='overlay'><p>Only this, under a bad name.</p></div>") == "Only this, under a bad name."
+    wrapped = "<body><article><header><h1>T</h1></header><p>Text one, of two.</p><blockquote><p>Quoted.</p></blockquote><figure><img src=x><figcaption>Figure.</figcaption></figure><section class='related'><a>More</a></section></article><p>Outside.</p></body>"
+    assert html_text.extract(wrapped) == "T\n\nText one, of two.\n\nQuoted.\n\nFigure."
     df = spark.createDataFrame([(1, "u", page, "clash"), (2, None, None, None), (3, "u", "", "x"), (4, "u", "<p>broken <b", "x"), (5, "u", "<script>x", None)], "page_id long, url string, html string, text string")
     found = {r.page_id: (r.text, r.n_chars) for r in html_text.main_text(df).collect()}
     assert found[2] == found[3] == found[5] == ("", 0) and found[1][1] == len(found[1][0])
