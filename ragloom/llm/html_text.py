@@ -47,6 +47,8 @@ OTHER_WORDS = frozenset(
     "footer masthead topbar toolbar cookie cookies consent notice notices alert gdpr popup modal overlay dialog newsletter subscribe signup login search share sharing social "
     "comment comments commentlist reply replies respond discussion disqus related recommended recommendations widget widgets pagination pager skip copyright legal disclaimer".split()
 )
+#: Words that turn such a word around, as in has-sidebar or ad-free.
+TURNED = frozenset("has with no without free".split())
 #: Containers that announce content.
 CONTENT_TAGS = frozenset({"article", "main"})
 #: Blocks that join the content paths beside them.
@@ -63,7 +65,7 @@ CONTENT = 8
 class Element:
     __slots__ = ("tag", "path", "other", "content", "container")
 
-    def __init__(self, tag: str, parent: Element | None, attributes: str):
+    def __init__(self, tag: str, parent: Element | None, attributes: str, by_name: bool = True):
         words: list[str] = []
         role = ""
         if attributes:
@@ -77,7 +79,7 @@ class Element:
         above = parent.path if parent else ""
         self.path = f"{above}/{tag}" + (f".{'.'.join(w for w in words if w)}" if words else "")
         content = parent is not None and parent.content
-        other = tag in OTHER_TAGS or role in OTHER_ROLES or (tag not in ("html", "body", "article", "main") and not OTHER_WORDS.isdisjoint(words)) or bool(attributes and _HIDDEN.search(attributes))
+        other = tag in OTHER_TAGS or role in OTHER_ROLES or (by_name and tag not in ("html", "body", "article", "main") and not OTHER_WORDS.isdisjoint(words) and TURNED.isdisjoint(words)) or bool(attributes and _HIDDEN.search(attributes))
         other = other or tag == "header" and not content
         self.other = other or parent is not None and parent.other
         self.content = content or tag in CONTENT_TAGS or role in ("main", "article")
@@ -85,8 +87,8 @@ class Element:
         self.container = self.path if parent is None or tag not in BESIDE and tag not in LISTS else parent.container
 
 
-def blocks(page: str) -> list[tuple[str, Element]]:
-    """Stretches of text between block tags, with the block element that holds each."""
+def blocks(page: str, by_name: bool = True) -> list[tuple[str, Element]]:
+    """Stretches of text between block tags, with the block element that holds each.  ``by_name``: classes and ids tell other matter."""
     out: list[tuple[str, Element]] = []
     stack = [Element("", None, "")]
     text: list[str] = []
@@ -152,7 +154,7 @@ def blocks(page: str) -> list[tuple[str, Element]]:
                 break
             if stack[k].tag in ("ul", "ol", "dl", "table", "select", "div", "section", "article", "body"):
                 break
-        element = Element(tag, stack[-1], m.group(3))
+        element = Element(tag, stack[-1], m.group(3), by_name)
         if element.other and not stack[-1].other:
             flush()
         if not m.group(3).rstrip().endswith("/"):
@@ -167,7 +169,11 @@ def smoothed(values: list[float]) -> list[float]:
 
 
 def extract(page: str | None) -> str:
-    found = blocks(page or "")
+    """The main text; where names leave nothing (a page wrapped in one container with such a name), they are not heeded."""
+    return selected(blocks(page or "")) or selected(blocks(page or "", by_name=False))
+
+
+def selected(found: list[tuple[str, Element]]) -> str:
     if not found:
         return ""
     sums: dict[str, list[float]] = {}
