@@ -49,14 +49,35 @@ def daily_usage(events: DataFrame) -> DataFrame:
 def bucket_levels(events: DataFrame, capacity: float, rate: float) -> DataFrame:
     """user_id, event_id and ``available``: what a user's bucket holds right before each event is deducted.
 
-    A fold over a user's events in time order: refill up to ``capacity``, then deduct, not under 0.
+    An event refills the bucket up to ``capacity`` and then deducts, not under 0.  Any run of events
+    maps a level x to max(low, min(high, x + shift)), so each day of a user is folded to these three
+    numbers, the days are chained, and each day is then replayed from its own first level: no
+    more than a user's day is ever held together.
     """
-    packed = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(micros(F.col("ts")).alias("us"), "event_id", F.greatest(F.col("tokens").cast("double"), F.lit(0.0)).alias("tokens")))).alias("rows"))
-    level = lambda s, r: F.least(F.lit(float(capacity)), s["level"] + (r["us"] - F.coalesce(s["us"], r["us"])) / 1e6 * rate)
-    start = F.struct(F.lit(float(capacity)).alias("level"), F.lit(None).cast("long").alias("us"), F.array().cast("array<double>").alias("seen"))
-    fold = lambda s, r: F.struct(F.greatest(level(s, r) - r["tokens"], F.lit(0.0)).alias("level"), r["us"].alias("us"), F.array_append(s["seen"], level(s, r)).alias("seen"))
-    seen = F.aggregate("rows", start, fold, lambda s: s["seen"])
-    return packed.withColumn("seen", seen).select("user_id", F.explode(F.arrays_zip("rows", "seen")).alias("z")).select("user_id", F.col("z.rows.event_id").alias("event_id"), F.col("z.seen").alias("available"))
+    full = F.lit(float(capacity))
+    before = F.lag("us").over(Window.partitionBy("user_id").orderBy("us", "event_id"))
+    rows = events.select("user_id", "event_id", micros(F.col("ts")).alias("us"), F.greatest(F.col("tokens").cast("double"), F.lit(0.0)).alias("tokens"))
+    filled = rows.withColumn("refill", F.coalesce((F.col("us") - before) / 1e6 * rate, F.lit(0.0))).withColumn("day", F.floor(F.col("us") / 86_400_000_000))
+    days = filled.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "refill", "tokens"))).alias("rows"))
+
+    def chain(s, r):
+        """The map of a run, and then of one event: refill under a cap, deduct over a floor."""
+        bound = lambda x: F.greatest(F.lit(0.0), F.least(full, x + r["refill"]) - r["tokens"])
+        return F.struct((s["shift"] + r["refill"] - r["tokens"]).alias("shift"), bound(s["low"]).alias("low"), bound(s["high"]).alias("high"))
+
+    same = F.struct(F.lit(0.0).alias("shift"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    folded = days.select("user_id", "day", F.aggregate("rows", same, chain).alias("map"))
+    after = lambda x, m: F.greatest(m["low"], F.least(m["high"], x + m["shift"]))
+    start = F.struct(full.alias("level"), F.array().cast("array<double>").alias("seen"))
+    seen = F.aggregate("days", start, lambda s, d: F.struct(after(s["level"], d["map"]).alias("level"), F.array_append(s["seen"], s["level"]).alias("seen")), lambda s: s["seen"])
+    chained = folded.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("day", "map"))).alias("days")).withColumn("seen", seen)
+    first = chained.select("user_id", F.explode(F.arrays_zip("days", "seen")).alias("z")).select("user_id", F.col("z.days.day").alias("day"), F.col("z.seen").alias("level"))
+    level = lambda s, r: F.least(full, s["level"] + r["refill"])
+    replay = F.aggregate(
+        "rows", F.struct(F.col("level").alias("level"), F.array().cast("array<double>").alias("seen")),
+        lambda s, r: F.struct(F.greatest(level(s, r) - r["tokens"], F.lit(0.0)).alias("level"), F.array_append(s["seen"], level(s, r)).alias("seen")), lambda s: s["seen"])
+    played = days.join(first, ["user_id", "day"]).withColumn("seen", replay)
+    return played.select("user_id", F.explode(F.arrays_zip("rows", "seen")).alias("z")).select("user_id", F.col("z.rows.event_id").alias("event_id"), F.col("z.seen").alias("available"))
 
 
 def decisions(events: DataFrame) -> DataFrame:

@@ -309,6 +309,23 @@ def test_budget_decisions(spark):
     assert found == limiter_by_hand()
 
 
+def test_bucket_over_days(spark):
+    import random
+
+    draw = random.Random(9)
+    at, rows = 0, []
+    for i in range(200):
+        at += draw.choice([1, 10, 3600, 40_000])
+        rows.append((i, 1 + i % 2, at, draw.randint(0, 90)))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, at long, tokens long").withColumn("ts", F.timestamp_seconds("at"))
+    found = {r.event_id: round(r.available, 6) for r in rate_limit.bucket_levels(df, 100, 0.01).collect()}
+    level, last, expected = {}, {}, {}
+    for i, user, at, tokens in rows:
+        x = min(100.0, level.get(user, 100.0) + (at - last.get(user, at)) * 0.01)
+        expected[i], level[user], last[user] = round(x, 6), max(0.0, x - tokens), at
+    assert found == expected
+
+
 def test_streamed_decisions_equal_the_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = events(spark)
