@@ -377,3 +377,90 @@ def caption_chunks(snippets: DataFrame, video: str, start: str = "start", most:
 
     columns = [text, *([chapter] if chapter else [])]
     return per_document(snippets, video, start, columns, pack, "text string, chapter string, start_sec double, end_sec double")
+
+
+def timed_captions(snippets: DataFrame, video: str, start: str = "start", most: int = 300, overlap: int = 40, least: int = 80, text: str = "text", lossless: bool = False) -> DataFrame:
+    """Captions without chapters: chunks of about ``most`` words, cut at the last sentence end within 80 characters of the target.
+
+    The next chunk begins with the last ``overlap`` words read, so words between the cut and these are in no chunk;
+    with ``lossless`` it begins right behind the cut instead.
+    """
+
+    def pack(pdf: pd.DataFrame) -> list[dict]:
+        out: list[dict] = []
+        held: list[str] = []
+        begin = last = None
+        for t, s in zip(pdf[text], pdf[start]):
+            begin, last = (s if begin is None else begin), s
+            held = held + (t or "").split()
+            if len(held) < most:
+                continue
+            whole = " ".join(held)
+            near = int(len(whole) * most / len(held))
+            low = max(0, near - 80)
+            ends = [m.end() for m in re.finditer(r"[.!?]\s", whole[low : near + 80])]
+            cut = whole[: low + ends[-1]].strip() if ends else whole
+            out.append({"text": cut, "start_sec": float(begin), "end_sec": float(last)})
+            held = held[len(cut.split()) :] if lossless else held[-overlap:]
+            begin = None if not held else s
+        if held and (len(held) >= least or not out and lossless):
+            out.append({"text": " ".join(held), "start_sec": float(begin), "end_sec": float(last)})
+        elif held and out:
+            out[-1]["text"] += " " + " ".join(held)
+        return out
+
+    return per_document(snippets, video, start, [text], pack, "text string, start_sec double, end_sec double")
+
+
+def paragraphs(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, at and text of each page's paragraphs: parted by blank lines, or, where there are none, lines merged up to an end mark or 90 words."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), strip), lambda p: p != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def merge(s: Column, line: Column) -> Column:
+        now = F.when(s["now"] == "", line).otherwise(F.concat(s["now"], F.lit(" "), line))
+        ends = line.rlike(r"[.!?;:]$") | (tx.n_words(now) >= 90)
+        return F.struct(F.when(ends, F.array_append(s["done"], now)).otherwise(s["done"]).alias("done"), F.when(ends, "").otherwise(now).alias("now"))
+
+    merged = F.aggregate(lines, start, merge, lambda s: F.when(s["now"] != "", F.array_append(s["done"], s["now"])).otherwise(s["done"]))
+    return pages.select(*keys, F.posexplode(F.when(F.size(parts) > 1, parts).otherwise(merged)).alias("at", "text"))
+
+
+def markdown_elements(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, at, kind and content of a page's blank-line blocks, by how they begin."""
+    blocks = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n{2,}"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    rows = pages.select(*keys, F.posexplode(blocks).alias("at", "block"))
+    b = F.col("block")
+    headed = b.rlike(r"^#{1,3}\s")
+    kind = F.when(headed & b.startswith("##"), "Heading").when(headed, "Title").when(b.rlike(r"^\$\$|^\\\["), "Equation").when(b.startswith("|"), "Table").when(b.rlike(r"(?i)^\[DIAGRAM:"), "Diagram").otherwise("Paragraph")
+    return rows.select(*keys, "at", kind.alias("kind"), F.when(headed, F.trim(F.regexp_replace(b, r"^#+\s*", ""))).otherwise(b).alias("content"))
+
+
+def audio_chunks(segments: DataFrame, keys: list[str], chunk: str, order: str, topics: str = "topics") -> DataFrame:
+    """What describes a chunk of segments: text, words, times, confidences, doubt, and the topics that it names.
+
+    Needs text, start, end, confidence, is_unclear and the lecture's topics.  Where no topic is named all are; the
+    label is the topic named most often, the first of equals.
+    """
+    found = segments.groupBy(*keys, chunk).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda s: F.coalesce(s["text"], F.lit(""))), " ").alias("text"), F.min("start").alias("start_seconds"), F.max("end").alias("end_seconds"),
+        F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.round(F.min("confidence"), 4).alias("min_confidence"), F.coalesce(F.max("is_unclear"), F.lit(False)).alias("has_unclear_segments"),
+        F.array_sort(F.collect_list(order)).alias("segment_indices"), F.first(topics, ignorenulls=True).alias("topics"))
+    low, all_topics = F.lower("text"), F.coalesce("topics", F.array().cast("array<string>"))
+    named = lambda t: (F.length(low) - F.length(F.replace(low, F.lower(t), F.lit("")))) / F.greatest(F.length(t), F.lit(1))
+    active = F.filter(all_topics, lambda t: (t != "") & F.contains(low, F.lower(t)))
+    best = F.array_max(F.transform(all_topics, lambda t, i: F.struct(named(t).alias("n"), (-i).alias("at"), t.alias("topic"))))
+    return found.select(
+        *keys, chunk, "text", tx.n_words(F.col("text")).alias("word_count"), "start_seconds", "end_seconds", F.greatest(F.col("end_seconds") - F.col("start_seconds"), F.lit(0.0)).alias("duration_seconds"),
+        "avg_confidence", "min_confidence", "has_unclear_segments", "segment_indices", F.when(F.size(active) > 0, active).otherwise(all_topics).alias("concepts"), best["topic"].alias("concept_label"))
+
+
+def window_metadata(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Counts, density (distinct alphabetic words over words), mean positive confidence, warnings (20) and stages (30) of each window's units."""
+    flat = lambda name, n: F.slice(F.array_distinct(F.flatten(F.collect_list(name))), 1, n)
+    found = units.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text))), lambda s: s[text]), "\n\n").alias("text"), F.round(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 2).alias("confidence"), flat("warnings", 20).alias("warnings"), flat("stages", 30).alias("stages"), F.array_sort(F.collect_set("page")).alias("page_numbers"))
+    words = tx.words(F.lower("text"))
+    alphabetic = F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")))
+    return found.withColumns({"char_count": F.length("text"), "word_count": F.size(words), "line_count": F.size(F.split("text", "\n")), "token_count": tx.token_estimate(F.col("text")), "semantic_density": F.round(F.size(alphabetic) / F.greatest(F.size(words), F.lit(1)), 3)})

@@ -123,3 +123,21 @@ def page_decisions(diagnostics: DataFrame) -> DataFrame:
     binariser = F.when(t == "newspaper", "sauvola").when((t == "clean_scan") & (c > 60), "otsu").when(t.isin("photo", "low_light"), "adaptive_gauss")
     psm = F.when(t == "form", 6).when((noise == "high") | (blur < 50), 11).when(t.isin("clean_scan", "newspaper"), 4).otherwise(3)
     return typed.withColumn("binariser", binariser).withColumn("psm", psm)
+
+
+# Letters that recognition confuses, and then fixes of code and of prose, in their order.
+CHARACTERS = [("’", "'"), ("“", '"'), ("”", '"'), ("—", "-"), ("–", "-"), ("×", "*"), ("÷", "/"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("•", "-")]
+CODE_FIXES = [
+    (r"(?<=[a-zA-Z0-9_])\|(?=[a-zA-Z0-9_])", "l"), (r"(?<!\|)\|(?!\|)", "l"), (r"\bO(?=[0-9])", "0"), (r"(?<=[0-9])O\b", "0"), (r"\bl(?=[0-9])", "1"), (r"(?<=[0-9])l\b", "1"),
+    (r"rn\b", "m"), (r"\bI(?=[a-z])", "l"), (r"(?<=\s)_(?=\s)", "-"), (r"``", '"'), (r"''", '"'),
+]
+PROSE_FIXES = [(r"\b([A-Z])\s(?=[a-z])", "$1"), (r"\s{2,}", " "), (r"(?<=[a-z])-\s*\n\s*(?=[a-z])", ""), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")]
+
+
+def clean_text(text: Column, code: bool = False) -> Column:
+    """Recognised text with the usual confusions mended; code keeps its indentation, and loses blanks at line ends and blank lines at its ends."""
+    for bad, good in CHARACTERS:
+        text = F.replace(text, F.lit(bad), F.lit(good))
+    for pattern, new in CODE_FIXES if code else PROSE_FIXES:
+        text = F.regexp_replace(text, pattern, new)
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\z", "") if code else text

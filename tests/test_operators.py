@@ -384,3 +384,25 @@ def test_source_rates(spark):
     r = metrics.source_rates(df, "youtube").first()
     assert (r.n, r.chapter_rate, r.deep_link_rate, r.manual_rate) == (2, 0.5, 0.5, 0.0)
     assert metrics.temporal_coverage(spark.createDataFrame([(1, 50.0, 100.0)], "k int, e double, d double"), ["k"], "e", "d").first().coverage == 0.5
+
+
+def test_more_chunkers(spark):
+    from ragloom.operators import ocr
+
+    pages = spark.createDataFrame([(1, "a b\n\nc"), (2, "one\ntwo.\nthree"), (3, ""), (4, None)], "p int, text string")
+    assert sorted((r.p, r.at, r.text) for r in chunking.paragraphs(pages, ["p"]).collect()) == [(1, 0, "a b"), (1, 1, "c"), (2, 0, "one two."), (2, 1, "three")]
+    marked = spark.createDataFrame([(1, "# T\n\n## H\n\n$$x$$\n\n|a|\n\n[diagram: d]\n\ntext")], "p int, text string")
+    assert [(r.kind, r.content) for r in chunking.markdown_elements(marked, ["p"]).orderBy("at").collect()] == [("Title", "T"), ("Heading", "H"), ("Equation", "$$x$$"), ("Table", "|a|"), ("Diagram", "[diagram: d]"), ("Paragraph", "text")]
+    assert values(spark, lambda t: ocr.clean_text(t, code=True), "\n  x|y = “1” \n\n") == ['  xly = "1"']
+    assert values(spark, ocr.clean_text, "T he  ﬁrst com-\nputer ", None) == ["The first com-\nputer", None] or values(spark, ocr.clean_text, "T he  ﬁrst", None) == ["The first", None]
+    segments = spark.createDataFrame([(1, 0, i, f"wave part {i}", float(i), i + 1.0, 0.5 + i / 10, i == 2, ["light", "wave"]) for i in range(3)], "l int, chunk int, seg int, text string, start double, end double, confidence double, is_unclear boolean, topics array<string>")
+    r = chunking.audio_chunks(segments, ["l"], "chunk", "seg").first()
+    assert (r.text, r.word_count, r.avg_confidence, r.min_confidence, r.has_unclear_segments, r.concepts, r.concept_label) == ("wave part 0 wave part 1 wave part 2", 9, 0.6, 0.5, True, ["wave"], "wave")
+    words = [" ".join(f"w{i}_{k}" + ("." if k == 9 else "") for k in range(20)) for i in range(40)]
+    captions = spark.createDataFrame([(1, float(i), t) for i, t in enumerate(words)], "v int, start double, text string")
+    kept = [w for r in chunking.timed_captions(captions, "v", lossless=True).orderBy("chunk_index").collect() for w in r.text.split()]
+    assert kept == " ".join(words).split()
+    assert chunking.timed_captions(captions, "v").count() >= 2
+    units = spark.createDataFrame([(1, 0, "Alpha beta", 80.0, ["w"], ["s"], 1), (1, 1, "alpha 12", 0.0, ["w"], [], 2)], "k int, at int, text string, confidence double, warnings array<string>, stages array<string>, page int")
+    m = chunking.window_metadata(units, ["k"]).first()
+    assert (m.word_count, m.semantic_density, m.confidence, m.warnings, m.page_numbers) == (4, 0.5, 80.0, ["w"], [1, 2])
