@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Queries that are sent to every task at once; a larger batch is searched in blocks of this size.
-QUERY_BLOCK = 2_000
+QUERY_BLOCK = 500
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,6 +63,7 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "
             for pdf in batches:
                 if not len(pdf):
                     continue
+                pdf = pdf.sort_values("__id", kind="stable")
                 own = np.stack(pdf["__vector"].to_numpy()).astype(np.float64)
                 if own.shape[1] != matrix.shape[1]:
                     raise ValueError("vectors of different sizes")
@@ -70,11 +71,13 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "
                 groups = pdf.groupby(by, sort=False, dropna=False).indices.values() if by else [np.arange(len(pdf))]
                 for rows in groups:
                     part = scores[:, rows]
-                    # Rounded as the final order is, so that ties at the cut are seen; all of them go on.
-                    least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - 1e-9 if part.shape[1] > k else np.full(len(part), -np.inf)
+                    # What rounding could lift over the cut goes on too; of equal scores the k lowest ids.
+                    least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - 1.1e-6 if part.shape[1] > k else np.full(len(part), -np.inf)
                     q, c = np.nonzero(part >= least[:, None])
-                    picked = pdf.iloc[rows[c]]
-                    yield pd.DataFrame({"__query": [names[i] for i in q], **{b: picked[b].to_numpy() for b in by}, "__id": picked["__id"].to_numpy(), "score": part[q, c]})
+                    found = pd.DataFrame({"q": q, "c": c, "score": part[q, c]})
+                    found = found[found.groupby(["q", "score"], sort=False).cumcount() < k]
+                    picked = pdf.iloc[rows[found["c"].to_numpy()]]
+                    yield pd.DataFrame({"__query": [names[i] for i in found["q"]], **{b: picked[b].to_numpy() for b in by}, "__id": picked["__id"].to_numpy(), "score": found["score"].to_numpy()})
 
         return run
 

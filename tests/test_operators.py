@@ -51,6 +51,8 @@ def test_top_k_ranks_ties_by_id_and_works_in_blocks(spark, monkeypatch):
     assert [found[1, k] for k in (1, 2, 3)] == [0, 3, 6] and [found[2, k] for k in (1, 2, 3)] == [2, 5, 8]
     assert vectors.dense_top_k(queries, chunks, 2, by=["part"], where={"chunk_id": {"$gte": 4, "$lt": 10}}).count() == 8
     assert vectors.dense_top_k(queries.limit(0), chunks, 2).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in reversed(range(300))], "chunk_id int, embedding array<double>")
+    assert sorted(r.chunk_id for r in vectors.dense_top_k(queries.limit(1), same, 4).collect()) == [0, 1, 2, 3]
     with pytest.raises(ValueError, match="unknown filter"):
         vectors.filters({"a": {"$no": 1}})
 
