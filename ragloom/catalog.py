@@ -583,6 +583,53 @@ def m29_mode_adaptation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mode_adaptation(metrics.source_weights(planner.plan(asked)))
 
 
+# --- further chunkers ------------------------------------------------------------------------
+
+@query(f"""WITH s AS (SELECT conv_id, turn // 3 AS chunk, turn, text, len({WORDS.format("text")}) AS n FROM conversations)
+SELECT conv_id, chunk, CAST(sum(n) AS BIGINT) AS word_count, CAST(min(turn) AS DOUBLE) AS start_seconds, CAST(max(turn) + 1 AS DOUBLE) AS end_seconds, round(avg(0.5 + (turn % 4) / 10.0), 4) AS avg_confidence,
+CASE WHEN contains(lower(string_agg(coalesce(text, ''), ' ' ORDER BY turn)), 'tion') THEN CASE WHEN contains(lower(string_agg(coalesce(text, ''), ' ' ORDER BY turn)), 'eau') THEN 'eau,tion' ELSE 'tion' END
+WHEN contains(lower(string_agg(coalesce(text, ''), ' ' ORDER BY turn)), 'eau') THEN 'eau' ELSE 'eau,tion' END AS concepts FROM s GROUP BY conv_id, chunk""")
+def c8_audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.floor(F.col("turn") / 3).alias("chunk"), "text", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1).cast("double").alias("end"),
+        (0.5 + (F.col("turn") % 4) / 10).alias("confidence"), F.lit(False).alias("is_unclear"), F.array(F.lit("tion"), F.lit("eau")).alias("topics"))
+    found = chunking.audio_chunks(turns, ["conv_id"], "chunk", "turn")
+    return found.select("conv_id", "chunk", F.col("word_count").cast("bigint").alias("word_count"), "start_seconds", "end_seconds", "avg_confidence", F.array_join(F.array_sort("concepts"), ",").alias("concepts"))
+
+
+@query()
+def c12_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.paragraphs(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query()
+def c22_timed_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.timed_captions(table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("start"), "text"), "conv_id")
+
+
+@query(r"""WITH b AS (SELECT doc_id, unnest(list_filter(string_split_regex(coalesce(text, ''), '\n{2,}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g') <> '')) AS block FROM documents) SELECT doc_id, count(*) AS n_blocks FROM b GROUP BY doc_id""")
+def c28_markdown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.markdown_elements(table(spark, sf_dir, "documents"), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("n_blocks"))
+
+
+@query("""SELECT event_id, CASE WHEN value / 100 < 0.5 AND event_id % 2 = 0 THEN 'pro' ELSE 'flash' END AS model, CASE WHEN value / 100 < 0.5 AND event_id % 2 = 0 THEN 0.9 ELSE value / 100 END AS confidence FROM events""")
+def c29_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cheap = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("text"), (F.col("value") / 100).alias("confidence"))
+    better = ocr.to_escalate(cheap, 0.5).where("event_id % 2 = 0").select("event_id", F.lit("better").alias("text"), F.lit(0.9).alias("confidence"))
+    return ocr.escalated(cheap, better, ["event_id"], 0.5).select("event_id", "model", "confidence")
+
+
+@query("""SELECT lang, count(*) AS n, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS long_rate, round(avg(CASE WHEN contains(text, '!') THEN 1.0 ELSE 0.0 END), 6) AS loud_rate FROM documents GROUP BY lang""")
+def m15_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.rates(table(spark, sf_dir, "documents"), ["lang"], {"long_rate": F.col("n_chars") > 1000, "loud_rate": F.contains("text", F.lit("!"))})
+    return found.select("lang", "n", *[F.round(c, 6).alias(c) for c in ("long_rate", "loud_rate")])
+
+
+@query(f"""SELECT doc_id, CASE WHEN len({WORDS.format("lower(text)")}) = 0 THEN 0 ELSE round(least(len(list_distinct({WORDS.format("lower(text)")})) / len({WORDS.format("lower(text)")}) + 0.1, 1), 6) END AS richness FROM documents""")
+def m35_text_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(metrics.text_richness(F.col("text")), 6).alias("richness"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
