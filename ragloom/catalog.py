@@ -570,10 +570,10 @@ def i1_page_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH kept AS (SELECT user_id, event_id // 10 AS block, string_agg(props, ' ' ORDER BY event_id) AS text, avg(value) AS conf FROM events GROUP BY ALL HAVING avg(value) >= 45)
-SELECT user_id, count(*) AS n_blocks, round(avg(conf), 6) AS confidence FROM kept GROUP BY user_id""")
+SELECT user_id, count(*) AS n_blocks, round(min(conf), 4) AS confidence FROM kept GROUP BY user_id""")
 def c31_ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("event_id") / 10).alias("block_num"), F.col("event_id").alias("word_num"), F.col("props").alias("text"), F.col("value").alias("conf"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
-    return ocr.blocks(words, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n_blocks"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return ocr.blocks(words, ["user_id"]).groupBy("user_id").agg(F.count("*").alias("n_blocks"), F.round(F.min("confidence"), 4).alias("confidence"))
 
 
 @query("""SELECT CAST(1 AS DOUBLE) AS adaptation FROM (SELECT count(*) AS n FROM benchmark) WHERE n > 0""")
