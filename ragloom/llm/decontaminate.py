@@ -60,8 +60,14 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("doc_words"))
     doc_seeds = words.select("doc", F.explode(seeds(F.col("doc_words"), s)).alias("s")).select("doc", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
     hits = doc_seeds.join(sent(item_seeds), "seed").select("doc", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    compared = hits.join(words, "doc").join(sent(own), "item")
-    equal = F.transform("item_words", lambda w, i: F.when(F.col("diagonal") + i < 0, 0).otherwise(F.coalesce((F.get("doc_words", F.col("diagonal") + i) == w).cast("int"), F.lit(0))))
+    texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text"))
+    rows = hits.join(texts, "doc").join(sent(own), "item")
+    # What of the document lies beside the item's tokens; exploded, so that a text is cut to tokens once.
+    n, at, doc_words = F.size("item_words"), F.col("diagonal"), tokens(F.col("doc_text"))
+    ahead = F.concat(F.array_repeat(F.lit(None).cast("string"), -at), F.slice(doc_words, F.lit(1), F.greatest(n + at, F.lit(0))))
+    beside = F.when(at >= 0, F.slice(doc_words, F.greatest(at, F.lit(0)) + 1, n)).otherwise(ahead)
+    compared = rows.select("doc", "item", "diagonal", "item_words", F.explode(F.array(beside)).alias("beside"))
+    equal = F.zip_with("item_words", "beside", lambda w, d: F.coalesce((w == d).cast("int"), F.lit(0)))
     length = F.least(F.size("equal"), F.lit(s.window))
     need = F.ceil(length * s.matches / s.window).cast("int")
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
