@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import steps, utf8
+from ragloom.llm.support import narrow_batches, steps, utf8
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -199,6 +199,7 @@ def fit(train: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "l
 
 def predict(df: DataFrame, net: ByteNet, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """Append the language of every whole text and its probability; columns of these names are replaced."""
+    narrow_batches(df.sparkSession)
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (label, score)])
     schema = T.StructType([*base.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 

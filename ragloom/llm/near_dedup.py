@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import mix, ragged, run_hashes, steps, utf8, words, written
+from ragloom.llm.support import mix, narrow_batches, ragged, run_hashes, steps, utf8, words, written
 
 #: Ids up to this number (8 bytes each) are sent to all tasks to pick rows of a large table; more are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -325,8 +325,12 @@ def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, labels: DataFra
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """id, n_shingles, component_id and kept of every row of ``df``."""
+    """id, n_shingles, component_id and kept of every row of ``df``.
+
+    Texts and sets go to the Python workers in narrow batches (support.narrow_batches), for the session from here on.
+    """
     s = settings
+    narrow_batches(df.sparkSession)
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = written(sketches(docs, "id", "text", s), "sketches")
     some = rows.where("n > 0 and id is not null")

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragloom.llm.support import narrow_batches
+
 KINDS = ("assign", "access", "hex", "der", "openssh", "sshkey", "jwt")
 BASE_KINDS = KINDS[:3]
 
@@ -198,6 +200,7 @@ def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 
     Each row is scanned by itself, so nothing is shuffled.
     """
+    narrow_batches(df.sparkSession)
     base = df.select(F.col(id), F.col(text).alias("__text"))
     long = T.LongType()
     schema = T.StructType([base.schema.fields[0], *(T.StructField(c, long) for c in ("n_assign", "n_access", "n_hex")), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("n_confirmed", long)])
@@ -225,6 +228,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
             out = [None if t is None else redacted(t, mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
+    narrow_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

@@ -48,6 +48,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most ``rows`` rows of texts or sets travel to a Python worker at once; a lower setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def steps(sizes: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Cut rows of these sizes into runs of about ``limit``; no row is split."""
     if not len(sizes):
