@@ -54,7 +54,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text that is left, and digests of ids and decoded text."""
-    return piece_codec.digests(docs, tokenizer_path("piece_bpe_32k.model"))
+    return piece_codec.digests(docs, tokenizer_path("piece_bpe_32k.model"), release=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminated", decontaminated), ("secrets", secrets), ("pieces", pieces)]

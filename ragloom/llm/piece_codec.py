@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragloom.llm.support import narrow_batches
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Stretches, and pairs, that a worker remembers; then it starts anew.  It bounds memory and changes no result.
@@ -223,6 +225,11 @@ class PieceCodec:
         self.known[stretch] = found = (len(own), " ".join([self.digits[i] for i in own]), stretch if back == stretch else back)
         return found
 
+    def forget(self) -> None:
+        """Give the memory of what was met back, as other work may follow in this process."""
+        self.known.clear()
+        self.apart.clear()
+
     def encode(self, text: str) -> list[int]:
         return [i for s in self.stretches(text) for i in self.ids(s)] + [self.end]
 
@@ -300,8 +307,12 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
     return base.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, model: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass."""
+def digests(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", release: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded in one pass.
+
+    ``release``: give a worker's memory of stretches back after each task, where other work follows in the same workers.
+    """
+    narrow_batches(df.sparkSession)
     base = df.select(F.col(id), F.col(text).alias("__text"))
     schema = T.StructType([base.schema.fields[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
@@ -315,5 +326,7 @@ def digests(df: DataFrame, model: str, id: str = "doc_id", text: str = "text") -
                 rows.append((n, sha(ids), sha(back)))
             n, ids, back = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=schema.names)
+        if release:
+            c.forget()
 
     return base.mapInArrow(run, schema)
