@@ -271,6 +271,45 @@ def test_decontamination(spark, docs):
     assert decontaminate.overlaps(docs, items.limit(0)).collect() == []
 
 
+def overlaps_by_force(docs, items):
+    """Every diagonal of every pair, without seeds: {(document, item): (overlapping diagonals, most equal tokens)}."""
+    out = {}
+    for (d, doc), (i, item) in ((x, y) for x in docs for y in items):
+        n, length = len(item), min(len(item), 13)
+        for at in range(1 - n, len(doc)):
+            equal = [0 <= at + k < len(doc) and doc[at + k] == item[k] for k in range(n)]
+            if any(13 * sum(equal[k : k + length]) >= 11 * length for k in range(n - length + 1)):
+                count, most = out.get((d, i), (0, 0))
+                out[d, i] = (count + 1, max(most, sum(equal)))
+    return out
+
+
+def overlaps_of_words(spark, docs, items):
+    made = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{id} long, text string") for rows, id in ((docs, "doc_id"), (items, "item_id"))]
+    found = decontaminate.overlaps(*made).collect()
+    assert len(found) == len({(r.doc_id, r.item_id) for r in found})
+    return {(r.doc_id, r.item_id): (r.n_diagonals, r.n_matched) for r in found}
+
+
+def substituted(items, first, most):
+    """Documents: every item with every choice of up to ``most`` (by its length) tokens replaced, within other words."""
+    import itertools
+
+    out = []
+    for _, item in items:
+        for places in (c for e in range(most(len(item)) + 1) for c in itertools.combinations(range(len(item)), e)):
+            out.append((first + len(out), ["before", *("other" if k in places else w for k, w in enumerate(item)), "after"]))
+    return out
+
+
+def test_decontamination_finds_all_substitutions(spark):
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in (9, 10, 11, 12, 13, 14)]
+    docs = substituted(items, 0, lambda n: 2) + [(9000 + k, items[4][1][k : k + 11]) for k in range(3)]
+    expected = overlaps_by_force(docs, items)
+    assert sum(i == 13 for _, i in expected) == 78 + 13 + 1 + 3
+    assert overlaps_of_words(spark, docs, items) == expected
+
+
 def test_html_extraction(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
     <header class="site"><h1>Site name</h1></header><nav><ul><li><a>Menu</a></li></ul></nav><div id="cookieNotice">We use cookies, yes.</div>
