@@ -8,14 +8,21 @@ document less place in the item).  On it the item's tokens are compared with the
 document's, and the pair counts as an overlap if some ``window`` consecutive item
 tokens (the whole item, if shorter) hold at least ``matches`` equal ones in proportion.
 
-Items or documents that are null, or have fewer tokens than the shortest mask, overlap
-with nothing.  A repeated row is found as often as it stands there.  Items with equal
-tokens are all reported.
+An item too short for the fixed masks to hit all its overlaps (under nine tokens) has
+masks of its own length instead, one for every choice of the places that have to be
+equal, joined with the documents' runs of that length.
+
+Items or documents that are null or without a token overlap with nothing; an item of one
+token overlaps with every document that holds it.  A repeated row is found as often as
+it stands there.  Items with equal tokens are all reported.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +58,52 @@ def seeds(words: Column, s: Settings) -> Column:
     return F.concat(*(of(k, mask) for k, mask in enumerate(s.masks)))
 
 
+def needed(n: int, s: Settings) -> int:
+    """Equal tokens that make an overlap with ``n`` consecutive tokens."""
+    return -(-n * s.matches // s.window)
+
+
+@lru_cache
+def covered(n: int, s: Settings) -> bool:
+    """The fixed masks hit every overlap with ``n`` tokens, wherever the unequal ones stand."""
+    reads = [{p + i for i, c in enumerate(mask) if c == "1"} for mask in s.masks for p in range(n - len(mask) + 1)]
+    return all(any(r.isdisjoint(unequal) for r in reads) for unequal in combinations(range(n), n - needed(n, s)))
+
+
+def run_seeds(words: Column, n: int, s: Settings) -> Column:
+    """Array of (place, run, hash) of every run of ``n`` tokens by every choice of those that have to be equal.
+
+    Runs begin before and end behind the text by as many tokens as may be unequal; there they hold empty tokens.
+    """
+    spare = n - needed(n, s)
+    beyond = F.array_repeat(F.lit(""), spare)
+    padded = F.concat(beyond, words, beyond)
+    last = F.size(words) + 2 * spare - n
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+    def of(k: int, reads: Sequence[int]) -> Column:
+        return F.transform(places, lambda p: F.struct((p - spare).alias("place"), F.slice(padded, p + 1, F.lit(n)).alias("run"), F.xxhash64(F.lit(n), F.lit(k), *[F.get(padded, p + i) for i in reads]).alias("seed")))
+
+    return F.concat(*(of(k, reads) for k, reads in enumerate(combinations(range(n), n - spare))))
+
+
+def short_pairs(words: DataFrame, own: DataFrame, lengths: list[int], s: Settings) -> DataFrame:
+    """doc, item, diagonal, item_words and what lies ``beside`` them, of every hit of the items of these lengths."""
+    runs = lambda name: F.explode(F.concat(*(run_seeds(F.col(name), n, s) for n in lengths))).alias("s")
+    item_seeds = own.select("item", "item_words", runs("item_words")).where(F.col("s.run") == F.col("item_words")).select("item", "item_words", F.col("s.seed").alias("seed"))
+    doc_seeds = words.select("doc", runs("doc_words")).select("doc", F.col("s.place").alias("diagonal"), F.col("s.run").alias("beside"), F.col("s.seed").alias("seed"))
+    hits = doc_seeds.join(F.broadcast(item_seeds) if item_seeds.count() <= MOST_SENT else item_seeds, "seed")
+    return hits.select("doc", "item", "diagonal", "item_words", "beside")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """doc_id, item_id, n_diagonals and n_matched (most equal tokens on one diagonal) of every overlapping pair."""
     s = settings
-    own = items.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("item_words")).where(F.size("item_words") >= min(map(len, s.masks)))
+    if not covered(s.window, s):
+        raise ValueError("the masks don't hit every overlap")
+    every = items.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
+    short = [n for n in range(1, s.window) if not covered(n, s)]
+    own = every.where(~F.size("item_words").isin(short))
     item_seeds = own.select("item", F.explode(seeds(F.col("item_words"), s)).alias("s")).select("item", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
     small = item_seeds.count() <= MOST_SENT
     sent = F.broadcast if small else (lambda df: df)
@@ -68,6 +117,9 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     ahead = F.concat(F.array_repeat(F.lit(None).cast("string"), -at), F.slice(doc_words, F.lit(1), F.greatest(n + at, F.lit(0))))
     beside = F.when(at >= 0, F.slice(doc_words, F.greatest(at, F.lit(0)) + 1, n)).otherwise(ahead)
     compared = rows.select("doc", "item", "diagonal", "item_words", F.explode(F.array(beside)).alias("beside"))
+    lengths = sorted(r[0] for r in every.select(F.size("item_words").alias("n")).where(F.col("n").isin(short)).distinct().collect())
+    if lengths:
+        compared = compared.unionByName(short_pairs(words, every.where(F.size("item_words").isin(lengths)), lengths, s))
     equal = F.zip_with("item_words", "beside", lambda w, d: F.coalesce((w == d).cast("int"), F.lit(0)))
     length = F.least(F.size("equal"), F.lit(s.window))
     need = F.ceil(length * s.matches / s.window).cast("int")

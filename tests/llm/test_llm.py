@@ -310,6 +310,15 @@ def test_decontamination_finds_all_substitutions(spark):
     assert overlaps_of_words(spark, docs, items) == expected
 
 
+def test_decontamination_finds_short_items(spark):
+    items = [(n, [f"w{n}x{k}" for k in range(n)]) for n in range(1, 9)] + [(20, ["what", "is", "w3x1"]), (21, "a a a a a a a".split())]
+    docs = substituted(items, 0, lambda n: 2) + [(9000, items[7][1][1:]), (9001, items[6][1][:-1]), (9002, items[6][1][2:]), (9003, ["w5x4"]), (9004, []), (9005, ["a"] * 12)]
+    expected = overlaps_by_force(docs, items)
+    assert {(d, i) for d, i in expected if d >= 9000} == {(9000, 8), (9001, 7), (9005, 21)} and len(expected) > 8 + 9
+    assert overlaps_of_words(spark, docs, items) == expected
+    assert decontaminate.covered(13, decontaminate.Settings()) and not decontaminate.covered(8, decontaminate.Settings())
+
+
 def test_html_extraction(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
     <header class="site"><h1>Site name</h1></header><nav><ul><li><a>Menu</a></li></ul></nav><div id="cookieNotice">We use cookies, yes.</div>
