@@ -69,6 +69,19 @@ def test_hashed_search_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_the_registered_hashed_search(spark, sf):
+    import os
+
+    from ragloom import catalog
+
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables")
+    exact, found = ({(r.query_id, r.chunk_id) for r in f(spark, folder).collect()} for f in (catalog.r4_dense_topk, catalog.r4_hashed_topk))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_sequential_clusters(spark):
     rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.9, 0.1]), (1, 2, [0.0, 1.0]), (1, 3, [1.0, 0.05]), (2, 0, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "doc int, at int, embedding array<double>")
