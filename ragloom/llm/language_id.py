@@ -164,9 +164,11 @@ def fold_of(id: Column, folds: int = 5) -> Column:
 def fit(train: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> ByteNet:
     """Learn from a bounded, hashed sample of the labelled rows of ``train``.
 
-    About ``per_language`` documents of each language, in all at most ``most_rows`` (those
-    with the lowest hash of their id), come to the driver, one window's worth of
-    characters of each, from a place that the hash chooses.
+    About ``per_language`` documents of each language, fewer if the languages are so many
+    that these would be more than ``most_rows``, come to the driver (those with the lowest
+    hash of their id), one window's worth of characters of each, from a place that the
+    hash chooses.  If there are still more than ``most_rows``, all sampled languages are
+    thinned alike.
     """
     labelled = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
@@ -174,13 +176,16 @@ def fit(train: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "l
         raise ValueError("no labelled rows to learn from")
     span = 1 << 30
     key = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(span))
-    pairs = [x for label, n in counts.items() for x in (F.lit(label), F.lit(min(span, span * settings.per_language // n)))]
+    each = max(min(settings.per_language, settings.most_rows // len(counts)), 1)
+    pairs = [x for label, n in counts.items() for x in (F.lit(label), F.lit(min(span, span * each // n)))]
+    bound = F.element_at(F.create_map(*pairs), F.col(lang))
     start = F.pmod(F.xxhash64(F.col(id).cast("string"), F.lit(1)), F.greatest(F.length(text) - settings.window, F.lit(0)) + 1)
     rows = (
-        labelled.where(key < F.element_at(F.create_map(*pairs), F.col(lang)))
-        .select(key.alias("key"), F.col(lang).alias("lang"), F.substring(F.col(text), start.cast("int") + 1, F.lit(settings.window)).alias("text"))
-        .orderBy("key", "lang", "text").limit(settings.most_rows).collect()
+        labelled.where(key < bound)
+        .select((key / bound).alias("part"), key.alias("key"), F.col(lang).alias("lang"), F.substring(F.col(text), start.cast("int") + 1, F.lit(settings.window)).alias("text"))
+        .orderBy("part", "key", "lang", "text").limit(settings.most_rows).collect()
     )
+    rows.sort(key=lambda r: (r["key"], r["lang"], r["text"]))
     labels = sorted(counts)
     rng = np.random.default_rng(settings.seed)
     windows, targets = [], []

@@ -184,6 +184,20 @@ def test_language_id(spark):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in found.items() if i is not None)
 
 
+def test_language_sample_is_fair_to_small_languages(spark, monkeypatch):
+    """Ten languages, of which five have a hundred times the rows of the others, and a bound that not all samples fit."""
+    from pyspark.sql import functions as F
+
+    seen = collections.Counter()
+    monkeypatch.setattr(language_id.ByteNet, "train", lambda self, windows, targets: seen.update(targets.tolist()) or self)
+    large = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("large"), F.col("id") % 5).alias("lang"))
+    small = spark.range(20_000, 20_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("small"), F.col("id") % 5).alias("lang"))
+    df = large.union(small).withColumn("text", F.lit("some words of a text that is longer than a short window"))
+    language_id.fit(df, settings=language_id.Settings(per_language=50, most_rows=200))
+    documents = {label: n / 3 for label, n in seen.items()}
+    assert sum(documents.values()) <= 200 and len(documents) == 10 and min(documents.values()) >= 8, documents
+
+
 def test_language_id_needs_labels(empty):
     with pytest.raises(ValueError, match="labelled"):
         language_id.identify(empty)
