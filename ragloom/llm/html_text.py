@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_FORM = re.compile(r"<form[\s/>]", re.IGNORECASE)
 _PUNCTUATION = re.compile(r"[.,;:!?¡¿…。，、！？；：]")
 
 # Fixed values of HTML.
@@ -47,6 +48,12 @@ OTHER_WORDS = frozenset(
     "footer masthead topbar toolbar cookie cookies consent notice notices alert gdpr popup modal overlay dialog newsletter subscribe signup login search share sharing social "
     "comment comments commentlist reply replies respond discussion disqus related recommended recommendations widget widgets pagination pager skip copyright legal disclaimer".split()
 )
+#: Words that an id may have beside such words and still name such a container as a whole, as in footer-wrapper.
+LAYOUT = frozenset("wrapper wrap container area section block box bar list inner outer left right top bottom main site page form link links button primary secondary header panel".split())
+#: Such words that also head a section of an article: not heeded as the id of one.
+TITLES = frozenset("discussion search legal disclaimer notice notices copyright share social sharing related recommended recommendations reply replies promotion advertising navigation".split())
+#: Within an article or the page's main part names are heeded on these only.
+NAMED = frozenset("div section aside ul".split())
 #: Words that turn such a word around, as in has-sidebar or ad-free.
 TURNED = frozenset("has with no without free".split())
 #: Containers that announce content.
@@ -54,6 +61,8 @@ CONTENT_TAGS = frozenset({"article", "main"})
 #: Blocks that join the content paths beside them.
 BESIDE = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption caption td th address summary".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Their ids are anchors of the text and never heeded.
+ANCHORS = HEADINGS | {"p", "pre", "table"}
 LISTS = frozenset("ul ol dl table tbody thead tfoot tr figure hgroup details".split())
 
 #: Of the page's best path that a content path reaches, and the smoothing weights along the page.
@@ -63,10 +72,12 @@ CONTENT = 8
 
 
 class Element:
-    __slots__ = ("tag", "path", "other", "content", "container")
+    __slots__ = ("tag", "path", "other", "content", "container", "form")
 
-    def __init__(self, tag: str, parent: Element | None, attributes: str, by_name: bool = True):
+    def __init__(self, tag: str, parent: Element | None, attributes: str, by_name: bool = True, forms: bool = False):
         words: list[str] = []
+        classes: list[str] = []
+        ids: list[str] = []
         role = ""
         if attributes:
             for name, value in _NAMES.findall(attributes):
@@ -74,12 +85,15 @@ class Element:
                 if name.lower() == "role":
                     role = value.lower()
                 elif name.lower() != "aria-label":
-                    words += re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+                    own = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+                    words += own
+                    (ids if name.lower() == "id" else classes).extend(w for w in own if w)
         self.tag = tag
         above = parent.path if parent else ""
         self.path = f"{above}/{tag}" + (f".{'.'.join(w for w in words if w)}" if words else "")
         content = parent is not None and parent.content
-        other = tag in OTHER_TAGS or role in OTHER_ROLES or (by_name and tag not in ("html", "body", "article", "main") and not OTHER_WORDS.isdisjoint(words) and TURNED.isdisjoint(words)) or bool(attributes and _HIDDEN.search(attributes))
+        other = tag in OTHER_TAGS and not (forms and tag == "form") or role in OTHER_ROLES or (by_name and named(tag, classes, ids, content)) or bool(attributes and _HIDDEN.search(attributes))
+        self.form = tag == "form" or parent is not None and parent.form
         other = other or tag == "header" and not content
         self.other = other or parent is not None and parent.other
         self.content = content or tag in CONTENT_TAGS or role in ("main", "article")
@@ -87,8 +101,19 @@ class Element:
         self.container = self.path if parent is None or tag not in BESIDE and tag not in LISTS else parent.container
 
 
-def blocks(page: str, by_name: bool = True) -> list[tuple[str, Element]]:
-    """Stretches of text between block tags, with the block element that holds each.  ``by_name``: classes and ids tell other matter."""
+def named(tag: str, classes: list[str], ids: list[str], content: bool) -> bool:
+    """Its class (by one word) or id (as a whole) names a container of other matter; ``content``: within an article."""
+    if tag in ("html", "body", "article", "main") or content and tag not in NAMED or not TURNED.isdisjoint(classes + ids):
+        return False
+    if not OTHER_WORDS.isdisjoint(classes):
+        return True
+    if tag in ANCHORS or content and tag == "section" and not TITLES.isdisjoint(ids):
+        return False
+    return not OTHER_WORDS.isdisjoint(ids) and all(w in OTHER_WORDS or w in LAYOUT for w in ids)
+
+
+def blocks(page: str, by_name: bool = True, forms: bool = False) -> list[tuple[str, Element]]:
+    """Stretches of text between block tags, with the block element that holds each.  ``by_name``: classes and ids tell other matter; ``forms``: forms are none."""
     out: list[tuple[str, Element]] = []
     stack = [Element("", None, "")]
     text: list[str] = []
@@ -154,7 +179,7 @@ def blocks(page: str, by_name: bool = True) -> list[tuple[str, Element]]:
                 break
             if stack[k].tag in ("ul", "ol", "dl", "table", "select", "div", "section", "article", "body"):
                 break
-        element = Element(tag, stack[-1], m.group(3), by_name)
+        element = Element(tag, stack[-1], m.group(3), by_name, forms)
         if element.other and not stack[-1].other:
             flush()
         if not m.group(3).rstrip().endswith("/"):
@@ -169,13 +194,34 @@ def smoothed(values: list[float]) -> list[float]:
 
 
 def extract(page: str | None) -> str:
-    """The main text; where names leave nothing (a page wrapped in one container with such a name), they are not heeded."""
-    return selected(blocks(page or "")) or selected(blocks(page or "", by_name=False))
+    """The main text; where names leave nothing (a page wrapped in one container with such a name), they are not heeded.
+
+    Nor is a form other matter that holds all the text (but headings) of the page that is content with it.
+    """
+    page = page or ""
+    for by_name in (True, False):
+        kept = selected(blocks(page, by_name))
+        if _FORM.search(page):
+            found = blocks(page, by_name, forms=True)
+            lifted = selected(found)
+            texts = [e for _, e in lifted if e.tag not in HEADINGS]
+            if texts and all(e.form for e in texts):
+                # What is the main text without the form stays beside it.
+                outside, chosen = {text for text, _ in kept}, set(map(id, lifted))
+                return joined([b for b in found if id(b) in chosen or not b[1].form and not b[1].other and b[0] in outside])
+        if kept:
+            break
+    return joined(kept)
+
+
+def joined(kept: list[tuple[str, Element]]) -> str:
+    return "\n\n".join(text for text, _ in kept)
 
 
-def selected(found: list[tuple[str, Element]]) -> str:
+def selected(found: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
+    """The blocks of the main text."""
     if not found:
-        return ""
+        return []
     sums: dict[str, list[float]] = {}
     for text, e in found:
         s = sums.setdefault(e.path, [0, 0, 0])
@@ -194,8 +240,7 @@ def selected(found: list[tuple[str, Element]]) -> str:
     threshold = SHARE * max(fused.values())
     chosen = {path for path, v in fused.items() if v >= threshold and v > 0}
     beside = {e.container for _, e in found if e.path in chosen}
-    kept = [text for text, e in found if not e.other and (e.path in chosen or e.tag in BESIDE and e.container in beside)]
-    return "\n\n".join(kept)
+    return [b for b in found if not b[1].other and (b[1].path in chosen or b[1].tag in BESIDE and b[1].container in beside)]
 
 
 def main_text(df: DataFrame, html: str = "html", out: str = "text") -> DataFrame:

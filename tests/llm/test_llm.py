@@ -355,6 +355,20 @@ def test_html_extraction(spark):
     assert html_text.main_text(df.limit(0)).collect() == []
 
 
+def test_html_names_of_content():
+    long = "Some long text, with marks. " * 5
+    page = f"""<body><article><h1>T</h1><h2 id='search-algorithms'>Search</h2><p>{long}</p><section id='discussion'><h2>Discussion</h2><p>{long}</p></section>
+    <h2 id='related-work'>Related</h2><p class='legal'>{long}</p><pre id='search'>code, here.</pre><div class='share'>Share, us.</div><div id='comments-area'><p>Nice, one.</p></div></article></body>"""
+    one = long.strip()
+    assert html_text.extract(page).split("\n\n") == ["T", "Search", one, "Discussion", one, "Related", one, "code, here."]
+    plain = f"<body><div class='post'><h2 id='related-work'>Related</h2><p>{long}</p><section id='search-algorithms'><h2>Search</h2><p>{long}</p></section></div><div id='footer-wrapper'><p>{long}</p></div></body>"
+    assert html_text.extract(plain).split("\n\n") == ["Related", one, "Search", one]
+    wrapped = f"<body><form action='/'><nav>Menu</nav><div><h1>T</h1><p>{long}</p></div><footer>foot</footer></form></body>"
+    assert html_text.extract(wrapped).split("\n\n") == ["T", one]
+    assert html_text.extract(f"<body><div><p>{long}</p></div><form><p>Subscribe, {long}</p></form></body>") == one
+    assert html_text.extract(f"<body><div><p>Short.</p></div><nav>a</nav><nav>b</nav><nav>c</nav><form><div><p>{long * 9}</p></div></form></body>").startswith("Short.\n\nSome")
+
+
 def test_warc_revisits(spark):
     captures = [
         (1, "http://www.A.com/x/?b=2&utm_source=q&a=1#f", 100, "response", 200, {"ETag": '"1"', "Content-Type": "text/html", "Date": "d1"}),
