@@ -4,8 +4,8 @@ The base patterns (assigned values, access ids, long hex runs) report as they ma
 Beyond them, base64 and hex runs are only candidates: they are decoded, and one is
 reported if its bytes parse as a key encoding (a DER sequence whose nested lengths fill
 it exactly, an OpenSSH key, an SSH wire key), or if it is a signed token whose header
-decodes to a JSON object that names an algorithm.  A candidate may wrap over lines
-between PEM marks.
+decodes to a JSON object that names an algorithm.  Other letters, such as a path or a
+name, may stand before it in its run.  A candidate may wrap over lines between PEM marks.
 
 Kinds, in the order in which spans at one place are listed: assign, access, hex, der,
 openssh, sshkey, jwt.  Offsets count code points, the end is exclusive.  Text null or
@@ -40,16 +40,22 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Letters, digits and marks of both base64 alphabets.
 _B64 = r"[A-Za-z0-9+/_-]"
-#: Three parts of a signed token, or a run that is long enough to hold the smallest key.
-_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:{_B64}{{12,}}\.{_B64}+\.{_B64}*|{_B64}{{24,}}={{0,2}})")
+#: A run that may end with the header of a signed token, before the token's other parts.
+_HEADER = re.compile(rf"(?<!{_B64}){_B64}{{12,}}(?=(\.{_B64}+\.{_B64}*))")
+#: Where in it the header may begin: with the letters of a brace, or (blanks before the brace) behind a mark.
+_HEADER_START = re.compile(r"(?=e[w-z0-9+/_-])|^|(?<=[+/_-])")
+#: A run that is long enough to hold the smallest key.
+_RUN = re.compile(rf"(?<!{_B64}){_B64}{{24,}}={{0,2}}")
 _PEM = re.compile(rf"-----BEGIN ([A-Z0-9 ]+)-----((?:\s*[A-Za-z0-9+/=-]+:[^\n]*\n)*[A-Za-z0-9+/=\s]+)-----END \1-----")
-_HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
+_HEX_RUN = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0[xX]))(?:(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,})(?![0-9A-Za-z])")
 
 #: First tags that a nested DER key may hold.
 _DER_FIRST = {0x02, 0x30}
 _DER_KNOWN = {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0A, 0x0C, 0x13, 0x30, 0x31, 0xA0, 0xA1, 0xA2, 0xA3, 0x80, 0x81}
 _OPENSSH = b"openssh-key-v1\x00"
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com")
+#: What the base64 of a key begins with.
+_KEY_START = re.compile("(?=M[A-P]|" + "|".join(base64.b64encode(h[: len(h) // 3 * 3]).decode() for h in (_OPENSSH, *(len(k).to_bytes(4, "big") + k for k in _SSH_TYPES))) + ")")
 
 
 def _der_length(data: bytes, at: int) -> tuple[int, int] | None:
@@ -155,6 +161,35 @@ def unbase64(text: str) -> bytes | None:
         return None
 
 
+def header_in(run: str) -> int | None:
+    """Where in the run the header of a signed token begins that ends with it."""
+    for m in _HEADER_START.finditer(run):
+        n = len(run) - m.start()
+        if n >= 12 and n % 4 != 1:
+            # Its first and last bytes tell most others apart.
+            first, last = unbase64(run[m.start() : m.start() + 8]).lstrip(), unbase64(run[-(n % 4 or 4) :]).rstrip()
+            if first[:1] in (b"", b"{") and last[-1:] in (b"", b"}") and is_signed_token(f"{run[m.start():]}.."):
+                return m.start()
+    return None
+
+
+def key_in(run: str) -> tuple[int, str] | None:
+    """Place and kind of the first key in the run that ends with it."""
+    run = run.rstrip("=").translate({ord("-"): "+", ord("_"): "/"})
+    for m in _KEY_START.finditer(run):
+        n = len(run) - m.start()
+        if n < 24:
+            break
+        if run[m.start()] == "M":
+            length = _der_length(unbase64(run[m.start() : m.start() + 8]), 1)
+            if length is None or sum(length) != n * 3 // 4:
+                continue
+        kind = kind_of(unbase64(run[m.start() :]))
+        if kind:
+            return m.start(), kind
+    return None
+
+
 def kind_of(data: bytes | None) -> str | None:
     if not data:
         return None
@@ -168,15 +203,23 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     found = set()
+    tokens: list[tuple[int, int]] = []
+    for m in _HEADER.finditer(text):
+        if tokens and m.start() < tokens[-1][1]:
+            continue
+        at = header_in(m.group())
+        if at is not None:
+            tokens.append((m.start() + at, m.end(1)))
+            found.add((m.start() + at, KINDS.index("jwt"), m.end(1)))
+    passed = 0
     for m in _RUN.finditer(text):
-        run = m.group()
-        if "." in run and is_signed_token(run):
-            found.add((m.start(), KINDS.index("jwt"), m.end()))
+        while passed < len(tokens) and tokens[passed][1] <= m.start():
+            passed += 1
+        if passed < len(tokens) and tokens[passed][0] < m.end():
             continue
-        run = run.partition(".")[0]
-        kind = kind_of(unbase64(run)) if len(run) >= 24 else None
-        if kind:
-            found.add((m.start(), KINDS.index(kind), m.start() + len(run)))
+        key = key_in(m.group())
+        if key:
+            found.add((m.start() + key[0], KINDS.index(key[1]), m.end()))
     for m in _HEX_RUN.finditer(text):
         kind = kind_of(bytes.fromhex(m.group()))
         if kind:
