@@ -9,8 +9,10 @@ probabilities are averaged by their bytes.
 An embedded byte times a filter's weights at one offset is a row of a table, so a
 convolution is a sum of table rows, one for each offset.
 
-Text null or without a letter: ``und`` with score 0.  No labelled row to learn from: an
-error, as nothing could be predicted.
+Text null or without a letter: ``und`` with score 0.  With no labelled text to learn from
+there is no language to predict: every row is ``und`` with score 0.  Each row is read by
+itself: repeated rows give equal rows, an empty table gives none, and columns that have
+the name of an appended one are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import narrow_batches, steps, utf8
+from ragloom.llm.support import narrow, steps, utf8
 
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -168,12 +170,12 @@ def fit(train: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "l
     that these would be more than ``most_rows``, come to the driver (those with the lowest
     hash of their id), one window's worth of characters of each, from a place that the
     hash chooses.  If there are still more than ``most_rows``, all sampled languages are
-    thinned alike.
+    thinned alike.  Without any labelled text the net has no labels.
     """
     labelled = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     if not counts:
-        raise ValueError("no labelled rows to learn from")
+        return ByteNet(settings, [])
     span = 1 << 30
     key = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(span))
     each = max(min(settings.per_language, settings.most_rows // len(counts)), 1)
@@ -198,19 +200,21 @@ def fit(train: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "l
                 windows.append(np.pad(piece, (0, settings.window - len(piece))))
                 targets.append(labels.index(r["lang"]))
     if not windows:
-        raise ValueError("no labelled text to learn from")
+        return ByteNet(settings, [])
     return ByteNet(settings, labels).train(np.stack(windows), np.array(targets))
 
 
 def predict(df: DataFrame, net: ByteNet, text: str = "text", label: str = "lang_pred", score: str = "score") -> DataFrame:
     """Append the language of every whole text and its probability; columns of these names are replaced."""
-    narrow_batches(df.sparkSession)
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (label, score)])
     schema = T.StructType([*base.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in narrow(batches):
             column = batch.column(batch.schema.get_field_index(text))
+            if not net.labels:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(["und"] * len(column), pa.string()), pa.array([0.0] * len(column), pa.float64())], names=[*batch.schema.names, label, score])
+                continue
             p = net.predict(*utf8(column))
             best = p.argmax(1)
             letters = [t is not None and _LETTER.search(t) is not None for t in column.to_pylist()]

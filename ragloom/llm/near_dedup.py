@@ -8,21 +8,27 @@
    the posterior probability that its similarity reaches the threshold falls under the
    chosen miss probability; what is left is verified exactly, on the full sets.
 4. Verified links join classes to components.  Buckets whose classes are all in one
-   component are done, as no further link could change it.  In the others every pair
-   across components is compared and verified in blocks of bounded size.
+   component are done, as no further link could change it.  The others are split by set
+   size (linked sets differ by a bounded factor, so only neighbouring size classes meet)
+   and dealt to blocks of bounded size, where signatures alone are compared.  Of what they
+   don't rule out, each block first names as many pairs as would join its components, the
+   likeliest; these are verified.  Only classes that still have a partner in another
+   component then meet with their sets, in blocks that are bounded in set bytes too.
 
 So no pair within a group of copies is listed for its own sake, and none that could
-join two components is left out.
+join two components is left out.  Rows that share a bucket or a partner with many others
+are dealt over tasks (spread()).
 
 Null or blank text has an empty set and links with nothing.  A repeated row, or one with
 a repeated id, is a document of its own under the same id.  A row with a null id is its
-own document: its component is null and it is kept.
+own document: its component is null and it is kept.  An empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -32,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import mix, narrow_batches, ragged, run_hashes, steps, utf8, words, written
+from ragloom.llm.support import mix, narrow, ragged, run_hashes, steps, utf8, words, written
 
 #: Ids up to this number (8 bytes each) are sent to all tasks to pick rows of a large table; more are joined by a shuffle.
 MOST_SENT = 1_000_000
-#: Classes of one bucket that a task compares with one another at once.
-BLOCK = 512
+#: Classes of one bucket that a task compares with one another at once, and hashes of their sets that it then holds (8 bytes each), about.
+BLOCK, BLOCK_HASHES = 512, 1 << 20
+#: Rows of one key that go to one task in a join: so many, or this part of all rows, so that the keys of more rows are few.
+LEAST_HOT, HOT_PART = 1000, 10_000
 
 
 @dataclass(frozen=True)
@@ -108,7 +116,7 @@ def sketches(df: DataFrame, id: str, text: str, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, s.bands + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in narrow(batches):
             n, c1, c2, bands, ends, sigs = [], [], [], [], [0], []
             for shingles in shingle_sets(batch.column(1), s.width):
                 n.append(len(shingles))
@@ -118,13 +126,13 @@ def sketches(df: DataFrame, id: str, text: str, s: Settings) -> DataFrame:
                     continue
                 c1.append(int(mix(shingles).sum().view(np.int64)))
                 c2.append(int(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)))
-                sig = signature(shingles, s)
+                sig = signature(shingles, s).astype(np.uint16)
                 key = salt.copy()
                 for row in sig.reshape(s.bands, s.rows).T:
                     key = mix(key ^ row)
                 bands.append(key.view(np.int64))
                 ends[-1] += s.bands
-                sigs.append(sig.astype(np.uint16).tobytes())
+                sigs.append(sig.tobytes())
             values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), ragged(values, np.array(ends), pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
 
@@ -135,9 +143,25 @@ def signatures(column: pa.Array, s: Settings) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, s.hashes)
 
 
+def spread(rows: DataFrame, table: DataFrame, key: list[str], size: str | None = None) -> DataFrame:
+    """rows.join(table, key), where ``table`` has each key once and ``rows``, a cheap one, may have a key very often.
+
+    Rows of such a key are dealt over tasks, and its one row of ``table`` is sent to each of them.  ``size``: the
+    column of ``table`` that says how many rows have the key; without it they are counted.
+    """
+    least = max(LEAST_HOT, rows.count() // HOT_PART)
+    sizes = table.select(*key, F.col(size).alias("__size")) if size else rows.groupBy(*key).agg(F.count("*").alias("__size"))
+    hot = sizes.where(F.col("__size") > least).select(*key, F.ceil(F.col("__size") / least).cast("int").alias("__deals"))  # at most HOT_PART keys
+    deals = F.coalesce("__deals", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", F.pmod(F.xxhash64(*rows.columns), deals).cast("int")).drop("__deals")
+    copies = table.join(F.broadcast(hot), key, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("__deals")
+    return dealt.join(copies, [*key, "__deal"]).drop("__deal")
+
+
 def screened(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b) those that the batches of their signatures don't rule out, with the values that agree."""
-    joined = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+    """Of pairs (a, b), a kept table, those that the batches of their signatures don't rule out, with the values that agree."""
+    with_b = spread(pairs, sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), ["b"])
+    joined = with_b.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb")
     schema = T.StructType([joined.schema["a"], joined.schema["b"], T.StructField("agree", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +185,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     schema = T.StructType([base.schema["id"], T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in narrow(batches):
             sets = list(shingle_sets(batch.column(1), s.width))
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             ends = np.cumsum([0, *map(len, sets)])
@@ -171,9 +195,10 @@ def full_sets(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """Of pairs (a, b) those that are links by their full sets."""
+    """Of pairs (a, b), a kept table, those that are links by their full sets."""
     sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, s)
-    joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    with_b = spread(pairs.select("a", "b"), sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), ["b"])
+    joined = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - common
     return joined.where((common * 100 >= union * s.percent) & (common > 0)).select("a", "b").distinct()
@@ -231,88 +256,119 @@ class Groups:
             self.add(verified(rest, self.docs, self.settings))
 
 
-def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, labels: DataFrame | None, s: Settings) -> DataFrame:
-    """Links (a, b) between classes that share a bucket but no component.
+def dealt_blocks(members: DataFrame, labels: DataFrame | None, s: Settings) -> DataFrame:
+    """Rows of the blocks in which classes that share a bucket but no component meet.
 
-    ``members``: bucket, node and the bucket's size.  The classes outside a bucket's commonest
-    component are compared with all its classes, in blocks of BLOCK by BLOCK: by their
-    signatures, and what these don't rule out by the full sets that stand beside them.  A pair is compared in
-    the first band that it shares, and not if links of the block have joined its components.
-    So a task gives no more links than it joins components, however many pairs it holds.
+    ``members``: bucket, band, node and n (set size).  A bucket's classes of one size class, and those of the class
+    below, are a group.  In a group of several components the classes outside the commonest one (minor) meet all
+    classes: block (i, j) holds those with number i of all and those with number j of the minor ones.
+    """
+    ratio = 100 / s.percent * (1 + 1e-9)
+    size_class = F.floor(F.log("n") / math.log(ratio)).cast("int") if ratio > 1.01 else F.col("n").cast("int")
+    labelled = written(relabel(members, labels, "node", "label").withColumn("own", size_class).withColumn("group", F.explode(F.array("own", F.col("own") + 1))), "labelled")
+    counts = labelled.groupBy("bucket", "group", "label").agg(F.count("*").alias("count"), F.sum("n").alias("hashes"))
+    most = F.max(F.struct("count", "label", "hashes")).alias("most")
+    mixed = counts.groupBy("bucket", "group").agg(most, F.sum("count").alias("count"), F.sum("hashes").alias("hashes"), F.count("*").alias("labels")).where("labels > 1")
+    needed = lambda count, hashes: F.ceil(F.greatest(count / BLOCK, hashes / BLOCK_HASHES, F.lit(1))).cast("int")
+    mixed = written(mixed.select("bucket", "group", "count", F.col("most.label").alias("major"), needed(F.col("count"), F.col("hashes")).alias("blocks"), needed(F.col("count") - F.col("most.count"), F.col("hashes") - F.col("most.hashes")).alias("minor_blocks")), "groups")
+    rows = written(spread(labelled, mixed, ["bucket", "group"], "count"), "mixed")
+    place, kept = F.xxhash64("node"), ["bucket", "group", "band", "node", "n", "label", (F.col("own") == F.col("group")).alias("upper")]
+    every = rows.select(*kept, F.lit(False).alias("minor"), F.pmod(place, "blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("j"))
+    minor = rows.where("label != major").select(*kept, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(place, "minor_blocks").cast("int").alias("j"))
+    return every.union(minor)
+
+
+def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings, listed: str) -> DataFrame:
+    """What the blocks find.  A pair counts in the first band that it shares, if its sizes and signatures don't rule it out.
+
+    ``listed``: "links" (a, b), the likeliest first, and none within what they have joined: as many as would join
+    components by signatures or, if the sets are there, as do; "members" (bucket, band, node, n) that have a partner.
     """
-    labelled = relabel(members.where("size > 2"), labels, "node", "label")
-    counts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    rows = written(labelled.join(mixed.select("bucket", "major", "n", "n_major"), "bucket"), "mixed")
-    sets = full_sets(rows.select(F.col("node").alias("id")).distinct(), docs, s)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    minor_blocks = F.ceil((F.col("n") - F.col("n_major")) / BLOCK).cast("int")
-    place = F.xxhash64("node")
-    all_rows = rows.select("bucket", "node", "label", F.lit(False).alias("minor"), F.pmod(place, blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("j"))
-    minor = rows.where("label != major").select("bucket", "node", "label", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.pmod(place, minor_blocks).cast("int").alias("j"))
-    told = sigs.join(sets.select(F.col("id").alias("node"), "set"), "node").select("node", "bands", "sig", "set")
-    dealt = all_rows.union(minor).join(told, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    dealt = dealt.select("bucket", "i", "j", "node", "label", "minor", "bands", "sig", "set")
-    kind = members.schema["node"].dataType
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    told = sigs.select("node", "sig")
+    columns = ["bucket", "group", "i", "j", "band", "node", "n", "label", "upper", "minor", "sig"]
+    if sets is not None:
+        told = told.join(sets.select(F.col("id").alias("node"), "set"), "node")
+        columns.append("set")
+    placed = blocks.join(told, "node").repartition("bucket", "group", "i", "j").sortWithinPartitions("bucket", "group", "i", "j").select(columns)
+    kind = blocks.schema["node"].dataType
+    if listed == "links":
+        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    else:
+        schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("node", kind), T.StructField("n", T.LongType())])
+
+    def partners(rows: pa.Table, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of rows that may be links, and how many values agree."""
+        is_minor, upper = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("minor", "upper"))
+        sig, n = signatures(rows.column("sig"), s), rows.column("n").to_numpy()
+        band = rows.column("band")[0].as_py()
+        left, right = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
+        for at in range(0, len(left), 32):
+            own = left[at : at + 32, None]
+            small, large = np.minimum(n[own], n[right]), np.maximum(n[own], n[right])
+            x, y = np.nonzero((label[own] != label[right]) & (upper[own] | upper[right]) & (100 * small >= s.percent * large))
+            x, y = left[at + x], right[y]
+            agree, done = np.zeros(len(x), np.int64), 0
+            for seen, need in bounds(s):
+                agree = agree + (sig[x, done:seen] == sig[y, done:seen]).sum(1)
+                keep = agree >= need
+                x, y, agree, done = x[keep], y[keep], agree[keep], seen
+            if band and len(x):
+                before = (sig[x, : band * s.rows] == sig[y, : band * s.rows]).reshape(len(x), band, s.rows)
+                keep = ~before.all(2).any(1)
+                x, y, agree = x[keep], y[keep], agree[keep]
+            if len(x):
+                yield x, y, agree
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        is_minor = rows.column("minor").to_numpy(zero_copy_only=False).astype(bool)
-        node, (names, label) = rows.column("node").to_pylist(), np.unique(rows.column("label").to_pandas().to_numpy(), return_inverse=True)
-        sig = signatures(rows.column("sig"), s)
-        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, s.bands)
-        sets = rows.column("set").combine_chunks()
-        ends, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
-        band = int(np.flatnonzero(bands[0] == rows.column("bucket")[0].as_py())[0])
+        node = rows.column("node").to_pylist()
+        names, label = np.unique(rows.column("label").to_pandas().to_numpy(), return_inverse=True)
+        if listed == "members":
+            seen = {int(k) for x, y, _ in partners(rows, label) for k in np.union1d(x, y)}
+            first = list({node[k]: k for k in sorted(seen)}.values())
+            return pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(first, pa.int64())).combine_chunks().cast(t) for c, t in zip(schema.names, (pa.int64(), pa.int32(), rows.schema.field("node").type, pa.int64()))], names=schema.names)
         top = np.arange(len(names))  # of each component the one that links of this block have joined it to
 
         def root(x: int) -> int:
             while top[x] != x:
+                top[x] = top[top[x]]
                 x = top[x]
             return x
 
-        left, right = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
+        linked = exactly(rows) if sets is not None else (lambda i, j: True)
         links = []
-        for at in range(0, len(left), 32):
-            x, y = np.nonzero(label[left[at : at + 32]][:, None] != label[right][None])
-            x, y = left[at + x], right[y]
-            done = 0
-            for seen, need in bounds(s):
-                agree = (sig[x, done:seen] == sig[y, done:seen]).sum(1) + (agree if done else 0)
-                keep = agree >= need
-                x, y, agree, done = x[keep], y[keep], agree[keep], seen
-                if not len(x):
-                    break
-            if band and len(x):
-                keep = ~(bands[x, :band] == bands[y, :band]).any(1)
-                x, y, agree = x[keep], y[keep], agree[keep]
-            for k in np.argsort(-agree, kind="stable") if len(x) else ():
+        for x, y, agree in partners(rows, label):
+            for k in np.argsort(-agree, kind="stable"):
                 i, j = int(x[k]), int(y[k])
                 p, q = root(label[i]), root(label[j])
-                if p == q:
-                    continue
-                m, n = int(ends[i + 1] - ends[i]), int(ends[j + 1] - ends[j])
-                if 100 * min(m, n) < s.percent * max(m, n):
-                    continue
-                both = np.concatenate([values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= s.percent * (m + n - common):
+                if p != q and linked(i, j):
                     top[max(p, q)] = min(p, q)
                     links.append((min(node[i], node[j]), max(node[i], node[j])))
         arrow = rows.schema.field("node").type
         return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], arrow) for k in (0, 1)], names=["a", "b"])
 
+    def exactly(rows: pa.Table) -> Callable[[int, int], bool]:
+        column = rows.column("set").combine_chunks()
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+
+        def linked(i: int, j: int) -> bool:
+            m, n = int(ends[i + 1] - ends[i]), int(ends[j + 1] - ends[j])
+            both = np.concatenate([values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]])
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            return 100 * common >= s.percent * (m + n - common)
+
+        return linked
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:
-            b, i, j = (batch.column(k).to_numpy() for k in range(3))
-            cuts = np.flatnonzero((np.diff(b) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(4)]
+            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
             ends = [0, *cuts.tolist(), batch.num_rows]
             for first, last in zip(ends[:-1], ends[1:]):
-                if first == last:
-                    continue
-                own = (b[first], i[first], j[first])
+                own = tuple(k[first] for k in keys)
                 if own != key and held:
                     yield compare(pa.Table.from_batches(held))
                     held = []
@@ -321,28 +377,44 @@ def across(members: DataFrame, sigs: DataFrame, docs: DataFrame, labels: DataFra
         if held:
             yield compare(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, schema).distinct()
+    return placed.mapInArrow(run, schema).distinct()
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """id, n_shingles, component_id and kept of every row of ``df``.
+def across(members: DataFrame, sigs: DataFrame, groups: Groups) -> None:
+    """Add the links between classes that share a bucket but no component; ``members``: bucket, band, node and n."""
+    s = groups.settings
+    blocks = written(dealt_blocks(members, groups.labels, s), "blocks")
+    if blocks.isEmpty():
+        return
+    likely = written(met(blocks, sigs, None, s, "links"), "pairs")
+    if likely.isEmpty():
+        return
+    groups.add(verified(likely, groups.docs, s))
+    blocks = written(dealt_blocks(blocks.select("bucket", "band", "node", "n").distinct(), groups.labels, s), "blocks")
+    left = written(met(blocks, sigs, None, s, "members"), "members")
+    if left.isEmpty():
+        return
+    blocks = written(dealt_blocks(left, groups.labels, s), "blocks")
+    sets = full_sets(left.select(F.col("node").alias("id")).distinct(), groups.docs, s)
+    groups.add(met(blocks, sigs, sets, s, "links"))
 
-    Texts and sets go to the Python workers in narrow batches (support.narrow_batches), for the session from here on.
-    """
+
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """id, n_shingles, component_id and kept of every row of ``df``."""
     s = settings
-    narrow_batches(df.sparkSession)
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = written(sketches(docs, "id", "text", s), "sketches")
     some = rows.where("n > 0 and id is not null")
     classes = written(some.groupBy("c1", "c2").agg(F.min("id").alias("node")), "classes")
-    sigs = written(some.join(classes, ["c1", "c2"]).where("id = node").dropDuplicates(["c1", "c2"]).select("node", "bands", "sig"), "signatures")
+    sigs = written(some.join(classes, ["c1", "c2"]).where("id = node").dropDuplicates(["c1", "c2"]).select("node", "n", "bands", "sig"), "signatures")
 
-    cells = sigs.select("node", F.explode("bands").alias("bucket"))
-    buckets = cells.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-    members = written(cells.join(buckets, "bucket"), "members")
+    cells = sigs.select("node", "n", F.posexplode("bands").alias("band", "bucket"))
+    buckets = written(cells.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"), "buckets")
+    members = written(spread(cells, buckets, ["bucket"], "size"), "members")
     groups = Groups(docs, s)
-    groups.settle(screened(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), sigs, s))
-    groups.add(across(members.select("bucket", "node", "size"), sigs, docs, groups.labels, s))
+    pairs = written(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
+    groups.settle(screened(pairs, sigs, s))
+    across(members.where("size > 2").select("bucket", "band", "node", "n"), sigs, groups)
 
     placed = rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
     placed = relabel(placed, groups.labels, "node", "component")

@@ -9,9 +9,12 @@ a bitfield, so each is left but once.
 
 No piece holds a space mark after another character, so a text falls apart into
 stretches (a run of spaces and what follows up to the next) that encode by
-themselves; a worker remembers the stretches it has met.
+themselves; a worker remembers the short stretches it has met, up to a bound in bytes.
 
-Text null or empty: the end id alone, decoded to "".
+Text null or empty: the end id alone, decoded to "".  Texts of any length are encoded
+whole, each row by itself: repeated rows give equal rows, and an empty table gives none.
+Columns that have the name of one that is appended are replaced; digests() gives the id
+and its own columns alone, whatever else the table holds.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import narrow_batches
+from ragloom.llm.support import narrow
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Stretches, and pairs, that a worker remembers; then it starts anew.  It bounds memory and changes no result.
-KNOWN = 300_000
+#: What a worker remembers: stretches of up to so many characters, in about so many bytes, and so many pairs of
+#: tokens; then it starts anew.  This bounds memory and changes no result.
+SHORT, KNOWN_BYTES, KNOWN_PAIRS = 64, 64 << 20, 150_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -110,6 +114,7 @@ class PieceCodec:
         self.surface = ["" if kind == CONTROL else " ⁇ " if kind == UNKNOWN else p.replace(SPACE, " ") for p, _, kind in pieces]
         self.apart: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
 
     def merge(self, text: str) -> list[str]:
         """Merge adjacent symbols, the best score first and of equals the leftmost, until none is left to merge."""
@@ -132,7 +137,7 @@ class PieceCodec:
         key = left << 32 | right
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) >= KNOWN:
+            if len(self.apart) >= KNOWN_PAIRS:
                 self.apart.clear()
             a, b = (self.pieces[i][0] if i < len(self.pieces) else chr(i - len(self.pieces)) for i in (left, right))
             known = self.apart[key] = self.merge(a + b) == [a, b]
@@ -220,14 +225,19 @@ class PieceCodec:
     def lookup(self, stretch: str) -> tuple[int, str, str]:
         own = self.ids(stretch)
         back = "".join([self.surface[i] for i in own]) if min(own) >= self.first_piece else self.decode(own, start=False)
-        if len(self.known) >= KNOWN:
-            self.known.clear()
-        self.known[stretch] = found = (len(own), " ".join([self.digits[i] for i in own]), stretch if back == stretch else back)
+        found = (len(own), " ".join([self.digits[i] for i in own]), stretch if back == stretch else back)
+        if len(stretch) <= SHORT:
+            self.held += 300 + 2 * len(stretch) + len(found[1])  # of Python's objects, about
+            if self.held > KNOWN_BYTES:
+                self.known.clear()
+                self.held = 0
+            self.known[stretch] = found
         return found
 
     def forget(self) -> None:
         """Give the memory of what was met back, as other work may follow in this process."""
         self.known.clear()
+        self.held = 0
         self.apart.clear()
 
     def encode(self, text: str) -> list[int]:
@@ -284,7 +294,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for batch in batches:
+        for batch in narrow(batches):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             ids = pa.array([list(map(int, c.summary(t or "")[1].split(" "))) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
@@ -312,14 +322,13 @@ def digests(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", r
 
     ``release``: give a worker's memory of stretches back after each task, where other work follows in the same workers.
     """
-    narrow_batches(df.sparkSession)
     base = df.select(F.col(id), F.col(text).alias("__text"))
     schema = T.StructType([base.schema.fields[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-        for batch in batches:
+        for batch in narrow(batches):
             rows = []
             for t in batch.column(1):
                 n, ids, back = c.summary(t.as_py() or "")

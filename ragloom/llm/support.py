@@ -27,11 +27,17 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where none is set (as in tests), a local one is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder of ``spark.checkpoint.dir`` (or of SparkContext.setCheckpointDir), which all executors share.
+
+    Where none is set, a local session (one process, as in tests) gets a folder of its own; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: the operators keep tables in a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="ragloom-shared-")
-        spark.sparkContext.setCheckpointDir(folder)
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -48,11 +54,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let at most ``rows`` rows of texts or sets travel to a Python worker at once; a lower setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+def narrow(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that a worker holds Python objects and results of few rows at once.
+
+    What travels from the JVM at once is bounded in bytes by the session (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def steps(sizes: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:

@@ -7,7 +7,9 @@ end when no pre-token has a pair with a rank.  A pair that a merge newly forms
 holds the merged symbol, whose own merges all rank later, so taking all places
 of the lowest rank at once equals taking them one by one from the left.
 
-Text null or empty: 0 bytes, 0 tokens.  Texts of any length are counted whole.
+Text null or empty: 0 bytes, 0 tokens.  Texts of any length are counted whole, each row
+by itself: repeated rows give equal rows, an empty table gives none, and columns that have
+the name of an appended one are replaced.
 """
 
 from __future__ import annotations
@@ -22,8 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens that a worker remembers; then it starts anew.  It bounds memory and changes no count.
-KNOWN = 400_000
+from ragloom.llm.support import narrow
+
+#: What a worker remembers: pre-tokens of up to so many characters, in about so many bytes; then it starts anew.
+#: This bounds memory and changes no count.
+SHORT, KNOWN_BYTES = 64, 64 << 20
 #: Characters that are split into pre-tokens at once.
 STEP_CHARS = 1 << 20
 
@@ -58,6 +63,7 @@ class PairMerger:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.split = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.width + right
@@ -120,13 +126,21 @@ class PairMerger:
                 extra.append(len(pieces) - 1)
         new = set().union(*parts).difference(known)
         if new:
-            if len(known) + len(new) > KNOWN:
+            size = sum(map(len, new)) + 160 * len(new)  # of Python's objects, about
+            if known and self.held + size > KNOWN_BYTES:
                 known.clear()
+                self.held = 0
                 new = set().union(*parts)
             new = list(new)
             known.update(zip(new, self.merged_sizes(new).tolist(), strict=True))
         get = known.__getitem__
-        return [sum(map(get, tokens)) + more for tokens, more in zip(parts, extra, strict=True)]
+        found = [sum(map(get, tokens)) + more for tokens, more in zip(parts, extra, strict=True)]
+        for token in new:
+            if len(token) > SHORT:
+                del known[token]
+            else:
+                self.held += 160 + len(token)
+        return found
 
 
 _MERGERS: dict[str, PairMerger] = {}
@@ -153,7 +167,7 @@ def count_tokens(df: DataFrame, vocabulary: str, text: str = "text", limit: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(vocabulary)
-        for batch in batches:
+        for batch in narrow(batches, 2000):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             n_tokens: list[int] = []
             todo: list[str] = []
