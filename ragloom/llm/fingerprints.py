@@ -2,18 +2,23 @@
 
 Byte triplets of a sliding window are hashed into 256 buckets and counted.  A bucket is
 encoded by the quartile of the counts that it falls in, two bits each; before them stand
-one byte for the length (logarithmic) and one for the ratios of the quartiles.  Two
-digests differ by a bounded score: buckets by how far their quartiles lie apart, and a
-little for length and ratios.  likeness() is 1 less the score's share of its bound.
-
-Text null or empty, or too short for a triplet: all counts are zero, and the digest tells
-the length alone.  Rows of one id stand in the order of their texts; a null id comes first.
+a byte of checksum, one for the length (logarithmic) and one for the ratios of the
+quartiles.  Two digests differ by a bounded score: buckets by how far their quartiles lie
+apart, and a little for checksum, length and ratios.  likeness() is 1 less the score's share of its bound; for
+texts so short that their filled buckets could not reach the bound, of what they could.
+
+Text null or empty: all counts are zero, and the digest tells the length alone; a text of
+one or two bytes counts as a triplet that zeros fill up.  Rows of one id stand in the order
+of their texts, so repeated rows follow one another; a null id comes first.  An empty table
+gives no rows, and other columns are not looked at (fingerprints() keeps them and replaces
+one of the name that it appends).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +35,8 @@ BUCKETS = 256
 STEP_SCORE = np.array([0, 1, 2, 6], np.uint8)
 #: Most that length and ratios add, and the score that counts as no likeness at all.
 MOST_LENGTH, MOST_RATIO, BOUND = 36, 12, 400
+#: Bytes before the buckets.
+HEAD = 3
 #: Places in the window that a triplet reads.
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 _FACTORS = np.array([2654435761, 2246822519, 3266489917], np.uint32)
@@ -37,18 +44,22 @@ _SALTS = np.array([374761393, 668265263, 1274126177], np.uint32)
 
 
 def counts(data: np.ndarray) -> np.ndarray:
-    n = len(data) - 3
-    if n <= 0:
-        return np.zeros(BUCKETS, np.int64)
-    wide = data.astype(np.uint32)
+    """How many triplets fall into each bucket; every kind of triplet is counted at all places where it fits."""
     total = np.zeros(BUCKETS, np.int64)
+    if not len(data):
+        return total
+    wide = np.zeros(max(len(data), 3), np.uint32)
+    wide[: len(data)] = data
     for k, (a, b, c) in enumerate(TRIPLETS):
+        n = max(len(wide) - c, 0)
         h = wide[a : a + n] * _FACTORS[0]
         h += wide[b : b + n] * _FACTORS[1]
         h += wide[c : c + n] * _FACTORS[2]
         h += _SALTS[k]
         h ^= h >> np.uint32(15)
         h *= _FACTORS[1]
+        h ^= h >> np.uint32(13)
+        h *= _FACTORS[2]
         total += np.bincount(h >> np.uint32(24), minlength=BUCKETS)
     return total
 
@@ -61,7 +72,7 @@ def digest(text: str) -> bytes:
     packed = codes.reshape(-1, 4) << np.array([6, 4, 2, 0], np.uint8)
     length = min(255, round(math.log1p(len(data)) / math.log(1.1)))
     ratios = (int(q1 * 15 // q3) << 4 | int(q2 * 15 // q3)) if q3 else 0
-    return bytes([length, ratios]) + packed.sum(1).astype(np.uint8).tobytes()
+    return bytes([zlib.crc32(data) & 255, length, ratios]) + packed.sum(1).astype(np.uint8).tobytes()
 
 
 _PAIR = np.zeros((256, 256), np.uint8)
@@ -72,14 +83,18 @@ for _k in range(4):
 
 def difference(a: bytes, b: bytes) -> int:
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    body = int(_PAIR[x[2:], y[2:]].sum())
-    length = abs(int(x[0]) - int(y[0]))
-    ratio = abs(int(x[1] >> 4) - int(y[1] >> 4)) + abs(int(x[1] & 15) - int(y[1] & 15))
-    return body + min(MOST_LENGTH, length) + min(MOST_RATIO, ratio)
+    body = int(_PAIR[x[HEAD:], y[HEAD:]].sum())
+    length = abs(int(x[1]) - int(y[1]))
+    ratio = abs(int(x[2] >> 4) - int(y[2] >> 4)) + abs(int(x[2] & 15) - int(y[2] & 15))
+    return body + int(x[0] != y[0]) + min(MOST_LENGTH, length) + min(MOST_RATIO, ratio)
+
+
+_FILLED = STEP_SCORE.astype(np.int64)[_CODES].sum(1)
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    return max(0.0, 1.0 - difference(a, b) / BOUND)
+    filled = int(_FILLED[np.frombuffer(a, np.uint8)[HEAD:]].sum() + _FILLED[np.frombuffer(b, np.uint8)[HEAD:]].sum())
+    return max(0.0, 1.0 - difference(a, b) / min(BOUND, filled or BOUND))
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
