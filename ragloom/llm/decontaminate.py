@@ -12,9 +12,15 @@ An item too short for the fixed masks to hit all its overlaps (under nine tokens
 masks of its own length instead, one for every choice of the places that have to be
 equal, joined with the documents' runs of that length.
 
+Hits are kept as a table in the shared folder.  They are few beside the texts, so only
+texts with a hit are read again, cut to tokens once more and verified; the others are not
+shuffled.  Items with equal tokens are looked for once and all reported.
+
 Items or documents that are null or without a token overlap with nothing; an item of one
-token overlaps with every document that holds it.  A repeated row is found as often as
-it stands there.  Items with equal tokens are all reported.
+token overlaps with every document that holds it.  A pair of ids gives one row: where an
+id is repeated, with the same text or with others, the pair of texts with the most equal
+tokens counts, and of these that with the most diagonals.  Rows without an id are found
+under null.  Empty tables give no rows, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,7 +33,9 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct seeds of the benchmark up to this number (about 16 bytes each) are sent to every task; more are joined by a shuffle.
+from ragloom.llm.support import written
+
+#: Distinct seeds of the benchmark up to this number (about 16 bytes each) are sent to every task, and as many hits; more are joined by a shuffle.
 MOST_SENT = 500_000
 
 
@@ -88,12 +96,12 @@ def run_seeds(words: Column, n: int, s: Settings) -> Column:
 
 
 def short_pairs(words: DataFrame, own: DataFrame, lengths: list[int], s: Settings) -> DataFrame:
-    """doc, item, diagonal, item_words and what lies ``beside`` them, of every hit of the items of these lengths."""
+    """row, doc, item, diagonal, item_words and what lies ``beside`` them, of every hit of the items of these lengths."""
     runs = lambda name: F.explode(F.concat(*(run_seeds(F.col(name), n, s) for n in lengths))).alias("s")
     item_seeds = own.select("item", "item_words", runs("item_words")).where(F.col("s.run") == F.col("item_words")).select("item", "item_words", F.col("s.seed").alias("seed"))
-    doc_seeds = words.select("doc", runs("doc_words")).select("doc", F.col("s.place").alias("diagonal"), F.col("s.run").alias("beside"), F.col("s.seed").alias("seed"))
+    doc_seeds = words.select("row", "doc", runs("doc_words")).select("row", "doc", F.col("s.place").alias("diagonal"), F.col("s.run").alias("beside"), F.col("s.seed").alias("seed"))
     hits = doc_seeds.join(F.broadcast(item_seeds) if item_seeds.count() <= MOST_SENT else item_seeds, "seed")
-    return hits.select("doc", "item", "diagonal", "item_words", "beside")
+    return hits.select("row", "doc", "item", "diagonal", "item_words", "beside")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -101,23 +109,30 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     s = settings
     if not covered(s.window, s):
         raise ValueError("the masks don't hit every overlap")
-    every = items.select(F.col(item_id).alias("item"), tokens(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
-    short = [n for n in range(1, s.window) if not covered(n, s)]
-    own = every.where(~F.size("item_words").isin(short))
+    named = items.select(F.col(item_id).alias("item_id"), tokens(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0).withColumn("key", F.md5(F.array_join("item_words", " ").cast("binary")))
+    # Numbered once and kept, so that every job sees the same numbers.
+    every = written(named.dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("item"), "key", "item_words"), "items")
+    lengths = sorted(r[0] for r in every.select(F.size("item_words").alias("n")).where(F.col("n") < s.window).distinct().collect() if not covered(r[0], s))
+    own = every.where(~F.size("item_words").isin(lengths)).select("item", "item_words")
     item_seeds = own.select("item", F.explode(seeds(F.col("item_words"), s)).alias("s")).select("item", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
     small = item_seeds.count() <= MOST_SENT
     sent = F.broadcast if small else (lambda df: df)
-    words = docs.select(F.col(doc_id).alias("doc"), tokens(F.col(doc_text)).alias("doc_words"))
-    doc_seeds = words.select("doc", F.explode(seeds(F.col("doc_words"), s)).alias("s")).select("doc", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
-    hits = doc_seeds.join(sent(item_seeds), "seed").select("doc", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct()
-    texts = docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text"))
-    rows = hits.join(texts, "doc").join(sent(own), "item")
-    # What of the document lies beside the item's tokens; exploded, so that a text is cut to tokens once.
-    n, at, doc_words = F.size("item_words"), F.col("diagonal"), tokens(F.col("doc_text"))
+    # A row goes by a hash of its id and text; what the hits of two rows have in common is told apart by the verification.
+    texts = docs.select(F.xxhash64(F.col(doc_id).cast("string"), doc_text).alias("row"), F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text"))
+    words = texts.select("row", "doc", tokens(F.col("doc_text")).alias("doc_words"))
+    doc_seeds = words.select("row", F.explode(seeds(F.col("doc_words"), s)).alias("s")).select("row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
+    hits = written(doc_seeds.join(sent(item_seeds), "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct(), "hits")
+    at, n = F.col("diagonal"), F.size("item_words")
+    if hits.count() <= MOST_SENT:
+        met = texts.join(F.broadcast(hits.select("row").distinct()), "row", "left_semi")
+        rows = met.select("row", "doc", tokens(F.col("doc_text")).alias("doc_words")).join(F.broadcast(hits), "row")
+        doc_words = F.col("doc_words")
+    else:
+        rows, doc_words = texts.join(hits, "row"), tokens(F.col("doc_text"))
+    # What of the document lies beside the item's tokens; exploded, so that it is cut out once.
     ahead = F.concat(F.array_repeat(F.lit(None).cast("string"), -at), F.slice(doc_words, F.lit(1), F.greatest(n + at, F.lit(0))))
     beside = F.when(at >= 0, F.slice(doc_words, F.greatest(at, F.lit(0)) + 1, n)).otherwise(ahead)
-    compared = rows.select("doc", "item", "diagonal", "item_words", F.explode(F.array(beside)).alias("beside"))
-    lengths = sorted(r[0] for r in every.select(F.size("item_words").alias("n")).where(F.col("n").isin(short)).distinct().collect())
+    compared = rows.join(sent(own), "item").select("row", "doc", "item", "diagonal", "item_words", F.explode(F.array(beside)).alias("beside"))
     if lengths:
         compared = compared.unionByName(short_pairs(words, every.where(F.size("item_words").isin(lengths)), lengths, s))
     equal = F.zip_with("item_words", "beside", lambda w, d: F.coalesce((w == d).cast("int"), F.lit(0)))
@@ -125,8 +140,11 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     need = F.ceil(length * s.matches / s.window).cast("int")
     total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
     close = F.exists(F.sequence(F.lit(1), F.size("equal") - length + 1), lambda i: total(F.slice("equal", i, length)) >= need)
-    kept = compared.select("doc", "item", "diagonal", equal.alias("equal")).where(close).select("doc", "item", "diagonal", total(F.col("equal")).alias("matched"))
-    return kept.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.countDistinct("diagonal").alias("n_diagonals"), F.max("matched").alias("n_matched"))
+    kept = compared.select("row", "doc", "item", "diagonal", equal.alias("equal")).where(close).select("row", "doc", "item", "diagonal", total(F.col("equal")).alias("matched"))
+    of_rows = kept.groupBy("row", "doc", "item").agg(F.max("matched").alias("n_matched"), F.countDistinct("diagonal").alias("n_diagonals"))
+    ids = every.join(named.select("item_id", "key").distinct(), "key").select("item", "item_id")
+    pairs = of_rows.join(sent(ids), "item").groupBy("doc", "item_id").agg(F.max(F.struct("n_matched", "n_diagonals")).alias("most"))
+    return pairs.select(F.col("doc").alias(doc_id), F.col("item_id").alias(item_id), F.col("most.n_diagonals").alias("n_diagonals"), F.col("most.n_matched").alias("n_matched"))
 
 
 def without_overlaps(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
