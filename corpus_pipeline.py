@@ -21,13 +21,16 @@ SURE = 0.99
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those that the net places, surely, in another language than they claim.
 
-    The net learns from the labelled rows of ``docs`` outside fold 0.  A row without a label is judged by its text alone.
+    The net learns from the labelled rows of ``docs`` outside fold 0.  A row without a label, or with one that the net
+    has not learned, is judged by its text alone; without any labelled text so are all.
     """
     fold = F.coalesce(language_id.fold_of(F.col("doc_id")), F.lit(0))
     net = language_id.fit(docs.where(fold != 0))
+    if not net.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     seen = language_id.predict(docs, net, label="__lang", score="__score")
-    wrong = F.col("lang").isNotNull() & (F.col("lang") != F.col("__lang")) & (F.col("__score") >= SURE)
-    return seen.where((F.col("__lang") != "und") & ~wrong).select(docs.columns)
+    wrong = F.col("lang").isin(net.labels) & (F.col("lang") != F.col("__lang")) & (F.col("__score") >= SURE)
+    return seen.where((F.col("__lang") != "und") & ~F.coalesce(wrong, F.lit(False))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = near_dedup.near_duplicates(docs)
     gone = groups.where("not kept").select("doc_id").distinct()
     unique = docs.join(gone, "doc_id", "left_anti")
-    # Rows that repeat an id are equal or, with other texts, documents of their own: one row of each text stays.
-    return unique.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    # Rows that repeat an id are equal or, with other texts, documents of their own: of each text the row stays whose
+    # other columns are least, in their order.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in others])) if others else F.lit(None)
+    one = unique.groupBy("doc_id", "text").agg(least.alias("__row"))
+    return one.select(*[F.col(f"__row.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
