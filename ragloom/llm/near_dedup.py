@@ -38,14 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import mix, narrow, ragged, run_hashes, steps, utf8, words, written
+from ragloom.llm.support import mix, narrow, ragged, run_hashes, spread, steps, utf8, words, written
 
 #: Ids up to this number (8 bytes each) are sent to all tasks to pick rows of a large table; more are joined by a shuffle.
 MOST_SENT = 1_000_000
 #: Classes of one bucket that a task compares with one another at once, and hashes of their sets that it then holds (8 bytes each), about.
 BLOCK, BLOCK_HASHES = 512, 1 << 20
-#: Rows of one key that go to one task in a join: so many, or this part of all rows, so that the keys of more rows are few.
-LEAST_HOT, HOT_PART = 1000, 10_000
 
 
 @dataclass(frozen=True)
@@ -143,21 +141,6 @@ def signatures(column: pa.Array, s: Settings) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, s.hashes)
 
 
-def spread(rows: DataFrame, table: DataFrame, key: list[str], size: str | None = None) -> DataFrame:
-    """rows.join(table, key), where ``table`` has each key once and ``rows``, a cheap one, may have a key very often.
-
-    Rows of such a key are dealt over tasks, and its one row of ``table`` is sent to each of them.  ``size``: the
-    column of ``table`` that says how many rows have the key; without it they are counted.
-    """
-    least = max(LEAST_HOT, rows.count() // HOT_PART)
-    sizes = table.select(*key, F.col(size).alias("__size")) if size else rows.groupBy(*key).agg(F.count("*").alias("__size"))
-    hot = sizes.where(F.col("__size") > least).select(*key, F.ceil(F.col("__size") / least).cast("int").alias("__deals"))  # at most HOT_PART keys
-    deals = F.coalesce("__deals", F.lit(1))
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", F.pmod(F.xxhash64(*rows.columns), deals).cast("int")).drop("__deals")
-    copies = table.join(F.broadcast(hot), key, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("__deals")
-    return dealt.join(copies, [*key, "__deal"]).drop("__deal")
-
-
 def screened(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
     """Of pairs (a, b), a kept table, those that the batches of their signatures don't rule out, with the values that agree."""
     with_b = spread(pairs, sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), ["b"])

@@ -9,9 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at once; a longer document is a step of its own.
 STEP_BYTES = 1 << 20
+#: Rows of one key that go to one task in spread(): so many, or this part of all rows, so that keys of more rows are few.
+LEAST_HOT, HOT_PART = 1000, 10_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -54,6 +57,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame, table: DataFrame, key: list[str], size: str | None = None, least: int | None = None) -> DataFrame:
+    """rows.join(table, key), where ``table``, a kept one, has each key once and ``rows`` may have a key very often.
+
+    Rows of such a key (more than ``least`` or LEAST_HOT of them, and more than a HOT_PARTth of all rows) are dealt
+    over tasks, and its one row of ``table`` is sent to each.  ``size``: the column of ``table`` that says how many rows
+    have the key; without it they are counted.  At most HOT_PART keys are broadcast.
+    """
+    if size:
+        sizes = table.select(*key, F.col(size).alias("__size"))
+        total = sizes.agg(F.sum("__size")).first()[0] or 0
+    else:
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("__size"))
+        total = rows.count()
+    least = max(least or LEAST_HOT, total // HOT_PART)
+    hot = sizes.where(F.col("__size") > least).select(*key, F.ceil(F.col("__size") / least).cast("int").alias("__deals"))
+    deals = F.coalesce("__deals", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", F.pmod(F.xxhash64(*rows.columns), deals).cast("int")).drop("__deals")
+    copies = table.join(F.broadcast(hot), key, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("__deals")
+    return dealt.join(copies, [*key, "__deal"]).drop("__deal")
+
+
 def narrow(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows``, so that a worker holds Python objects and results of few rows at once.
 

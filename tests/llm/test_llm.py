@@ -65,9 +65,52 @@ def removed_by_force(rows, width=35):
 @pytest.mark.parametrize("group", [2048, 2])
 def test_substring_dedup_equals_force(docs, rows, group, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
-    found = sorted((tuple(r) for r in substring_dedup.remove_duplicate_passages(docs).collect()), key=str)
+    rows = [*rows, *[rows[9]] * 5]
+    docs = docs.unionByName(docs.where("doc_id = 10"))
+    for _ in range(4):
+        docs = docs.unionByName(docs.where("doc_id = 10").limit(1))
+    parsed = substring_dedup.remove_duplicate_passages(docs).collect()
+    found = sorted((tuple(r)[:4] for r in parsed), key=str)
     assert found == removed_by_force(rows)
     assert sum(r[2] for r in found) > 300
+    check_factors(rows, parsed)
+
+
+def check_factors(rows, parsed, width=35):
+    """Factors are copies: in order, apart, long enough, and each word sequence stands in another place too, at the block's place."""
+    texts = collections.defaultdict(list)
+    for r in parsed:
+        for f in r.factors:
+            texts[f.block].append((r.doc_id, f))
+    split = [WORD.findall(t or "") for _, t, *_ in rows]
+    by_id = collections.defaultdict(list)
+    for (doc, *_), w in zip(rows, split):
+        by_id[doc].append(w)
+    n = 0
+    for r in parsed:
+        at = 0
+        own = [w for w in by_id[r.doc_id] if len(w) == r.n_words][0]
+        for f in r.factors:
+            assert f.first >= at and f.first + f.length <= r.n_words
+            at = f.first + f.length
+            n += 1
+            piece = own[f.first : f.first + f.length]
+            assert any(w[f.offset : f.offset + f.length] == piece for w in split)
+    assert n > 5
+
+
+def test_substring_dedup_of_passages_in_many_settings(spark):
+    """One gram in many settings, some of which repeat: the second index has to find them."""
+    gram = sentence(1000, 12)
+    settings = [sentence(1100 + k, 30) for k in range(12)]
+    rows = [(i, " ".join(sentence(2000 + i, i % 5) + settings[i % 12][: 20 + i % 3] + gram + settings[(i * 7 + i // 12) % 12][: 25 + i % 4])) for i in range(72)]
+    found = substring_dedup.remove_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r)[:4] for r in found), key=str) == removed_by_force(rows)
+    check_factors(rows, found)
+    whole = [(i, " ".join(sentence(3000, 200))) for i in range(3)]
+    parsed = {r.doc_id: r for r in substring_dedup.remove_duplicate_passages(spark.createDataFrame(whole, "doc_id long, text string")).collect()}
+    assert sorted(len(r.factors) for r in parsed.values()) == [0, 1, 1]  # one is the block of the others, which are one factor each
+    assert all((f.first, f.length, f.offset) == (0, 200, 0) for r in parsed.values() for f in r.factors)
 
 
 def test_substring_dedup_empty(empty):
@@ -392,7 +435,7 @@ def test_near_duplicates_of_large_mixed_buckets(spark, monkeypatch):
     """Bases with many variants whose least member is no link of most; hot buckets, small blocks, and size classes."""
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     monkeypatch.setattr(near_dedup, "BLOCK_HASHES", 300)
-    monkeypatch.setattr(near_dedup, "LEAST_HOT", 3)
+    monkeypatch.setattr(support, "LEAST_HOT", 3)
     rows = []
     for base in range(3):
         words = sentence(700 + base, 90)
@@ -400,6 +443,10 @@ def test_near_duplicates_of_large_mixed_buckets(spark, monkeypatch):
             cut = words[: 60 + i % 25] + sentence(900 + 100 * base + i, i % 9)
             rows.append((1000 * base + i, " ".join(cut)))
     rows += [(5000 + i, " ".join(sentence(7000 + i // 2, 40 + i % 2))) for i in range(30)]
+    base = sentence(99, 100)  # variants that are near one another, but mostly too far for a link
+    for i in range(40):
+        spoilt = {(7 * i + 23 * k) % 100 for k in range(3 + i % 2)}
+        rows.append((6000 + i, " ".join(f"new{i // 2}" if k in spoilt else w for k, w in enumerate(base))))
     for width in (2, 5):
         found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings=near_dedup.Settings(width=width))
         assert sorted((tuple(r) for r in found.collect()), key=str) == components_by_force(rows, width)
