@@ -7,14 +7,16 @@ the last one, run once a document over its rows in order (applyInPandas): a grou
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragloom.functions import text as tx
+from ragloom.sources.writers import staged
 
 # Sizes of the element chunker in characters.
 SOFT, HARD, OVERLAP, TINY = 1500, 2500, 120, 80
@@ -108,11 +110,11 @@ QUESTION = (
 ANSWER = (r"(?im)^(?:Answer|Ans|A)\s*[:\-–—]?\s*\d*\s*[:\-–—]?\s+", r"(?im)^Solution\s*[:\-–—]\s+")
 
 
-def question_blocks(pages: DataFrame, doc: str, page: str = "page", text: str = "text", least: int = 15, lossless: bool = False) -> DataFrame:
+def question_blocks(pages: DataFrame, doc: str, page: str = "page", text: str = "text", least: int = 15, lossless: bool = True) -> DataFrame:
     """doc, block, text, page_start and page_end of stretches that begin like a question.
 
-    Text before the first beginning is dropped (kept as a block if ``lossless``), and so are stretches under
-    ``least`` characters.  A document without beginnings falls apart at blank lines (20 characters at least).
+    Text before the first beginning is a block too.  A document without beginnings falls apart at blank lines.
+    Not ``lossless``: that text is dropped, and so are stretches under ``least`` characters (20 without beginnings).
     """
     joined = pages.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(page).alias("page"), tx.cleaned(F.col(text)).alias("text")))).alias("pages"))
     whole = F.array_join(F.transform("pages", lambda p: p["text"]), "\n")
@@ -128,7 +130,7 @@ def question_blocks(pages: DataFrame, doc: str, page: str = "page", text: str =
     rows = split.withColumn("sizes", sizes).withColumn("ends", ends).select("*", F.posexplode("parts").alias("i", "part"))
     page_at = lambda place: F.coalesce(F.get(F.filter("ends", lambda e: e["end"] > place), F.lit(0))["page"], F.element_at("ends", -1)["page"])
     begin = offset(F.col("i"))
-    kept = rows.select(doc, "i", F.trim(F.regexp_replace("part", r"^\s+|\s+$", "")).alias("text"), page_at(begin).alias("page_start"), page_at(begin + F.greatest(F.length("part") - 1, F.lit(0))).alias("page_end"), F.when(F.col("asked"), least).otherwise(20).alias("least"))
+    kept = rows.select(doc, "i", F.trim(F.regexp_replace("part", r"^\s+|\s+$", "")).alias("text"), page_at(begin).alias("page_start"), page_at(begin + F.greatest(F.length("part") - 1, F.lit(0))).alias("page_end"), F.lit(1).alias("least") if lossless else F.when(F.col("asked"), least).otherwise(20).alias("least"))
     kept = kept.where(F.length("text") >= F.col("least"))
     return kept.select(doc, (F.row_number().over(Window.partitionBy(doc).orderBy("i")) - 1).alias("block"), "text", "page_start", "page_end")
 
@@ -171,10 +173,24 @@ def post_process(chunks: DataFrame, doc: str, order: str, text: str = "text", le
     """Drop chunks under ``least`` estimated tokens and repeats of a text in a document, number the others anew and link them."""
     kept = chunks.where(tx.token_estimate(F.col(text)) >= least) if least else chunks
     same = F.row_number().over(Window.partitionBy(doc, F.sha2(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), 256)).orderBy(order))
-    unique = kept.withColumn("__same", same).where("__same = 1").drop("__same")
-    own = Window.partitionBy(doc).orderBy(order)
-    numbered = unique.withColumn("chunk_index", F.row_number().over(own) - 1).withColumn("total_chunks", F.count("*").over(Window.partitionBy(doc)))
-    return numbered.withColumn("prev_chunk_id", F.lag(id).over(own)).withColumn("next_chunk_id", F.lead(id).over(own))
+    return numbered(kept.withColumn("__same", same).where("__same = 1").drop("__same"), doc, order, id)
+
+
+def numbered(rows: DataFrame, doc: str, order: str, id: str) -> DataFrame:
+    """Append chunk_index, total_chunks, prev_chunk_id and next_chunk_id of each document's rows in their order.
+
+    A document may hold a third of all rows: rows are dealt to ranges of (document, order) and numbered there;
+    what lies before a range, and the ids at its edges, come from one row for each document and range.
+    """
+    ranged = staged(rows.repartitionByRange(doc, order).withColumn("__part", F.spark_partition_id()))
+    own, parts = Window.partitionBy("__part", doc).orderBy(order), Window.partitionBy(doc).orderBy("__part")
+    edges = ranged.groupBy(doc, "__part").agg(F.count("*").alias("n"), F.min_by(id, order).alias("first"), F.max_by(id, order).alias("last"))
+    edges = edges.select(
+        doc, "__part", F.coalesce(F.sum("n").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("n").over(Window.partitionBy(doc)).alias("total_chunks"),
+        F.lag("last").over(parts).alias("__prev"), F.lead("first").over(parts).alias("__next"))
+    placed = ranged.withColumn("__at", F.row_number().over(own) - 1).withColumn("__p", F.lag(id).over(own)).withColumn("__n", F.lead(id).over(own))
+    joined = placed.alias("r").join(edges.alias("e"), F.col("r.__part").eqNullSafe(F.col("e.__part")) & F.col(f"r.{doc}").eqNullSafe(F.col(f"e.{doc}")))
+    return joined.select(*[F.col(f"r.{c}") for c in rows.columns], (F.col("r.__at") + F.col("e.__before")).alias("chunk_index"), "e.total_chunks", F.coalesce("r.__p", "e.__prev").alias("prev_chunk_id"), F.coalesce("r.__n", "e.__next").alias("next_chunk_id"))
 
 
 def carried_headings(lines: DataFrame, doc: str, order: list[str], text: str = "text") -> DataFrame:
@@ -298,45 +314,67 @@ def element_chunks(elements: DataFrame, doc: str, order: str = "at") -> DataFram
     return per_document(elements, doc, order, ["kind", "content", "page"], pack, "text string, title string, heading string, page_start int, page_end int, standalone boolean")
 
 
-def word_windows(units: DataFrame, doc: str, order: str = "at", most: int = 400, overlap: int = 60, text: str = "text") -> DataFrame:
-    """Pack paragraphs to windows of at most ``most`` estimated tokens; a window begins with the last ``overlap`` words of the one before.
+def packed_words(paragraphs: list[str | None], most: int = 400, overlap: int = 60) -> list[list[str]]:
+    """Windows of words of at most ``most`` estimated tokens; a window begins with the last ``overlap`` words of the one before.
 
     A paragraph over the limit is packed by its sentences, one long sentence by fixed runs of words.  A last
     window under a third of the limit joins the one before if both fit with the overlap.
     """
-    tokens = lambda words: max(1, int(len(words) * 1.3))
+    tokens = lambda n: max(1, int(n * 1.3))
     run = max(80, int(most / 1.3))
 
     def pieces(paragraph: str) -> list[list[str]]:
         words = paragraph.split()
-        if tokens(words) <= most:
+        if tokens(len(words)) <= most:
             return [words] if words else []
         sentences = [s.split() for s in re.split(r"(?<=[.!?])\s+", paragraph)]
         out: list[list[str]] = []
         for s in sentences:
-            out += [s] if tokens(s) <= most else [s[i : i + run] for i in range(0, len(s), run)]
+            out += [s] if tokens(len(s)) <= most else [s[i : i + run] for i in range(0, len(s), run)]
         return out
 
-    def pack(pdf: pd.DataFrame) -> list[dict]:
-        windows: list[list[str]] = []
-        now: list[str] = []
-        fresh = 0
-        for paragraph in pdf[text]:
-            for piece in pieces(paragraph or ""):
-                if fresh and tokens(now + piece) > most:
-                    windows.append(now)
-                    now, fresh = (now[-overlap:] if overlap else []), 0
-                now, fresh = now + piece, fresh + len(piece)
-        if fresh:
-            if windows and fresh * 1.3 * 3 < most and tokens(windows[-1] + now[-fresh:]) <= most + overlap:
-                windows[-1] = windows[-1] + now[-fresh:]
-            else:
+    windows: list[list[str]] = []
+    now: list[str] = []
+    fresh = 0
+    for paragraph in paragraphs:
+        for piece in pieces(paragraph or ""):
+            if fresh and tokens(len(now) + len(piece)) > most:
                 windows.append(now)
-        return [{"text": " ".join(w), "n_words": len(w)} for w in windows]
+                now, fresh = (now[-overlap:] if overlap else []), 0
+            now = now + piece
+            fresh += len(piece)
+    if fresh:
+        if windows and fresh * 1.3 * 3 < most and tokens(len(windows[-1]) + fresh) <= most + overlap:
+            windows[-1] = windows[-1] + now[-fresh:]
+        else:
+            windows.append(now)
+    return windows
+
 
+def word_windows(units: DataFrame, doc: str, order: str = "at", most: int = 400, overlap: int = 60, text: str = "text") -> DataFrame:
+    """packed_words() of each document's paragraphs in their order, where they are rows of their own."""
+    pack = lambda pdf: [{"text": " ".join(w), "n_words": len(w)} for w in packed_words(list(pdf[text]), most, overlap)]
     return per_document(units, doc, order, [text], pack, "text string, n_words int")
 
 
+def text_windows(docs: DataFrame, doc: str, text: str = "text", most: int = 400, overlap: int = 60) -> DataFrame:
+    """packed_words() of the lines of whole texts, row by row: nothing is shuffled."""
+    base = docs.select(doc, F.col(text).alias("__text"))
+    schema = T.StructType([base.schema[doc], *T.StructType.fromDDL("chunk_index int, text string, n_words int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, made = [], []
+            for i, whole in enumerate(batch.column(1).to_pylist()):
+                for k, w in enumerate(packed_words((whole or "").split("\n"), most, overlap)):
+                    rows.append(i)
+                    made.append((k, " ".join(w), len(w)))
+            index, texts, sizes = zip(*made) if made else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], names=schema.names)
+
+    return base.mapInArrow(run, schema)
+
+
 def caption_chunks(snippets: DataFrame, video: str, start: str = "start", most: int = 300, overlap: int = 40, least: int = 80, chapter: str | None = "chapter", text: str = "text") -> DataFrame:
     """Pack captions to chunks of about ``most`` words within chapters, each beginning with the last ``overlap`` words of the one before.
 
@@ -379,11 +417,11 @@ def caption_chunks(snippets: DataFrame, video: str, start: str = "start", most:
     return per_document(snippets, video, start, columns, pack, "text string, chapter string, start_sec double, end_sec double")
 
 
-def timed_captions(snippets: DataFrame, video: str, start: str = "start", most: int = 300, overlap: int = 40, least: int = 80, text: str = "text", lossless: bool = False) -> DataFrame:
+def timed_captions(snippets: DataFrame, video: str, start: str = "start", most: int = 300, overlap: int = 40, least: int = 80, text: str = "text", lossless: bool = True) -> DataFrame:
     """Captions without chapters: chunks of about ``most`` words, cut at the last sentence end within 80 characters of the target.
 
-    The next chunk begins with the last ``overlap`` words read, so words between the cut and these are in no chunk;
-    with ``lossless`` it begins right behind the cut instead.
+    The next chunk begins ``overlap`` words before the cut.  Not ``lossless``: it begins with the last ``overlap`` words
+    read, so words between the cut and these are in no chunk, and a video of fewer words than ``least`` has none.
     """
 
     def pack(pdf: pd.DataFrame) -> list[dict]:
@@ -401,7 +439,8 @@ def timed_captions(snippets: DataFrame, video: str, start: str = "start", most:
             ends = [m.end() for m in re.finditer(r"[.!?]\s", whole[low : near + 80])]
             cut = whole[: low + ends[-1]].strip() if ends else whole
             out.append({"text": cut, "start_sec": float(begin), "end_sec": float(last)})
-            held = held[len(cut.split()) :] if lossless else held[-overlap:]
+            done = len(cut.split())
+            held = held[max(done - overlap, min(done, 1)) :] if lossless else held[-overlap:]
             begin = None if not held else s
         if held and (len(held) >= least or not out and lossless):
             out.append({"text": " ".join(held), "start_sec": float(begin), "end_sec": float(last)})

@@ -27,12 +27,24 @@ def top_terms(df: DataFrame, keys: list[str], text: str, pattern: str, stopwords
     return df.select(*keys).distinct().join(joined, keys, "left").withColumn(out, F.coalesce(out, F.lit("")))
 
 
+def row_terms(df: DataFrame, text: str, pattern: str, stopwords: list[str], most: int, joiner: str = ", ", out: str = "keywords") -> DataFrame:
+    """Append the top terms of each row's own text, without a shuffle: its terms in order are runs, a run's length is the count."""
+    held = df.withColumn("__t", terms(F.col(text), pattern, stopwords))
+    held = held.withColumn("__t", F.array_sort(F.transform("__t", lambda t, i: F.struct(t.alias("t"), i.alias("i")))))
+    places = F.when(F.size("__t") > 0, F.sequence(F.lit(0), F.size("__t") - 1)).otherwise(F.array().cast("array<int>"))
+    held = held.withColumn("__s", F.filter(places, lambda i: (i == 0) | (F.get("__t", i)["t"] != F.get("__t", i - 1)["t"])))
+    runs = F.transform("__s", lambda at, k: F.struct((at - F.coalesce(F.get("__s", k + 1), F.size("__t"))).alias("n"), F.get("__t", at)["i"].alias("i"), F.get("__t", at)["t"].alias("t")))
+    best = F.transform(F.slice(F.array_sort(runs), 1, most), lambda r: r["t"])
+    return held.withColumn(out, F.array_join(best, joiner)).drop("__t", "__s")
+
+
 def document_keywords(df: DataFrame, id: str = "doc_id", text: str = "text", most: int = 12) -> DataFrame:
-    return top_terms(df, [id], text, "[a-z]{4,}", tx.KEYWORD_STOPWORDS, most)
+    """Of each row by itself: id and keywords."""
+    return row_terms(df.select(id, text), text, "[a-z]{4,}", tx.KEYWORD_STOPWORDS, most).select(id, "keywords")
 
 
 def caption_tags(df: DataFrame, id: str, text: str = "text", most: int = 8) -> DataFrame:
-    return top_terms(df, [id], text, r"\b[a-z][a-z_-]{3,}\b", tx.CAPTION_STOPWORDS, most, out="tags")
+    return row_terms(df.select(id, text), text, r"\b[a-z][a-z_-]{3,}\b", tx.CAPTION_STOPWORDS, most, out="tags").select(id, "tags")
 
 
 def topic_labels(df: DataFrame, keys: list[str], text: str = "text", most: int = 5, order: str | None = None) -> DataFrame:

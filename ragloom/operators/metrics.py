@@ -39,6 +39,20 @@ def entropy(df: DataFrame, keys: list[str], value: str, out: str = "diversity")
     return total.groupBy(*keys).agg((F.sum(-F.col("p") * F.log2("p")) / F.when(F.count("*") > 1, F.log2(F.count("*"))).otherwise(1.0)).alias(out))
 
 
+def ideals(counts: DataFrame, keys: list[str], k: int, linear: bool = False) -> DataFrame:
+    """keys, ideal and n_relevant: the gain of the best list of ``k``, from how many items have each grade (keys, grade, n)."""
+    relevant = counts.where("grade > 0")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = F.least(F.col("before") + F.col("n"), F.lit(k)).cast("int")
+    places = F.when(upto > F.col("before"), F.sequence((F.col("before") + 1).cast("int"), upto)).otherwise(F.array().cast("array<int>"))
+    share = F.aggregate(places, F.lit(0.0), lambda a, p: a + gain(F.col("grade"), linear) / F.log2(p + 1))
+    return relevant.withColumn("before", before).groupBy(*keys).agg(F.sum(share).alias("ideal"), F.sum("n").alias("n_relevant"))
+
+
+def gain(grade: Column, linear: bool) -> Column:
+    return grade.cast("double") if linear else F.pow(F.lit(2.0), grade) - 1
+
+
 def retrieval(ranked: DataFrame, grades: DataFrame, keys: list[str], k: int, item: str = "chunk_id", linear: bool = False) -> DataFrame:
     """mrr, ndcg, precision, recall, hit and score_gap of each list.
 
@@ -46,17 +60,17 @@ def retrieval(ranked: DataFrame, grades: DataFrame, keys: list[str], k: int, ite
     0.  The gain is 2^grade - 1, or the grade itself if ``linear``; the ideal list sorts all grades.
     """
     relevant = grades.where("grade > 0").select(*keys, item, "grade")
-    gain = (lambda g: g.cast("double")) if linear else (lambda g: F.pow(F.lit(2.0), g) - 1)
-    per = Window.partitionBy(*keys)
-    ideal = relevant.withColumn("at", F.row_number().over(per.orderBy(F.desc("grade")))).groupBy(*keys).agg(
-        F.sum(F.when(F.col("at") <= k, gain(F.col("grade")) / F.log2(F.col("at") + 1))).alias("ideal"), F.count("*").alias("n_relevant"))
-    joined = ranked.join(relevant, [*keys, item], "left")
-    hit, near = F.col("grade").isNotNull(), F.col("rank") <= k
-    found = joined.groupBy(*keys).agg(
-        F.max(F.when(hit, 1 / F.col("rank"))).alias("mrr"), F.sum(F.when(hit & near, gain(F.col("grade")) / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
-        F.sum((hit & near).cast("int")).alias("hits"), F.sum(near.cast("int")).alias("listed"), F.max(hit.cast("int")).alias("hit"), F.count("*").alias("n"),
+    return graded_lists(ranked.join(relevant, [*keys, item], "left"), relevant.groupBy(*keys, "grade").agg(F.count("*").alias("n")), keys, k, linear)
+
+
+def graded_lists(graded: DataFrame, counts: DataFrame, keys: list[str], k: int, linear: bool = False) -> DataFrame:
+    """retrieval() of lists whose rows know their ``grade`` (null: none), with the counts of ideals(): no list of all relevant items is made."""
+    hit, near = F.col("grade") > 0, F.col("rank") <= k
+    found = graded.withColumn("grade", F.when(hit, F.col("grade"))).groupBy(*keys).agg(
+        F.max(F.when(hit, 1 / F.col("rank"))).alias("mrr"), F.sum(F.when(hit & near, gain(F.col("grade"), linear) / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg"),
+        F.sum(F.coalesce(hit & near, F.lit(False)).cast("int")).alias("hits"), F.sum(near.cast("int")).alias("listed"), F.max(F.coalesce(hit, F.lit(False)).cast("int")).alias("hit"), F.count("*").alias("n"),
         (F.max_by("score", -F.col("rank")) - F.max_by("score", "rank")).alias("gap"))
-    m = found.join(ideal, keys, "left")
+    m = found.join(ideals(counts, keys, k, linear), keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return m.select(*keys, F.coalesce("mrr", F.lit(0.0)).alias("mrr"), F.coalesce(F.col("dcg") / F.col("ideal"), F.lit(0.0)).alias("ndcg"), ratio(F.col("hits"), F.col("listed")).alias("precision"),
                     ratio(F.col("hits"), zero("n_relevant")).alias("recall"), F.col("hit").cast("double").alias("hit_rate"), F.when(F.col("n") < 2, 0.0).otherwise(F.col("gap")).alias("score_gap"))

@@ -41,23 +41,36 @@ def bm25(candidates: DataFrame, keys: list[str], query: str = "query", text: str
     """Append ``bm25`` and ``bm25_rank`` to candidates: each group's own candidates are the corpus.
 
     Scores are divided by the group's largest if it is positive; equal scores keep the order
-    of ``rank``.  A query without tokens leaves scores 0 and the order as it was.
+    of ``rank``.  A query without tokens leaves scores 0 and the order as it was.  A group is a query's
+    candidates (or a conversation's turns) and is folded once, as one array.
     """
-    docs = candidates.select(*keys, chunk, tx.tokens(F.col(text)).alias("words"))
-    group = Window.partitionBy(*keys)
-    sized = docs.withColumn("dl", F.size("words")).withColumn("n", F.count("*").over(group)).withColumn("avgdl", F.avg("dl").over(group))
-    tf = sized.select(*keys, chunk, "dl", "n", "avgdl", F.explode("words").alias("term")).groupBy(*keys, chunk, "dl", "n", "avgdl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*keys, "term").agg(F.count("*").alias("df"), F.first("n").alias("n"))
-    idf = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.groupBy(*keys).agg((F.avg("raw") * EPSILON).alias("floor"))
-    idf = idf.join(mean, keys).select(*keys, "term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    asked = candidates.select(*keys, query).dropDuplicates(keys).select(*keys, F.explode(tx.tokens(F.col(query))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("asked"))
-    part = F.col("asked") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(idf, [*keys, "term"]).join(asked, [*keys, "term"]).groupBy(*keys, chunk).agg(F.sum(part).alias("raw"))
-    joined = candidates.join(scores, [*keys, chunk], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    top = F.max("raw").over(group)
-    scored = joined.withColumn("bm25", F.round(F.when(top > 0, F.col("raw") / top).otherwise(F.col("raw")), 6)).drop("raw")
-    return scored.withColumn("bm25_rank", F.row_number().over(group.orderBy(F.desc("bm25"), rank, chunk)))
+    words = candidates.select(*keys, query, F.struct(F.col(rank).alias("rank"), F.col(chunk).alias("chunk"), tx.tokens(F.col(text)).alias("words")).alias("doc"))
+    groups = words.groupBy(*keys).agg(F.array_sort(F.collect_list("doc")).alias("docs"), F.first(query).alias("query"))
+    n = F.size("docs")
+    # Terms of all documents in order, each as often as documents hold it: a run is a term's document frequency.
+    runs = groups.withColumn("terms", F.array_sort(F.flatten(F.transform("docs", lambda d: F.array_distinct(d["words"])))))
+    runs = runs.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1))))
+    runs = runs.withColumn("starts", F.when(F.size("terms") > 0, F.col("starts")).otherwise(F.array().cast("array<int>")))
+    weight = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
+    raw = F.transform("starts", lambda at, k: weight(F.coalesce(F.get("starts", k + 1), F.size("terms")) - at))
+    mean = F.when(F.size("starts") > 0, F.aggregate(raw, F.lit(0.0), lambda a, x: a + x) / F.size("starts"))
+    asked = runs.withColumn("mean", mean).withColumn("asked", tx.tokens(F.col("query"))).withColumn("avgdl", F.aggregate("docs", F.lit(0.0), lambda a, d: a + F.size(d["words"])) / n)
+    rated = lambda term: F.struct(term.alias("term"), F.size(F.filter("docs", lambda d: F.array_contains(d["words"], term))).alias("df"))
+    asked = asked.withColumn("rated", F.filter(F.transform("asked", rated), lambda r: r["df"] > 0))
+    idf = lambda df: F.when(weight(df) < 0, F.col("mean") * EPSILON).otherwise(weight(df))
+
+    def score(d: Column) -> Column:
+        def part(r: Column) -> Column:
+            tf = F.size(F.filter(d["words"], lambda w: w == r["term"]))
+            return idf(r["df"]) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(d["words"]) / F.col("avgdl")))
+
+        return F.aggregate("rated", F.lit(0.0), lambda a, r: a + F.when(F.array_contains(d["words"], r["term"]), part(r)).otherwise(0.0))
+
+    scored = asked.select(*keys, F.transform("docs", lambda d: F.struct(d["rank"].alias("rank"), d["chunk"].alias("chunk"), score(d).alias("raw"))).alias("scored"))
+    scored = scored.withColumn("top", F.array_max(F.transform("scored", lambda x: x["raw"])))
+    shown = F.transform("scored", lambda x: F.struct((-F.round(F.when(F.col("top") > 0, x["raw"] / F.col("top")).otherwise(x["raw"]), 6)).alias("bm25"), x["rank"].alias("rank"), x["chunk"].alias("chunk")))
+    ranked = scored.select(*keys, F.posexplode(F.array_sort(shown)).alias("at", "s")).select(*keys, F.col("s.chunk").alias(chunk), *([F.col("s.rank").alias(rank)] if rank != chunk else []), (-F.col("s.bm25")).alias("bm25"), (F.col("at") + 1).alias("bm25_rank"))
+    return candidates.join(ranked, list(dict.fromkeys([*keys, chunk, rank]))).select(*candidates.columns, "bm25", "bm25_rank")
 
 
 def diverse(candidates: DataFrame, keys: list[str], k: Column, weight: Column, strict_same_file: bool = False) -> DataFrame:

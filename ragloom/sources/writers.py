@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,18 @@ LIST_LIMITS = {"questions": 30, "answers": 30, "concepts": 50, "keywords": 50, "
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the shared checkpoint folder; where none is set (as in tests), a local one is."""
+    """``df``, computed once and kept in the folder of spark.checkpoint.dir, which all executors share.
+
+    Where none is set, a local session (one process, as in tests) gets a folder of its own; on a cluster that is an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ragloom-shared-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: tables are kept in a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ragloom-shared-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -49,7 +57,10 @@ def upsert(spark: SparkSession, table: str, new: DataFrame, keys: tuple[str, ...
 
 
 def shaped(chunks: DataFrame) -> DataFrame:
-    """Cut texts and lists to the store's limits, numbers in lists to text, and absent hints to -1."""
+    """Cut texts and lists to the store's limits, numbers in lists to text, and absent hints to -1.
+
+    The limits are the store's own; the whole texts stay in the table that ``chunks`` came from, under the same id.
+    """
     out = chunks
     for name, kind in chunks.dtypes:
         value: Column | None = None
