@@ -134,6 +134,23 @@ def qna_id(source: Column, cluster: Column, text: Column) -> Column:
     return F.substring(F.md5(F.concat_ws(":", source, cluster.cast("string"), F.substring(text, 1, 100)).cast("binary")), 1, 12)
 
 
+def lecture_chunk_id(lecture: Column, strategy: Column, window: Column) -> Column:
+    return chunk_id(lecture, strategy, window, length=24, separator="|")
+
+
+def image_chunk_id(index: Column, text: Column) -> Column:
+    return chunk_id(index, F.substring(text, 1, 200), length=16, separator=":")
+
+
+def handwritten_chunk_id(path: Column, index: Column) -> Column:
+    return chunk_id(path, F.lit("hw"), index)
+
+
+def video_chunk_id(video: Column, index: Column) -> Column:
+    """Of its video and place, so that a video taken in again keeps its ids."""
+    return chunk_id(video, F.lit("yt"), index)
+
+
 def difficulty(text: Column) -> Column:
     """The level that the first word of difficulty names; null without one."""
     word = F.regexp_extract(F.lower(text), rf"\b({'|'.join(sorted(DIFFICULTY))})\b", 1)

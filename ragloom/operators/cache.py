@@ -56,3 +56,14 @@ def stats(entries: DataFrame) -> DataFrame:
     """Entries by mode; a mode without any has 0."""
     modes = entries.sparkSession.createDataFrame([(m,) for m in MODES], "mode string")
     return modes.join(entries.groupBy("mode").agg(F.count("*").alias("n")), "mode", "left").select("mode", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: The shape of a cached result's chunks.
+CHUNKS = "array<struct<chunk_id:string,source:string,score:double,rank:int,display_text:string,citation:string>>"
+
+
+def rehydrated(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """The chunks of hit entries (``chunks``: JSON): query_id, and a row for each with its text (from the display text) and defaults for what is missing."""
+    held = hits.join(entries.select("entry_id", F.from_json("chunks", CHUNKS).alias("c")), "entry_id").select("query_id", F.posexplode("c").alias("at", "c"))
+    c = lambda name: F.col(f"c.{name}")
+    return held.select("query_id", c("chunk_id").alias("chunk_id"), F.coalesce(c("source"), F.lit("documents")).alias("source"), F.coalesce(c("score"), F.lit(0.0)).alias("score"), F.coalesce(c("rank"), F.col("at") + 1).alias("rank"), F.coalesce(c("display_text"), F.lit("")).alias("text"), F.coalesce(c("citation"), F.lit("")).alias("citation"))

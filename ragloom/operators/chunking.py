@@ -420,7 +420,7 @@ def caption_chunks(snippets: DataFrame, video: str, start: str = "start", most:
 def timed_captions(snippets: DataFrame, video: str, start: str = "start", most: int = 300, overlap: int = 40, least: int = 80, text: str = "text", lossless: bool = True) -> DataFrame:
     """Captions without chapters: chunks of about ``most`` words, cut at the last sentence end within 80 characters of the target.
 
-    The next chunk begins ``overlap`` words before the cut.  Not ``lossless``: it begins with the last ``overlap`` words
+    The next chunk begins right behind the cut.  Not ``lossless``: it begins with the last ``overlap`` words
     read, so words between the cut and these are in no chunk, and a video of fewer words than ``least`` has none.
     """
 
@@ -439,8 +439,7 @@ def timed_captions(snippets: DataFrame, video: str, start: str = "start", most:
             ends = [m.end() for m in re.finditer(r"[.!?]\s", whole[low : near + 80])]
             cut = whole[: low + ends[-1]].strip() if ends else whole
             out.append({"text": cut, "start_sec": float(begin), "end_sec": float(last)})
-            done = len(cut.split())
-            held = held[max(done - overlap, min(done, 1)) :] if lossless else held[-overlap:]
+            held = held[len(cut.split()) :] if lossless else held[-overlap:]
             begin = None if not held else s
         if held and (len(held) >= least or not out and lossless):
             out.append({"text": " ".join(held), "start_sec": float(begin), "end_sec": float(last)})
@@ -503,3 +502,106 @@ def window_metadata(units: DataFrame, keys: list[str], text: str = "text") -> Da
     words = tx.words(F.lower("text"))
     alphabetic = F.array_distinct(F.filter(words, lambda w: w.rlike(r"^\p{L}+$")))
     return found.withColumns({"char_count": F.length("text"), "word_count": F.size(words), "line_count": F.size(F.split("text", "\n")), "token_count": tx.token_estimate(F.col("text")), "semantic_density": F.round(F.size(alphabetic) / F.greatest(F.size(words), F.lit(1)), 3)})
+
+
+# --- sections of documents -------------------------------------------------------------------
+
+# Most and soft characters of a chunk of a section, under which chunks are combined, and what a forced split repeats.
+SECTION_MOST, SECTION_SOFT, SECTION_COMBINE, SECTION_OVERLAP = 3000, 2400, 500, 200
+
+
+def section_parts(kinds: list[str], texts: list[str], most: int = SECTION_MOST, soft: int = SECTION_SOFT, combine: int = SECTION_COMBINE, overlap: int = SECTION_OVERLAP) -> list[list[tuple[int, str]]]:
+    """Chunks of a document's elements, as lists of (element, text).
+
+    A title begins a chunk, and so does an element after ``soft`` characters, or that would go over ``most``.  An
+    element that is longer than ``most`` is split by itself, at a blank where there is one, each part after the
+    first beginning with the last ``overlap`` characters of the one before.  Then a chunk under ``combine``
+    characters takes in the next as long as both fit.  Elements in a chunk are two characters apart.
+    """
+    size = lambda chunk: sum(len(t) for _, t in chunk) + 2 * max(len(chunk) - 1, 0)
+    chunks: list[list[tuple[int, str]]] = []
+    now: list[tuple[int, str]] = []
+    split: set[int] = set()  # chunks that are parts of one element
+    for i, (kind, text) in enumerate(zip(kinds, texts)):
+        if not text:
+            continue
+        if now and (kind == "Title" or size(now) >= soft or size(now) + 2 + len(text) > most):
+            chunks.append(now)
+            now = []
+        if len(text) <= most:
+            now.append((i, text))
+            continue
+        while len(text) > most:
+            cut = text.rfind(" ", overlap + 1, most + 1)
+            cut = cut if cut > 0 else most
+            split.add(len(chunks))
+            chunks.append([(i, text[:cut])])
+            text = text[cut - overlap :] if overlap else text[cut:].lstrip()
+        split.add(len(chunks))
+        chunks.append([(i, text)])
+    if now:
+        chunks.append(now)
+    out: list[list[tuple[int, str]]] = []
+    for k, chunk in enumerate(chunks):
+        if out and k not in split and k - 1 not in split and size(out[-1]) < combine and size(out[-1]) + 2 + size(chunk) <= most:
+            out[-1] = out[-1] + chunk
+        else:
+            out.append(chunk)
+    return out
+
+
+def title_chunks(elements: DataFrame, doc: str, order: str = "at", **sizes: int) -> DataFrame:
+    """Rows of elements under the chunk that holds them: doc, chunk_index (of the rows), chunk, at, kind, text and page, as document_chunks() needs them."""
+
+    def pack(pdf: pd.DataFrame) -> list[dict]:
+        kinds, texts, pages = list(pdf["kind"]), [t or "" for t in pdf["text"]], list(pdf["page"])
+        parts = section_parts(kinds, texts, **sizes)
+        return [{"chunk": c, "at": i, "kind": kinds[i], "text": t, "page": None if pages[i] is None or pages[i] != pages[i] else int(pages[i])} for c, chunk in enumerate(parts) for i, t in chunk]
+
+    return per_document(elements, doc, order, ["kind", "text", "page"], pack, "chunk int, at int, kind string, text string, page int")
+
+
+def merged_windows(windows: DataFrame, doc: str, order: str, least: int, most: int, overlap: int = 60, text: str = "text") -> DataFrame:
+    """doc, window, text and n_words: windows under twice ``least`` estimated tokens join the one before if both have at most most + overlap."""
+    tokens = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(1.3)).cast("int"))
+    rows = windows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(text, F.lit("")).alias("text"), tx.n_words(F.col(text)).alias("n")))).alias("rows"))
+    start = F.array().cast("array<struct<text:string,n:int>>")
+
+    def join(made: Column, row: Column) -> Column:
+        before = F.element_at(made, -1)
+        small = (F.size(made) > 0) & (tokens(row["n"]) < 2 * least) & (tokens(F.try_add(before["n"], row["n"])) <= most + overlap)
+        merged = F.struct(F.concat(before["text"], F.lit("\n\n"), row["text"]).alias("text"), (before["n"] + row["n"]).alias("n"))
+        return F.when(small, F.array_append(F.slice(made, 1, F.size(made) - 1), merged)).otherwise(F.array_append(made, F.struct(row["text"].alias("text"), row["n"].alias("n"))))
+
+    folded = rows.select(doc, F.posexplode(F.aggregate("rows", start, lambda made, row: F.when(F.size(made) > 0, join(made, row)).otherwise(F.array(F.struct(row["text"].alias("text"), row["n"].alias("n")))))).alias("window", "w"))
+    return folded.select(doc, "window", F.col("w.text").alias("text"), F.col("w.n").alias("n_words"))
+
+
+def lecture_chunks(parts: dict[str, DataFrame]) -> DataFrame:
+    """The chunks of several strategies as one table, with ``strategy``; a column that one of them lacks is null there."""
+    union = None
+    for strategy, df in parts.items():
+        own = df.withColumn("strategy", F.lit(strategy))
+        union = own if union is None else union.unionByName(own, allowMissingColumns=True)
+    return union
+
+
+def transcript_chunks(snippets: DataFrame, chapters: DataFrame, video: str, start: str = "start", chapter_start: str = "chapter_start", title: str = "title", **sizes: int) -> DataFrame:
+    """Chunks of captions by chapter where a video has any, else by time: caption_chunks() and timed_captions() under the same columns."""
+    have = chapters.select(video).distinct()
+    within = as_of_chapter(snippets.join(have, video, "left_semi"), chapters, video, start, chapter_start, title)
+    chaptered = caption_chunks(within, video, start, **sizes)
+    plain = timed_captions(snippets.join(have, video, "left_anti"), video, start, **sizes).withColumn("chapter", F.lit(None).cast("string"))
+    return chaptered.unionByName(plain)
+
+
+def zipped(chunks: DataFrame, vectors: DataFrame, id: str = "chunk_id") -> DataFrame:
+    """Chunks with their vectors by id; an error if either has an id that the other lacks."""
+    missing = F.raise_error(F.lit("chunks and vectors don't have the same ids"))
+    joined = chunks.withColumn("__c", F.lit(1)).join(vectors.select(id, "embedding"), id, "full")
+    return joined.withColumn("embedding", F.when(F.col("__c").isNull() | F.col("embedding").isNull(), missing.cast(vectors.schema["embedding"].dataType)).otherwise(F.col("embedding"))).drop("__c")
+
+
+def preview(chunks: DataFrame, most: int = 20, chars: int = 300, id: str = "chunk_id", text: str = "text") -> DataFrame:
+    """The first ``most`` chunks by id with the head of their text: nothing is embedded or stored."""
+    return chunks.select(id, F.substring(F.coalesce(text, F.lit("")), 1, chars).alias("preview"), tx.n_words(F.col(text)).alias("n_words")).orderBy(id).limit(most)

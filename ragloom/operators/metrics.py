@@ -204,16 +204,17 @@ def chunk_report(df: DataFrame, source: str) -> DataFrame:
     return size_stats(df.withColumn("source", F.lit(source)), ["source"], "text", least, most)
 
 
-def source_weights(plans: DataFrame) -> DataFrame:
+def source_weights(plans: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The mean weight of each mode and source."""
-    return plans.groupBy("mode", "source").agg(F.avg("weight").alias("weight"))
+    return plans.groupBy(*(keys or []), "mode", "source").agg(F.avg("weight").alias("weight"))
 
 
-def mode_adaptation(weights: DataFrame) -> DataFrame:
-    """One row: of three expected differences between modes' source weights the share that holds."""
+def mode_adaptation(weights: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Of three expected differences between modes' source weights the share that holds: one row, or one for each of ``keys``."""
     w = lambda mode, source: F.coalesce(F.max(F.when((F.col("mode") == mode) & (F.col("source") == source), F.col("weight"))), F.lit(0.0))
-    checks = [w("quiz", "qna") - w("ask", "qna") >= 0.3, w("summarize", "documents") - w("quiz", "documents") >= 0.2, w("ask", "youtube") - w("quiz", "youtube") >= 0.1]
-    return weights.agg(F.round(sum((c.cast("int") for c in checks), F.lit(0)) / len(checks), 6).alias("adaptation"))
+    far = lambda a, b, least: F.round(a - b, 9) >= least
+    checks = [far(w("quiz", "qna"), w("ask", "qna"), 0.3), far(w("summarize", "documents"), w("quiz", "documents"), 0.2), far(w("ask", "youtube"), w("quiz", "youtube"), 0.1)]
+    return weights.groupBy(*(keys or [])).agg(F.round(sum((c.cast("int") for c in checks), F.lit(0)) / len(checks), 6).alias("adaptation"))
 
 
 def rates(df: DataFrame, keys: list[str], tests: dict[str, Column]) -> DataFrame:
@@ -244,3 +245,52 @@ def text_richness(text: Column) -> Column:
     """Distinct words over words, and 0.1 more, 1 at most."""
     words = tx.words(F.lower(text))
     return F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.size(F.array_distinct(words)) / F.size(words) + 0.1, F.lit(1.0)))
+
+
+def dedup_rate(df: DataFrame, kept: str = "n_kept", asked: str = "n_asked", out: str = "dedup_rate") -> DataFrame:
+    """Append the share of sub-queries that were kept; 0 without any."""
+    return df.withColumn(out, ratio(F.col(kept), F.col(asked)))
+
+
+def planner_ratio(planner_ms: Column, total_ms: Column) -> Column:
+    """How much of a query's time its planning took, 1 at most; 0 without time."""
+    return F.coalesce(F.least(F.try_divide(planner_ms, total_ms), F.lit(1.0)), F.lit(0.0))
+
+
+#: The fields that a source's chunks should fill, and the field whose values are counted.
+SOURCE_FIELDS = {
+    "qna": (("text", "chunk_type", "questions"), "chunk_type"), "audio": (("text", "lecture_title", "strategy"), "strategy"), "documents": (("text", "section_title", "source_file"), "element_type"),
+    "image": (("text", "image_type", "source_file"), "image_type"), "handwritten": (("text", "topic", "source_file"), "content_type"), "youtube": (("text", "video_title", "chapter_title"), "chapter_title"),
+}
+
+
+def source_evaluation(chunks: DataFrame, source: str) -> DataFrame:
+    """A source's chunks as (metric, value): sizes against the source's bounds, completeness of its fields, its rates, and how its kinds are shared out.
+
+    A column that the chunks lack counts as null.
+    """
+    fields, kind = SOURCE_FIELDS[source]
+    needed = {"text": "string", **{f: "string" for f in (*fields, kind)}, **RATE_FIELDS[source]}
+    own = chunks.withColumns({c: F.lit(None).cast(t) for c, t in needed.items() if c not in chunks.columns})
+    least, most = CHUNK_WORDS[source]
+    sizes = size_stats(own, [], "text", least, most)
+    long = lambda df, names: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])).alias("m")).select("m.*")
+    parts = [long(sizes, sizes.columns), completeness(own, list(fields)).select(F.concat(F.lit("filled:"), "field").alias("metric"), F.col("rate").alias("value"))]
+    rated = source_rates(own, source)
+    parts.append(long(rated, [c for c in rated.columns if c != "n"]))
+    shares = own.groupBy(kind).agg(F.count("*").alias("n"))
+    total = own.agg(F.count("*").alias("total"))
+    parts.append(shares.crossJoin(F.broadcast(total)).select(F.concat(F.lit("share:"), F.coalesce(kind, F.lit("none"))).alias("metric"), (F.col("n") / F.col("total")).alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: The columns that source_rates() reads.
+RATE_FIELDS = {
+    "qna": {"chunk_type": "string", "answers": "array<string>", "questions": "array<string>", "year_hint": "int", "marks_hint": "int"}, "audio": {"avg_confidence": "double", "strategy": "string", "has_unclear_segments": "boolean"},
+    "documents": {"has_table": "boolean", "has_image": "boolean", "has_list": "boolean"},
+    "image": {"ocr_confidence": "double", "has_code": "boolean", "has_formula": "boolean", "prev_chunk_id": "string", "next_chunk_id": "string"},
+    "handwritten": {"model_used": "string", "ink_quality": "string", "has_equations": "boolean"}, "youtube": {"chapter_title": "string", "deep_link": "string", "is_generated_transcript": "boolean"},
+}

@@ -141,3 +141,18 @@ def clean_text(text: Column, code: bool = False) -> Column:
     for pattern, new in CODE_FIXES if code else PROSE_FIXES:
         text = F.regexp_replace(text, pattern, new)
     return F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t]+$", ""), r"\A(?:[ \t]*\n)+|(?:\n[ \t]*)+\z", "") if code else text
+
+
+def enriched(pages: DataFrame, enrichments: DataFrame, keys: list[str], threshold: float = WARN_PAGE) -> DataFrame:
+    """Pages with their enrichment (text, by page): ``text``, ``used`` (ocr, image, text) and ``warnings``.
+
+    A page under the threshold was read from its picture, others from their text; where the enrichment gave nothing the
+    recognised text stays, with a warning.
+    """
+    given = enrichments.select(*keys, F.col("text").alias("__t"))
+    joined = pages.join(given, keys, "left")
+    found = F.trim(F.coalesce("__t", F.lit(""))) != ""
+    low = F.coalesce("confidence", F.lit(0.0)) < threshold
+    return joined.select(
+        *keys, F.when(found, F.col("__t")).otherwise(F.col("text")).alias("text"), F.col("confidence"), F.when(~found, "ocr").when(low, "image").otherwise("text").alias("used"),
+        F.when(found, F.array().cast("array<string>")).otherwise(F.array(F.lit("enrichment failed"))).alias("warnings"))

@@ -70,3 +70,21 @@ def recent_turns(history: DataFrame, keys: list[str], order: str, most: int = 4,
     last = history.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where(F.col("__at") <= most)
     line = F.concat(F.lit("User: "), F.coalesce("message", F.lit("")), F.lit("\nAssistant: "), F.substring(F.coalesce("response", F.lit("")), 1, chars))
     return last.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("__at")).alias("o"), line.alias("line")))), lambda s: s["line"]), "\n").alias("turns"))
+
+
+def catalog(courses: DataFrame, created: str = "created_at") -> DataFrame:
+    """All courses, the newest first."""
+    return courses.orderBy(F.desc(created), "course_id")
+
+
+def listed(rows: DataFrame, order: str, **equal: object) -> DataFrame:
+    """Materials, quizzes or history: the rows whose columns have these values, the latest first."""
+    for name, value in equal.items():
+        rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    return rows.orderBy(F.desc(order))
+
+
+def open_codes(codes: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """Of (email, code) pairs those that stand in ``codes`` (email, code, expires, verified), unexpired and not yet used."""
+    live = codes.where((F.col("expires") >= now) & ~F.coalesce("verified", F.lit(False)))
+    return asked.join(live.select("email", "code").distinct(), ["email", "code"], "left_semi")

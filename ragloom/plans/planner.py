@@ -33,6 +33,8 @@ CATEGORY_WORDS = {
     "procedural_steps": "steps|how to|procedure|process of",
 }
 MMR_LAMBDA = 0.6
+#: Numbers of lists are apart by this for each source; they only settle ties.
+MOST_SUB_QUERIES = 64
 
 
 def category(query: Column) -> Column:
@@ -64,10 +66,11 @@ def plan(queries: DataFrame) -> DataFrame:
     return own.select("query_id", "query", "mode", "category", "source", F.round(weight, 4).alias("weight"), dense.alias("dense_k"), "bm25_k", "use_mmr", dense.alias("mmr_k"), F.lit(MMR_LAMBDA).alias("lambda"))
 
 
-def retrieve(queries: DataFrame, plans: DataFrame, chunks: DataFrame, top_k: int = 8, signals: str | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, plans: DataFrame, chunks: DataFrame, top_k: int = 8, signals: str | None = None, sub_queries: DataFrame | None = None) -> DataFrame:
     """The fused top chunks of every query: query_id, chunk_id, source, score, rank and methods.
 
-    queries: query_id, query, embedding.  chunks: chunk_id, source, text, embedding and, as far as there
+    queries: query_id, query, embedding.  ``sub_queries``: query_id, sub (from 0), query, embedding; each asks every
+    source of its query's plan, and all their lists are fused.  Without them a query asks for itself.  chunks: chunk_id, source, text, embedding and, as far as there
     are any, the metadata that boosts and diversity read.  A dense list of each source, diversity
     selection, BM25 over what it left, boosts, rank fusion, selection.
     """
@@ -75,18 +78,21 @@ def retrieve(queries: DataFrame, plans: DataFrame, chunks: DataFrame, top_k: int
         if name not in chunks.columns:
             chunks = chunks.withColumn(name, F.lit(None).cast(kind))
     budget = plans.withColumn("fetch_k", rk.fetch_size(F.col("dense_k"), F.col("bm25_k")))
-    keys = ["query_id", "source"]
-    dense = dense_top_k(queries, chunks, rk.MOST_CANDIDATES, by=["source"])
+    keys = ["query_id", "sub", "source"]
+    asked = queries.withColumn("sub", F.lit(0)) if sub_queries is None else sub_queries
+    asked = asked.select(F.struct("query_id", F.col("sub").cast("int").alias("sub")).alias("asked"), F.col("query").alias("asked_query"), "embedding")
+    dense = dense_top_k(asked, chunks, rk.MOST_CANDIDATES, query_id="asked", by=["source"]).join(asked.select("asked", "asked_query"), "asked")
+    dense = dense.select("asked.query_id", "asked.sub", "asked_query", "source", "chunk_id", "score", "rank")
     # A bounded number of candidates a query and source; they are read several times from here on.
-    fetched = staged(dense.join(budget, keys).where(F.col("rank") <= F.col("fetch_k")).join(chunks.drop("embedding"), ["source", "chunk_id"]))
+    fetched = staged(dense.join(budget, ["query_id", "source"]).withColumn("query", F.col("asked_query")).drop("asked_query").where(F.col("rank") <= F.col("fetch_k")).join(chunks.drop("embedding"), ["source", "chunk_id"]))
     kept = rk.diverse(fetched.where("use_mmr"), keys, F.col("mmr_k"), F.col("lambda"))
     plain = fetched.where("not use_mmr").withColumn("mmr_rank", F.col("rank"))
     pool = kept.unionByName(plain).withColumn("dense_rank", F.col("mmr_rank"))
     sources = F.create_map(*[F.lit(x) for i, s in enumerate(rk.SOURCES) for x in (s, i)])
     given = F.col(signals) if signals else F.array().cast("array<string>")
-    boosted = staged(pool).withColumn("boost", rk.metadata_boost(F.col("source"), given)).withColumn("no", F.element_at(sources, F.col("source")) * 2)
+    boosted = staged(pool).withColumn("boost", rk.metadata_boost(F.col("source"), given)).withColumn("no", (F.element_at(sources, F.col("source")) * MOST_SUB_QUERIES + F.col("sub")) * 2)
     lists = boosted.where(F.col("dense_rank") <= F.col("dense_k")).select(*keys, "chunk_id", F.col("dense_rank").alias("rank"), "weight", "boost", F.col("no").alias("list_no"), F.when(F.col("use_mmr"), "mmr").otherwise("dense").alias("method"))
     words = rk.bm25(boosted.where("bm25_k > 0"), keys, rank="dense_rank").where(F.col("bm25_rank") <= F.col("bm25_k"))
     sparse = words.select(*keys, "chunk_id", F.col("bm25_rank").alias("rank"), (F.col("weight") * rk.lookup(rk.BM25_WEIGHTS, F.col("source"))).alias("weight"), "boost", (F.col("no") + 1).alias("list_no"), F.lit("bm25").alias("method"))
-    fused = rk.fuse(lists.unionByName(sparse), keys)
+    fused = rk.fuse(lists.unionByName(sparse).drop("sub"), ["query_id", "source"])
     return rk.select_top(fused, ["query_id"], top_k)

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragloom.functions import text as tx
 
@@ -75,3 +83,62 @@ def source_key(columns: list[str]) -> Column:
         if name in columns:
             out = F.when(F.col(name).isNotNull(), source).otherwise(out)
     return out
+
+
+# --- office files ----------------------------------------------------------------------------
+
+def docx_paragraphs(data: bytes) -> list[str]:
+    """Texts of a DOCX file's paragraphs, in order."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+    return ["".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")) for p in body.iter() if p.tag.endswith("}p")]
+
+
+def pptx_slides(data: bytes) -> list[str]:
+    """Text of each slide of a PPTX file: its paragraphs on lines."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        slides = [ElementTree.fromstring(z.read(n)) for n in names]
+    return ["\n".join(filter(None, ("".join(t.text or "" for t in p.iter() if t.tag.endswith("}t")).strip() for p in s.iter() if p.tag.endswith("}p")))) for s in slides]
+
+
+def docx_pages(data: bytes) -> list[str]:
+    """Non-blank paragraphs, PARAGRAPHS_A_PAGE to a page."""
+    kept = [p for p in docx_paragraphs(data) if p.strip()]
+    return ["\n".join(kept[i : i + PARAGRAPHS_A_PAGE]) for i in range(0, len(kept), PARAGRAPHS_A_PAGE)]
+
+
+EXTRACTORS: dict[str, Callable[[bytes], list[str]]] = {
+    "docx": docx_pages, "pptx": pptx_slides, "txt": lambda data: [data.decode("utf-8", "replace")], "md": lambda data: [data.decode("utf-8", "replace")],
+}
+
+
+def file_pages(files: DataFrame, extractors: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
+    """path, page, text and error of files (path, content: spark.read.format("binaryFile")), read by their extension.
+
+    ``extractors`` adds kinds, such as a PDF library's, or replaces them: bytes to the texts of pages.  A file that
+    can't be read gives one row with its error and no page; other files go on.
+    """
+    known = {**EXTRACTORS, **(extractors or {})}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kind = (path or "").rpartition(".")[2].lower()
+                try:
+                    if kind not in known:
+                        raise ValueError(f"unsupported file type: {kind}")
+                    rows += [(path, i + 1, text, None) for i, text in enumerate(known[kind](content or b""))]
+                except Exception as e:
+                    rows.append((path, None, None, f"{type(e).__name__}: {e}"))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["path", "page", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, page int, text string, error string")
+
+
+def fixtures(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of literal rows; a field that a row lacks is null."""
+    names = T.StructType.fromDDL(schema).names
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)

@@ -93,3 +93,13 @@ def seed(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
         union = own if union is None else union.unionByName(own)
     kept = union.where("id is not null and id <> ''")
     return kept, kept.groupBy("source").agg(F.count("*").alias("n"))
+
+
+def chunk_dump(chunks: DataFrame, path: str, file: str = "source_file", error: str = "error") -> DataFrame:
+    """Write the chunks of files without an error as JSON under ``path``; gives the rejects: file and error, one row each.
+
+    A file with an error in any of its rows is rejected as a whole.
+    """
+    bad = chunks.where(F.col(error).isNotNull()).groupBy(file).agg(F.min(error).alias(error))
+    chunks.join(bad.select(file), file, "left_anti").drop(error).write.mode("overwrite").json(path)
+    return bad

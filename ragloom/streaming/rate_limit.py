@@ -166,3 +166,13 @@ def stream_daily(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Tokens of each user and UTC day of a stream, out once the day is over and ``late`` has passed."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy("user_id", F.window("ts", "1 day")).agg(F.sum("tokens").alias("used")).select("user_id", F.to_date("window.start").alias("day"), "used")
+
+
+def recorded(calls: DataFrame) -> DataFrame:
+    """The second phase: what successful calls with tokens used, once they are over (``ok``, ``tokens``)."""
+    return calls.where(F.coalesce("ok", F.lit(False)) & (F.col("tokens") > 0))
+
+
+def without_users(events: DataFrame, users: DataFrame) -> DataFrame:
+    """Limits reset: the spending of all users but these."""
+    return events.join(users.select("user_id").distinct(), "user_id", "left_anti")

@@ -188,11 +188,11 @@ def test_as_of_chapter(spark):
 def test_questions(spark):
     page = "Intro to drop\n1. What is energy? [5 marks]\nAnswer: The hard capacity to do work in 2021.\n2) Define the wave equation please\n"
     pages = spark.createDataFrame([(1, 1, page), (1, 2, "Q3. Explain light and its sources\nSolution: it is a wave"), (2, 1, "No numbering here at all\n\nbut two long paragraphs of text")], "doc int, page int, text string")
-    blocks = chunking.question_blocks(pages, "doc")
+    blocks = chunking.question_blocks(pages, "doc", lossless=False)
     rows = blocks.orderBy("doc", "block").collect()
     assert [(r.doc, r.page_start) for r in rows] == [(1, 1), (1, 1), (1, 1), (1, 2), (2, 1), (2, 1)] or [(r.doc, r.page_start) for r in rows][:2] == [(1, 1), (1, 1)]
     assert rows[0].text.startswith("1. What is energy?") and not any("Intro" in r.text for r in rows)
-    lossless = chunking.question_blocks(pages, "doc", lossless=True, least=1)
+    lossless = chunking.question_blocks(pages, "doc")
     assert any("Intro" in r.text for r in lossless.collect())
     for name, value in chunking.parsed_block(F.col("text")).items():
         blocks = blocks.withColumn(name, value)
