@@ -265,11 +265,11 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
     """What the blocks find.  A pair counts in the first band that it shares, if its sizes and signatures don't rule it out.
 
     ``listed``: "links" (a, b), the likeliest first, and none within what they have joined: as many as would join
-    components by signatures or, if the sets are there, as do; "members" (bucket, band, node, n) that have a partner.
+    components by signatures or, if the sets are there, as do; "members" (node) that have a partner.
     """
-    told = sigs.select("node", "sig")
+    told, exact = sigs.select("node", "sig"), sets is not None
     columns = ["bucket", "group", "i", "j", "band", "node", "n", "label", "upper", "minor", "sig"]
-    if sets is not None:
+    if exact:
         told = told.join(sets.select(F.col("id").alias("node"), "set"), "node")
         columns.append("set")
     placed = blocks.join(told, "node").repartition("bucket", "group", "i", "j").sortWithinPartitions("bucket", "group", "i", "j").select(columns)
@@ -277,7 +277,7 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
     if listed == "links":
         schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
     else:
-        schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("node", kind), T.StructField("n", T.LongType())])
+        schema = T.StructType([T.StructField("node", kind)])
 
     def partners(rows: pa.Table, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of rows that may be links, and how many values agree."""
@@ -306,9 +306,8 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
         node = rows.column("node").to_pylist()
         names, label = np.unique(rows.column("label").to_pandas().to_numpy(), return_inverse=True)
         if listed == "members":
-            seen = {int(k) for x, y, _ in partners(rows, label) for k in np.union1d(x, y)}
-            first = list({node[k]: k for k in sorted(seen)}.values())
-            return pa.RecordBatch.from_arrays([rows.column(c).take(pa.array(first, pa.int64())).combine_chunks().cast(t) for c, t in zip(schema.names, (pa.int64(), pa.int32(), rows.schema.field("node").type, pa.int64()))], names=schema.names)
+            seen = sorted({int(k) for x, y, _ in partners(rows, label) for k in np.union1d(x, y)})
+            return pa.RecordBatch.from_arrays([rows.column("node").combine_chunks().take(pa.array(seen, pa.int64()))], names=["node"])
         top = np.arange(len(names))  # of each component the one that links of this block have joined it to
 
         def root(x: int) -> int:
@@ -317,7 +316,7 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
                 x = top[x]
             return x
 
-        linked = exactly(rows) if sets is not None else (lambda i, j: True)
+        linked = exactly(rows) if exact else (lambda i, j: True)
         links = []
         for x, y, agree in partners(rows, label):
             for k in np.argsort(-agree, kind="stable"):
@@ -373,13 +372,13 @@ def across(members: DataFrame, sigs: DataFrame, groups: Groups) -> None:
     if likely.isEmpty():
         return
     groups.add(verified(likely, groups.docs, s))
-    blocks = written(dealt_blocks(blocks.select("bucket", "band", "node", "n").distinct(), groups.labels, s), "blocks")
+    # Labels are coarser now; the blocks still hold every pair across them.
+    blocks = relabel(blocks.drop("label"), groups.labels, "node", "label")
     left = written(met(blocks, sigs, None, s, "members"), "members")
     if left.isEmpty():
         return
-    blocks = written(dealt_blocks(left, groups.labels, s), "blocks")
-    sets = full_sets(left.select(F.col("node").alias("id")).distinct(), groups.docs, s)
-    groups.add(met(blocks, sigs, sets, s, "links"))
+    sets = full_sets(left.select(F.col("node").alias("id")), groups.docs, s)
+    groups.add(met(blocks.join(left, "node", "left_semi"), sigs, sets, s, "links"))
 
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:

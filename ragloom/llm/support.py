@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 #: Rows of one key that go to one task in spread(): so many, or this part of all rows, so that keys of more rows are few.
 LEAST_HOT, HOT_PART = 1000, 10_000
+#: Rows that a plain join may hold, whatever their keys: a task can't have more.
+FEW = 10_000
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -62,7 +64,8 @@ def spread(rows: DataFrame, table: DataFrame, key: list[str], size: str | None =
 
     Rows of such a key (more than ``least`` or LEAST_HOT of them, and more than a HOT_PARTth of all rows) are dealt
     over tasks, and its one row of ``table`` is sent to each.  ``size``: the column of ``table`` that says how many rows
-    have the key; without it they are counted.  At most HOT_PART keys are broadcast.
+    have the key; without it they are counted.  At most HOT_PART keys are broadcast.  A table of few rows (FEW) is
+    simply joined.
     """
     if size:
         sizes = table.select(*key, F.col(size).alias("__size"))
@@ -70,6 +73,8 @@ def spread(rows: DataFrame, table: DataFrame, key: list[str], size: str | None =
     else:
         sizes = rows.groupBy(*key).agg(F.count("*").alias("__size"))
         total = rows.count()
+    if total <= FEW:
+        return rows.join(table, key)
     least = max(least or LEAST_HOT, total // HOT_PART)
     hot = sizes.where(F.col("__size") > least).select(*key, F.ceil(F.col("__size") / least).cast("int").alias("__deals"))
     deals = F.coalesce("__deals", F.lit(1))

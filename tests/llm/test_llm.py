@@ -65,6 +65,7 @@ def removed_by_force(rows, width=35):
 @pytest.mark.parametrize("group", [2048, 2])
 def test_substring_dedup_equals_force(docs, rows, group, monkeypatch):
     monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(support, "FEW", 0)
     rows = [*rows, *[rows[9]] * 5]
     docs = docs.unionByName(docs.where("doc_id = 10"))
     for _ in range(4):
@@ -436,6 +437,7 @@ def test_near_duplicates_of_large_mixed_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
     monkeypatch.setattr(near_dedup, "BLOCK_HASHES", 300)
     monkeypatch.setattr(support, "LEAST_HOT", 3)
+    monkeypatch.setattr(support, "FEW", 0)
     rows = []
     for base in range(3):
         words = sentence(700 + base, 90)
