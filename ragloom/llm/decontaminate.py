@@ -118,14 +118,15 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     small = item_seeds.count() <= MOST_SENT
     sent = F.broadcast if small else (lambda df: df)
     # A row goes by a hash of its id and text; what the hits of two rows have in common is told apart by the verification.
-    texts = docs.select(F.xxhash64(F.col(doc_id).cast("string"), doc_text).alias("row"), F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text"))
+    # Exploded, so that the hash is taken once a row and not once a seed.
+    texts = docs.select(F.explode(F.array(F.xxhash64(F.col(doc_id).cast("string"), doc_text))).alias("row"), F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text"))
     words = texts.select("row", "doc", tokens(F.col("doc_text")).alias("doc_words"))
     doc_seeds = words.select("row", F.explode(seeds(F.col("doc_words"), s)).alias("s")).select("row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
     hits = written(doc_seeds.join(sent(item_seeds), "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct(), "hits")
     at, n = F.col("diagonal"), F.size("item_words")
     if hits.count() <= MOST_SENT:
         met = texts.join(F.broadcast(hits.select("row").distinct()), "row", "left_semi")
-        rows = met.select("row", "doc", tokens(F.col("doc_text")).alias("doc_words")).join(F.broadcast(hits), "row")
+        rows = met.select("row", "doc", F.explode(F.array(tokens(F.col("doc_text")))).alias("doc_words")).join(F.broadcast(hits), "row")
         doc_words = F.col("doc_words")
     else:
         rows, doc_words = texts.join(hits, "row"), tokens(F.col("doc_text"))
