@@ -27,13 +27,15 @@ columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -261,6 +263,20 @@ def dealt_blocks(members: DataFrame, labels: DataFrame | None, s: Settings) -> D
     return every.union(minor)
 
 
+class Rows:
+    """The columns of a batch of block rows as arrays."""
+
+    def __init__(self, t: pa.RecordBatch, s: Settings, exact: bool):
+        self.band, self.n = t.column("band").to_numpy(), t.column("n").to_numpy()
+        self.upper, self.minor = (t.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("upper", "minor"))
+        self.label = t.column("label").dictionary_encode().indices.to_numpy()
+        self.sig = signatures(t.column("sig"), s)
+        self.ends = self.values = None
+        if exact:
+            sets = t.column("set")
+            self.ends, self.values = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+
+
 def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings, listed: str) -> DataFrame:
     """What the blocks find.  A pair counts in the first band that it shares, if its sizes and signatures don't rule it out.
 
@@ -279,19 +295,20 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
     else:
         schema = T.StructType([T.StructField("node", kind)])
 
-    def partners(rows: pa.Table, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs of rows that may be links, and how many values agree."""
-        is_minor, upper = (rows.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("minor", "upper"))
-        sig, n = signatures(rows.column("sig"), s), rows.column("n").to_numpy()
-        band = rows.column("band")[0].as_py()
-        left, right = np.flatnonzero(is_minor), np.flatnonzero(~is_minor)
+    def partners(rows: Rows, own: slice) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of a block's rows that may be links, and how many values agree."""
+        label, n, sig, minor = rows.label[own], rows.n[own], rows.sig[own], rows.minor[own]
+        upper, band = rows.upper[own], rows.band[own.start]
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
         for at in range(0, len(left), 32):
-            own = left[at : at + 32, None]
-            small, large = np.minimum(n[own], n[right]), np.maximum(n[own], n[right])
-            x, y = np.nonzero((label[own] != label[right]) & (upper[own] | upper[right]) & (100 * small >= s.percent * large))
+            i = left[at : at + 32, None]
+            small, large = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
+            x, y = np.nonzero((label[i] != label[right]) & (upper[i] | upper[right]) & (100 * small >= s.percent * large))
             x, y = left[at + x], right[y]
             agree, done = np.zeros(len(x), np.int64), 0
             for seen, need in bounds(s):
+                if not len(x):
+                    break
                 agree = agree + (sig[x, done:seen] == sig[y, done:seen]).sum(1)
                 keep = agree >= need
                 x, y, agree, done = x[keep], y[keep], agree[keep], seen
@@ -300,64 +317,60 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
                 keep = ~before.all(2).any(1)
                 x, y, agree = x[keep], y[keep], agree[keep]
             if len(x):
-                yield x, y, agree
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        node = rows.column("node").to_pylist()
-        names, label = np.unique(rows.column("label").to_pandas().to_numpy(), return_inverse=True)
+                yield own.start + x, own.start + y, agree
+
+    def linked(rows: Rows, i: int, j: int) -> bool:
+        if rows.ends is None:
+            return True
+        x, y = (rows.values[rows.ends[k] : rows.ends[k + 1]] for k in (i, j))
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= s.percent * (len(x) + len(y) - common)
+
+    def compare(rows: Rows, own: slice, links: list[tuple[int, int]]) -> None:
+        """Append the pairs of rows that the block lists."""
+        if (rows.label[own] == rows.label[own.start]).all():
+            return
         if listed == "members":
-            seen = sorted({int(k) for x, y, _ in partners(rows, label) for k in np.union1d(x, y)})
-            return pa.RecordBatch.from_arrays([rows.column("node").combine_chunks().take(pa.array(seen, pa.int64()))], names=["node"])
-        top = np.arange(len(names))  # of each component the one that links of this block have joined it to
+            for x, y, _ in partners(rows, own):
+                links += [(k, k) for k in np.union1d(x, y).tolist()]
+            return
+        top: dict[int, int] = {}  # of each component the one that links of this block have joined it to
 
         def root(x: int) -> int:
-            while top[x] != x:
-                top[x] = top[top[x]]
+            while top.get(x, x) != x:
                 x = top[x]
             return x
 
-        linked = exactly(rows) if exact else (lambda i, j: True)
-        links = []
-        for x, y, agree in partners(rows, label):
+        for x, y, agree in partners(rows, own):
             for k in np.argsort(-agree, kind="stable"):
                 i, j = int(x[k]), int(y[k])
-                p, q = root(label[i]), root(label[j])
-                if p != q and linked(i, j):
+                p, q = root(int(rows.label[i])), root(int(rows.label[j]))
+                if p != q and linked(rows, i, j):
                     top[max(p, q)] = min(p, q)
-                    links.append((min(node[i], node[j]), max(node[i], node[j])))
-        arrow = rows.schema.field("node").type
-        return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], arrow) for k in (0, 1)], names=["a", "b"])
-
-    def exactly(rows: pa.Table) -> Callable[[int, int], bool]:
-        column = rows.column("set").combine_chunks()
-        ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
-
-        def linked(i: int, j: int) -> bool:
-            m, n = int(ends[i + 1] - ends[i]), int(ends[j + 1] - ends[j])
-            both = np.concatenate([values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]])
-            both.sort(kind="stable")
-            common = int((both[1:] == both[:-1]).sum())
-            return 100 * common >= s.percent * (m + n - common)
-
-        return linked
+                    links.append((i, j))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            if not batch.num_rows:
+        carried = None  # the block that the last batch ended in
+        for batch in itertools.chain(batches, [None]):
+            t = carried if batch is None else batch if carried is None else pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+            if t is None or not t.num_rows:
+                continue
+            keys = [t.column(k).to_numpy() for k in range(4)]
+            starts = np.r_[0, np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1].tolist()
+            carried = t.slice(starts[-1]) if batch is not None else None
+            bounds_ = starts if batch is not None else [*starts, t.num_rows]
+            if len(bounds_) < 2:
                 continue
-            keys = [batch.column(k).to_numpy() for k in range(4)]
-            cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
-            ends = [0, *cuts.tolist(), batch.num_rows]
-            for first, last in zip(ends[:-1], ends[1:]):
-                own = tuple(k[first] for k in keys)
-                if own != key and held:
-                    yield compare(pa.Table.from_batches(held))
-                    held = []
-                key = own
-                held.append(batch.slice(first, last - first))
-        if held:
-            yield compare(pa.Table.from_batches(held))
+            rows, links = Rows(t, s, exact), []
+            for first, last in zip(bounds_[:-1], bounds_[1:]):
+                compare(rows, slice(first, last), links)
+            x, y = (t.column("node").take(pa.array([link[k] for link in links], pa.int64())) for k in (0, 1))
+            if listed == "members":
+                yield pa.RecordBatch.from_arrays([x], names=["node"])
+            else:
+                yield pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y)], names=["a", "b"])
 
     return placed.mapInArrow(run, schema).distinct()
 
