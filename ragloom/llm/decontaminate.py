@@ -54,8 +54,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
+def hashed(words: Column) -> Column:
+    """The tokens' hashes, so that a seed is of numbers and a token's letters are read once."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def seeds(words: Column, s: Settings) -> Column:
-    """Array of (place, hash) of every mask at every place."""
+    """Array of (place, hash) of every mask at every place; ``words``: tokens, or what stands for them."""
 
     def of(k: int, mask: str) -> Column:
         reads = [i for i, c in enumerate(mask) if c == "1"]
@@ -114,14 +119,14 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     every = written(named.dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("item"), "key", "item_words"), "items")
     lengths = sorted(r[0] for r in every.select(F.size("item_words").alias("n")).where(F.col("n") < s.window).distinct().collect() if not covered(r[0], s))
     own = every.where(~F.size("item_words").isin(lengths)).select("item", "item_words")
-    item_seeds = own.select("item", F.explode(seeds(F.col("item_words"), s)).alias("s")).select("item", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
+    item_seeds = own.select("item", hashed(F.col("item_words")).alias("hashes")).select("item", F.explode(seeds(F.col("hashes"), s)).alias("s")).select("item", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
     small = item_seeds.count() <= MOST_SENT
     sent = F.broadcast if small else (lambda df: df)
     # A row goes by a hash of its id and text; what the hits of two rows have in common is told apart by the verification.
     # Exploded, so that the hash is taken once a row and not once a seed.
     texts = docs.select(F.explode(F.array(F.xxhash64(F.col(doc_id).cast("string"), doc_text))).alias("row"), F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text"))
     words = texts.select("row", "doc", tokens(F.col("doc_text")).alias("doc_words"))
-    doc_seeds = words.select("row", F.explode(seeds(F.col("doc_words"), s)).alias("s")).select("row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
+    doc_seeds = words.select("row", hashed(F.col("doc_words")).alias("hashes")).select("row", F.explode(seeds(F.col("hashes"), s)).alias("s")).select("row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
     hits = written(doc_seeds.join(sent(item_seeds), "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct(), "hits")
     at, n = F.col("diagonal"), F.size("item_words")
     if hits.count() <= MOST_SENT:
