@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontaminate, fingerprints, html_text, language_id, near_dedup, piece_codec, secret_scan, substring_dedup, token_counts, warc_revisits
+from ragloom.llm import decontaminate, fair_mix, fingerprints, html_text, language_id, near_dedup, piece_codec, secret_scan, substring_dedup, token_counts, warc_revisits
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,9 +65,13 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix.shares(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op7_fingerprints, op8_token_counts, op9_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op7_fingerprints, op8_token_counts, op9_decontaminate, op10_html_text, op11_fair_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_revisits": warc_revisits.oracle(), "op9_decontaminate": decontaminate.oracle()}
+    return {"op1_warc_revisits": warc_revisits.oracle(), "op9_decontaminate": decontaminate.oracle(), "op11_fair_mix": fair_mix.oracle()}
