@@ -27,7 +27,7 @@ def targets_by_force(sizes, times=3):
         total = sum(weight[s] for s in open_)
         over = [s for s in open_ if left * weight[s] / total > bound[s]]
         if not over:
-            out.update({s: left * weight[s] / total for s in open_})
+            out.update({s: float(left / total) * weight[s] for s in open_})  # the level is rounded once, as doubles are
             break
         for s in over:
             out[s] = Fraction(bound[s])
