@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import decontaminate, fair_mix, fingerprints, html_text, language_id, near_dedup, periodic_runs, piece_codec, secret_scan, substring_dedup, token_counts, warc_revisits
+from ragloom.llm import decontaminate, fair_mix, fingerprints, html_text, language_id, near_dedup, periodic_runs, piece_codec, secret_scan, substring_dedup, token_counts, warc_revisits, whitening
 
 
 def tokenizer_path(name: str) -> str:
@@ -73,8 +73,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.with_repeated_tails(documents(spark, sf_dir)))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op7_fingerprints, op8_token_counts, op9_decontaminate, op10_html_text, op11_fair_mix, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_substring_dedup, op3_language_id, op4_piece_codec, op5_secret_scan, op6_near_dedup, op7_fingerprints, op8_token_counts, op9_decontaminate, op10_html_text, op11_fair_mix, op12_periodic_runs, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
