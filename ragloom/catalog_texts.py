@@ -96,11 +96,11 @@ def c13_carried_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.carried_headings(lines, "doc_id", ["at"]).select("doc_id", F.col("at").alias("place"), "section")
 
 
-@query(r"""WITH b AS (SELECT doc_id, doc_id % 1000 AS top, trim(substr(text, 1, 150)) AS t FROM documents)
+@query(r"""WITH b AS (SELECT doc_id, doc_id % 1000 AS top, trim(coalesce(text, '')) AS t FROM documents)
 SELECT doc_id, CASE WHEN t = '' THEN 'unknown' WHEN top < 150 AND length(t) < 120 AND NOT contains(t, chr(10)) THEN 'heading' WHEN regexp_matches(t, '^\s*[-•*]\s|^\s*\d+[.)]\s|^\s*[a-zA-Z][.)]\s') THEN 'list_item'
 WHEN top > 850 AND length(t) < 200 THEN 'caption' WHEN len(regexp_extract_all(t, '[∑∫∂∇×÷±√∞αβγδεζηθ=<>]')) >= 2 THEN 'formula' ELSE 'paragraph' END AS kind FROM b""")
 def t23_block_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", ocr.block_type(F.substring("text", 1, 150), F.col("doc_id") % 1000, F.lit(1000)).alias("kind"))
+    return table(spark, sf_dir, "documents").select("doc_id", ocr.block_type(F.col("text"), F.col("doc_id") % 1000, F.lit(1000)).alias("kind"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, source, lang, {WORDS.format("text")} AS w FROM documents)
@@ -132,11 +132,11 @@ def t30_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", header.alias("header"))
 
 
-@query("""SELECT doc_id, '[IMAGE TYPE: ' || coalesce(lang, '') || ']' || chr(10) || '[IMAGE SUMMARY: ' || coalesce(substr(text, 1, 60), '') || ']' || chr(10) || '[IMAGE EDUCATIONAL VALUE: high]' ||
+@query("""SELECT doc_id, '[IMAGE TYPE: ' || coalesce(lang, '') || ']' || chr(10) || '[IMAGE SUMMARY: ' || coalesce(text, '') || ']' || chr(10) || '[IMAGE EDUCATIONAL VALUE: high]' ||
 CASE WHEN doc_id % 2 = 0 THEN chr(10) || '[IMAGE DETECTED TEXT: seen]' ELSE '' END || chr(10) || '[IMAGE KEY ENTITIES: ' || source || ', b]' || chr(10) || '[IMAGE KEYWORDS: k]' AS shown FROM documents""")
 def t31_image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = F.struct(
-        F.col("lang").alias("image_type"), F.substring("text", 1, 60).alias("summary"), F.lit("high").alias("educational_value"), F.when(F.col("doc_id") % 2 == 0, "seen").otherwise("").alias("detected_text"),
+        F.col("lang").alias("image_type"), F.col("text").alias("summary"), F.lit("high").alias("educational_value"), F.when(F.col("doc_id") % 2 == 0, "seen").otherwise("").alias("detected_text"),
         F.array("source", F.lit("b")).alias("key_entities"), F.array().cast("array<string>").alias("relationships"), F.array(F.lit("k")).alias("searchable_keywords"))
     return table(spark, sf_dir, "documents").select("doc_id", display.image_text(summary).alias("shown"))
 
