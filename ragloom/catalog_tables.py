@@ -9,7 +9,7 @@ from ragloom.catalog import PLANNED, SCHOOL, SCORED, TOKENS, WORDS, asked_plans,
 from ragloom.functions import text as tx
 from ragloom.operators import cache, chunking, metrics, ocr, ranking, relational, vectors
 from ragloom.plans import planner
-from ragloom.sources import readers
+from ragloom.sources import files, readers, writers
 from ragloom.streaming import rate_limit
 
 
@@ -127,15 +127,55 @@ def c34_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.preview(table(spark, sf_dir, "documents"), id="doc_id")
 
 
-@query(r"""WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<nav\b.*?</nav\s*>|<footer\b.*?</footer\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
+PAGE_ELEMENTS = (r"""WITH b AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<nav\b.*?</nav\s*>|<footer\b.*?</footer\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages),
 m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<(h[1-6]|p|li|td|th|pre|blockquote)\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), '(?i)</(h[1-6]|p|li|td|th|pre|blockquote|div|ul|ol|table|article|section)\s*>', chr(1) || chr(2), 'g'), '<[^>]*>', ' ', 'g') AS t FROM b),
 p AS (SELECT page_id, unnest(string_split(t, chr(1))) AS raw, unnest(range(len(string_split(t, chr(1))))) AS part FROM m),
 e AS (SELECT page_id, part, lower(regexp_extract(raw, '^([A-Za-z0-9]*)' || chr(2), 1)) AS tag, trim(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(raw, '^[A-Za-z0-9]*' || chr(2), ''), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')) AS text FROM p)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS place, CASE WHEN starts_with(tag, 'h') THEN 'Title' WHEN tag = 'li' THEN 'ListItem' WHEN tag IN ('td', 'th') THEN 'Table' WHEN tag = 'pre' THEN 'Code' ELSE 'NarrativeText' END AS kind, text FROM e WHERE text <> ''""")
+
+
+@query(PAGE_ELEMENTS)
 def s5_html_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.html_elements(table(spark, sf_dir, "pages")).withColumnRenamed("at", "place")
 
 
+@query(PAGE_ELEMENTS)
+def s5_tree_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.tree_elements(table(spark, sf_dir, "pages")).select("page_id", F.col("at").alias("place"), "kind", "text")
+
+
+TEXT_LINES = r"""lines AS (SELECT doc_id, generate_subscripts(l, 1) AS place, trim(unnest(l), chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+marked AS (SELECT *, regexp_matches(line, '^([-*•]|[0-9]{1,3}[.)])[ \t]+[^ \t\r\x0b\x0c]') AS item, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY place), '') = '' AS first FROM lines),
+grouped AS (SELECT *, sum(CASE WHEN item OR first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY place) AS part FROM marked WHERE line <> ''),
+parts AS (SELECT doc_id, part, bool_or(item) AS item, count(*) AS n, trim(regexp_replace(string_agg(CASE WHEN item THEN regexp_replace(line, '^([-*•]|[0-9]{1,3}[.)])[ \t]+', '') ELSE line END, ' ' ORDER BY place), '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS text FROM grouped GROUP BY doc_id, part)"""
+
+
+@query(f"""WITH {TEXT_LINES}
+SELECT CASE WHEN item THEN 'ListItem' WHEN n = 1 AND regexp_matches(text, '^\\p{{Lu}}') AND NOT regexp_matches(text, '[.!?,;:]$') AND len(string_split(text, ' ')) <= 12 THEN 'Title' ELSE 'NarrativeText' END AS kind, text FROM parts""")
+def s5_text_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as text files, which are read again in parts of 1 MB."""
+    folder = writers.kept_path(spark, "texts")
+    table(spark, sf_dir, "documents").where("text is not null").select(F.concat("text", F.lit("\n"))).write.text(folder)
+    return files.read_elements(spark, folder, splitBytes=1 << 20, partitionBytes=1 << 20).select("kind", "text")
+
+
+@query("SELECT doc_id, 1 AS page, text FROM documents WHERE text IS NOT NULL AND text <> ''")
+def s4_file_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as one file each by their tasks, which are read again as pages."""
+    folder = writers.kept_path(spark, "files")
+
+    def save(batches):
+        for batch in batches:
+            for doc, text in zip(*batch.to_pydict().values()):
+                with files.created(f"{folder}/{doc % 64}/{doc}.txt") as out:
+                    out.write(text.encode())
+            yield batch.slice(0, 0)
+
+    table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInArrow(save, "doc_id long, text string").count()
+    pages = files.read_pages(spark, folder).where("error is null")
+    return pages.select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "page", "text")
+
+
 # --- ranking ---------------------------------------------------------------------------------
 
 @query("""WITH f AS (SELECT doc_id, ['qna', 'image', 'audio', 'youtube', 'documents', 'handwritten'][doc_id % 6 + 1] AS source, doc_id % 4 - 1 AS marks, doc_id % 5 - 1 AS year, doc_id % 3 = 0 AS eq, (doc_id % 10) / 10.0 AS conf, doc_id % 2 = 0 AS told FROM documents)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragloom.functions import text as tx
+from ragloom.sources import elements
 
 # The extensions of each pipeline.
 DOCUMENTS, AUDIO = ("pdf", "pptx", "docx", "txt", "md"), ("mp3", "wav", "m4a", "aac", "ogg", "flac", "mp4", "webm")
@@ -68,6 +69,22 @@ def html_elements(pages: DataFrame, id: str = "page_id", html: str = "html") ->
     return kept.select(id, (F.row_number().over(Window.partitionBy(id).orderBy("part")) - 1).alias("at"), "kind", "text")
 
 
+def tree_elements(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
+    """id, at, kind, text, level and rows of pages' elements by their tree: depths of titles and items, tables with their cells, nested ones too."""
+    own = pages.select(F.col(f"`{id}`").alias("id"), F.col(f"`{html}`").alias("html"))
+    kind = own.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = elements.html_elements(batch.column(1)[i].as_py() or "")
+                ids = batch.column(0).slice(i, 1).take(pa.array([0] * len(found), pa.int64()))
+                columns = [pa.array([e.kind for e in found], pa.string()), pa.array([e.text for e in found], pa.string()), pa.array([e.level for e in found], pa.int32()), pa.array([e.rows for e in found], pa.list_(pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(range(len(found)), pa.int64()), *columns], names=["id", "at", "kind", "text", "level", "rows"])
+
+    return own.mapInArrow(run, f"id {kind}, at long, kind string, text string, level int, rows array<array<string>>").withColumnRenamed("id", id)
+
+
 def preferred_captions(tracks: DataFrame, languages: list[str], video: str = "video_id") -> DataFrame:
     """One caption track of each video: written ones before generated ones, then by the order of languages."""
     rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)]), F.col("language")), F.lit(len(languages)))

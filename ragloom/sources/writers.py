@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,19 +13,33 @@ TEXT_LIMITS = {"raw_text": 8000, "tables_text": 4000, "image_summaries": 8000, "
 LIST_LIMITS = {"questions": 30, "answers": 30, "concepts": 50, "keywords": 50, "gemini_keywords": 30, "gemini_content_signals": 20}
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share.
 
     Where none is set, a local session (one process, as in tests) gets a folder of its own; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir is not set: tables are kept in a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="ragloom-shared-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def kept_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, whose files go when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/ragloom-{label}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
