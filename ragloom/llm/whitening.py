@@ -177,8 +177,8 @@ def factor(fit_rows: DataFrame, m: Means) -> np.ndarray:
 
     left = written(fit_rows.select("x").mapInArrow(lambda b: fold(b, lambda c: m.offsets(matrix(c, width))), "r array<double>"), "whitening-r")
     while (count := left.count()) > 1:
-        # Numbered by their bits, so that a repeated task deals the same triangles to the same fold.
-        left = written(left.repartition(-(-count // FOLD), F.xxhash64("r")).mapInArrow(fold, "r array<double>"), "whitening-r")
+        # Kept ones are read again by files, FOLD or more to a task, so folding needs no shuffle.
+        left = written(left.coalesce(-(-count // FOLD)).mapInArrow(fold, "r array<double>"), "whitening-r")
     return np.array(left.first()[0]).reshape(width, width)
 
 
