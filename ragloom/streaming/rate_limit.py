@@ -6,6 +6,7 @@ transformWithState, a single writer for each user.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,6 +17,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Of each role the tokens a minute, a bucket's size, a refill a second and the tokens a day.
 THRESHOLDS = {"student": (50_000, 80_000, 800.0, 500_000), "teacher": (150_000, 250_000, 2_500.0, 2_000_000)}
 WINDOW_SECONDS = 60
+#: Microseconds of a day.
+DAY = 86_400_000_000
 #: The least wait that a full window names, and the tokens that a bucket should hold again.
 LEAST_WAIT, ENOUGH = 5, 500
 
@@ -116,50 +119,85 @@ def headers(decided: DataFrame) -> DataFrame:
 
 
 class Limiter(StatefulProcessor):
-    """A user's recent events, bucket and day; each event is checked, then recorded."""
+    """A user's last minute, a bucket for each role, and the day; each event is checked, then recorded.
 
-    def __init__(self, minute: float, capacity: float, rate: float, day: float):
-        self.limits = (minute, capacity, rate, day)
+    What a user's state says is no more than a fresh one once the minute, the day and every bucket's refill are over.
+    A timer at that time, in event time, forgets the user, so the state holds active users alone and decisions stay as
+    if nothing were forgotten.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getMapState("recent", "id long", "us long, mode string, tokens double")
-        self.bucket = handle.getValueState("bucket", "level double, us long, day long, used double")
+        self.handle = handle
+        self.recent = handle.getMapState("recent", "seq long", "us long, mode string, tokens double")
+        self.buckets = handle.getMapState("buckets", "role string", "level double, us long")
+        self.day = handle.getValueState("day", "day long, used double, seq long, timer long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        minute, capacity, rate, quota = self.limits
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["us", "event_id"], kind="stable")
-        level, last, day, used = self.bucket.get() if self.bucket.exists() else (capacity, None, -1, 0.0)
-        recent = {k[0]: v for k, v in self.recent.iterator()} if self.recent.exists() else {}
-        out = []
+        day, used, seq, timer = self.day.get() if self.day.exists() else (-1, 0.0, 0, -1)
+        recent = {k[0]: tuple(v) for k, v in self.recent.iterator()} if self.recent.exists() else {}
+        buckets = {k[0]: tuple(v) for k, v in self.buckets.iterator()} if self.buckets.exists() else {}
+        before, out, newest, end = dict(recent), [], 0, 0
         for e in events.itertuples():
-            us, today = int(e.us), int(e.us) // 86_400_000_000
-            used = used if today == day else 0.0
-            day = today
-            level = min(capacity, level + (us - (us if last is None else last)) / 1e6 * rate)
-            last = us
-            for k in [k for k, v in recent.items() if v[0] <= us - WINDOW_SECONDS * 1_000_000]:
-                del recent[k]
-                if self.recent.containsKey((k,)):
-                    self.recent.removeKey((k,))
+            role = e.role if e.role in THRESHOLDS else "student"
+            minute, capacity, rate, quota = THRESHOLDS[role]
+            us, today = int(e.us), int(e.us) // DAY
+            used, day = (used if today == day else 0.0), today
+            level, last = buckets.get(role, (capacity, us))
+            level = min(capacity, level + max(0, us - last) / 1e6 * rate)
+            recent = {k: v for k, v in recent.items() if v[0] > us - WINDOW_SECONDS * 1_000_000}
             window = sum(v[2] for v in recent.values() if v[1] == e.mode and v[0] < us)
             reason = "window" if window >= minute else "bucket" if level < 1 else "day" if used >= quota else None
-            out.append((key[0], int(e.event_id), window, level, used, reason is None, reason))
+            waits = {"window": lambda: max(float(LEAST_WAIT), WINDOW_SECONDS * (window - minute) / window), "bucket": lambda: max(1.0, (ENOUGH - level) / rate), "day": lambda: (today + 1) * DAY / 1e6 - us // 1_000_000}
+            out.append((key[0], e.event_id, window, level, used, reason is None, reason, math.ceil(waits[reason]()) if reason else None))
             spent = max(float(e.tokens), 0.0)
-            level, used = max(level - spent, 0.0), used + spent
-            recent[int(e.event_id)] = (us, e.mode, spent)
-            self.recent.updateValue((int(e.event_id),), (us, e.mode, spent))
-        self.bucket.update((level, last, day, used))
-        yield pd.DataFrame(out, columns=["user_id", "event_id", "used_window", "available", "used_day", "allowed", "reason"])
+            used += spent
+            buckets[role] = (max(level - spent, 0.0), us)
+            recent[seq] = (us, e.mode, spent)
+            seq, newest = seq + 1, max(newest, us)
+            end = max(end, us + int(capacity / rate * 1e6))
+        for k in before.keys() - recent.keys():
+            self.recent.removeKey((k,))
+        for k in recent.keys() - before.keys():
+            self.recent.updateValue((k,), recent[k])
+        for role in events["role"].where(events["role"].isin(list(THRESHOLDS)), "student").unique():
+            self.buckets.updateValue((role,), buckets[role])
+        due = max(end, newest + WINDOW_SECONDS * 1_000_000, (newest // DAY + 1) * DAY) // 1000 + 1
+        if due > timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.day.update((day, used, seq, timer))
+        made = pd.DataFrame(out, columns=["user_id", "event_id", "used_window", "available", "used_day", "allowed", "reason", "retry_after"])
+        yield made.astype({"retry_after": "Int64"})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        self.recent.clear()
+        self.buckets.clear()
+        self.day.clear()
+        yield pd.DataFrame(columns=["user_id", "event_id", "used_window", "available", "used_day", "allowed", "reason", "retry_after"])
 
     def close(self) -> None:
         pass
 
 
-def stream_decisions(events: DataFrame, role: str = "student") -> DataFrame:
-    """Decisions over a stream (event_id, user_id, mode, ts, tokens); state is kept per user.  Needs the RocksDB state store."""
-    rows = events.select("event_id", F.col("user_id").cast("long").alias("user_id"), "mode", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("tokens").cast("double").alias("tokens"))
-    schema = "user_id long, event_id long, used_window double, available double, used_day double, allowed boolean, reason string"
-    return rows.groupBy("user_id").transformWithStateInPandas(Limiter(*THRESHOLDS[role]), outputStructType=schema, outputMode="append", timeMode="none")
+DECISIONS = "user_id long, event_id long, used_window double, available double, used_day double, allowed boolean, reason string, retry_after long"
+
+
+def stream_decisions(events: DataFrame, role: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Decisions over a stream (event_id, user_id, mode, role, ts, tokens), each event by its own role.
+
+    As decisions() gives them, if a user's events come in the order of their times; one that comes after later ones, by
+    no more than ``late``, is checked against what is known then, and one beyond is dropped.  ``role`` stands for the
+    column where the stream has none.  Needs the RocksDB state store; with its states encoded as Avro
+    (spark.sql.streaming.stateStore.encodingFormat) a later version may add fields to them.
+    """
+    own = F.lit(role) if role or "role" not in events.columns else F.col("role")
+    timed = events.select("event_id", F.col("user_id").cast("long").alias("user_id"), "mode", own.alias("role"), F.col("ts").cast("timestamp").alias("ts"), F.col("tokens").cast("double").alias("tokens"))
+    # What is not after the first watermark, which is 1970 itself, would count as late.
+    rows = timed.withColumn("us", F.unix_micros("ts")).withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 MILLISECOND")).withWatermark("ts", late)
+    return rows.groupBy("user_id").transformWithStateInPandas(Limiter(), outputStructType=DECISIONS, outputMode="append", timeMode="eventTime")
 
 
 def stream_daily(events: DataFrame, late: str = "1 hour") -> DataFrame:
