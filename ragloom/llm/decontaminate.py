@@ -7,14 +7,18 @@ joined between benchmark items and documents.  A hit proposes a diagonal (place
 document less place in the item).  On it the item's tokens are compared with the
 document's, and the pair counts as an overlap if some ``window`` consecutive item
 tokens (the whole item, if shorter) hold at least ``matches`` equal ones in proportion.
+Equal seeds of one item and one document meet once with all their places, so a text that
+repeats itself proposes each diagonal once; and all windows of a diagonal are judged in
+one pass over its unequal places.
 
 An item too short for the fixed masks to hit all its overlaps (under nine tokens) has
 masks of its own length instead, one for every choice of the places that have to be
 equal, joined with the documents' runs of that length.
 
-Hits are kept as a table in the shared folder.  They are few beside the texts, so only
-texts with a hit are read again, cut to tokens once more and verified; the others are not
-shuffled.  Items with equal tokens are looked for once and all reported.
+Hits are kept as a table in the shared folder, one row a document and item.  They are few
+beside the texts, so only texts with a hit are read again, cut to tokens once more and
+verified; the others are not shuffled.  Where hits are too many to be sent to every task,
+texts are joined with them once, by row, and rows that repeat are dealt over tasks.  Items with equal tokens are looked for once and all reported.
 
 Items or documents that are null or without a token overlap with nothing; an item of one
 token overlaps with every document that holds it.  A pair of ids gives one row: where an
@@ -33,10 +37,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragloom.llm.support import written
+from ragloom.llm.support import spread, written
 
 #: Distinct seeds of the benchmark up to this number (about 16 bytes each) are sent to every task, and as many hits; more are joined by a shuffle.
 MOST_SENT = 500_000
+#: A text repeats itself where it has so many pairs of places with equal seeds to a diagonal; diagonals verified at once.
+REPETITIVE, DIAGONALS = 4, 256
 
 
 @dataclass(frozen=True)
@@ -101,12 +107,104 @@ def run_seeds(words: Column, n: int, s: Settings) -> Column:
 
 
 def short_pairs(words: DataFrame, own: DataFrame, lengths: list[int], s: Settings) -> DataFrame:
-    """row, doc, item, diagonal, item_words and what lies ``beside`` them, of every hit of the items of these lengths."""
+    """row, doc, item, n_matched and n_diagonals of the overlaps of the items of these lengths."""
     runs = lambda name: F.explode(F.concat(*(run_seeds(F.col(name), n, s) for n in lengths))).alias("s")
     item_seeds = own.select("item", "item_words", runs("item_words")).where(F.col("s.run") == F.col("item_words")).select("item", "item_words", F.col("s.seed").alias("seed"))
     doc_seeds = words.select("row", "doc", runs("doc_words")).select("row", "doc", F.col("s.place").alias("diagonal"), F.col("s.run").alias("beside"), F.col("s.seed").alias("seed"))
     hits = doc_seeds.join(F.broadcast(item_seeds) if item_seeds.count() <= MOST_SENT else item_seeds, "seed")
-    return hits.select("row", "doc", "item", "diagonal", "item_words", "beside")
+    matched = F.size(F.filter(F.zip_with("item_words", "beside", lambda w, d: w == d), lambda same: same))
+    needs = F.element_at(F.create_map(*[F.lit(x) for n in lengths for x in (n, needed(n, s))]), F.size("item_words"))
+    kept = hits.select("row", "doc", "item", "diagonal", matched.alias("matched"), needs.alias("needs")).where("matched >= needs")
+    return kept.groupBy("row", "doc", "item").agg(F.max("matched").alias("n_matched"), F.countDistinct("diagonal").alias("n_diagonals"))
+
+
+def met_items(doc_seeds: DataFrame, item_seeds: DataFrame) -> DataFrame:
+    """row, item, low, high and diagonals of every document and item that share a seed.
+
+    Seeds meet as (row, item, seed) with the places of each, not place by place.  Where a text repeats itself, so that
+    pairs of places outnumber the diagonals that they can lie on, all diagonals from ``low`` to ``high`` count as hit
+    (``diagonals`` is null): the masks hit every overlap, so verifying more diagonals finds nothing else.
+    """
+    of_items = item_seeds.groupBy("seed", "item").agg(F.collect_set("item_place").alias("item_places"))
+    pairs = of_items.select("seed", "item")
+    if pairs.count() <= MOST_SENT:
+        met = doc_seeds.join(F.broadcast(pairs), "seed")
+    else:
+        # A seed of many documents is dealt over tasks; its items are one row.
+        met = spread(doc_seeds, pairs.groupBy("seed").agg(F.collect_set("item").alias("items")), ["seed"]).select("row", "place", "seed", F.explode("items").alias("item"))
+    places = met.groupBy("row", "item", "seed").agg(F.collect_set("place").alias("doc_places")).join(of_items, ["item", "seed"])
+    n_pairs = F.size("doc_places").cast("long") * F.size("item_places")
+    low, high = F.array_min("doc_places") - F.array_max("item_places"), F.array_max("doc_places") - F.array_min("item_places")
+    found = places.groupBy("row", "item").agg(F.sum(n_pairs).alias("n_pairs"), F.min(low).alias("low"), F.max(high).alias("high"), F.collect_list(F.struct("doc_places", "item_places")).alias("places"))
+    differences = F.flatten(F.transform("places", lambda s: F.flatten(F.transform(s["doc_places"], lambda d: F.transform(s["item_places"], lambda i: d - i)))))
+    few = F.col("n_pairs") <= REPETITIVE * (F.col("high") - F.col("low") + 1)
+    return found.select("row", "item", "low", "high", F.when(few, F.array_distinct(differences)).alias("diagonals"))
+
+
+def near_diagonals(words: Column, item: Column, diagonals: Column, s: Settings) -> Column:
+    """Equal tokens of every diagonal with an overlap.
+
+    A window of tokens has enough equal ones if so few unequal places lie within it that those before and behind
+    stand more than its length apart; so one pass over the unequal places does for all windows.  Places of the item
+    beyond the document's ends are unequal.  Stretches that are equal as a whole are not looked at token by token.
+    """
+    n, whole = F.size(item), F.size(words)
+    length = F.least(n, F.lit(s.window))
+    spare = length - F.ceil(length * s.matches / s.window).cast("int")
+
+    # Step by step, so that what a later step reads twice is made once.
+    def cut(a: Column) -> Column:
+        low, high = F.greatest(F.lit(0), -a), F.least(n, whole - a)  # places of the item that lie in the document
+        return F.struct(low.alias("low"), high.alias("high"), F.slice(item, low + 1, high - low).alias("own"), F.slice(words, low + a + 1, high - low).alias("beside"))
+
+    def compared(d: Column) -> Column:
+        places = F.filter(F.transform(F.zip_with(d["own"], d["beside"], lambda x, y: x == y), lambda same, i: F.when(~same, i + d["low"])), lambda p: p.isNotNull())
+        return F.struct(d["low"].alias("low"), d["high"].alias("high"), F.when(d["own"] == d["beside"], F.array().cast("array<int>")).otherwise(places).alias("unequal"))
+
+    def edged(d: Column) -> Column:
+        low, high = d["low"], d["high"]
+        edges = F.concat(F.sequence(F.greatest(F.lit(-1), low - 1 - spare), low - 1), d["unequal"], F.sequence(high, F.least(n, high + spare)))
+        return F.struct((high - low - F.size(d["unequal"])).alias("matched"), edges.alias("edges"))
+
+    def near(d: Column) -> Column:
+        e = d["edges"]
+        wide = F.exists(F.sequence(F.lit(0), F.size(e) - spare - 2), lambda j: F.get(e, j + spare + 1) - F.get(e, j) > length)
+        return F.when(F.size(e) < spare + 2, True).otherwise(wide)
+
+    inside = F.filter(diagonals, lambda a: (a > -n) & (a < whole))
+    each = F.transform(F.transform(F.transform(inside, cut), compared), edged)
+    return F.transform(F.filter(each, near), lambda d: d["matched"])
+
+
+def verified(texts: DataFrame, hits: DataFrame, own: DataFrame, s: Settings) -> DataFrame:
+    """row, doc, item, n_matched and n_diagonals of the pairs among ``hits`` that overlap.
+
+    Every text is joined, and cut to tokens, once.  Pairs with more than DIAGONALS diagonals, as of texts that repeat
+    themselves, are verified so many at a time, each time with the stretch of the text that they need, and dealt over tasks.
+    """
+    hits = hits.withColumn("many", F.when(F.col("diagonals").isNull(), F.col("high") - F.col("low") + 1).otherwise(F.size("diagonals")) > DIAGONALS)
+    longest = own.agg(F.max(F.size("item_words"))).first()[0] or 0
+
+    def of(part: DataFrame) -> DataFrame:
+        by_row = part.join(own, "item").groupBy("row").agg(F.collect_list(F.struct("item", "item_words", "low", "high", "diagonals")).alias("found"))
+        n, held = part.agg(F.count("*"), F.sum(F.greatest(F.size("diagonals"), F.lit(0)))).first()
+        sent = n <= MOST_SENT and (held or 0) <= 8 * MOST_SENT and longest * n <= 64 * MOST_SENT
+        rows = texts.join(F.broadcast(by_row), "row") if sent else spread(texts, by_row, ["row"])
+        cut = rows.select("row", "doc", F.explode(F.array(tokens(F.col("doc_text")))).alias("doc_words"), "found").select("row", "doc", "doc_words", F.explode("found").alias("f"))
+        return cut.select("row", "doc", "doc_words", "f.item", "f.item_words", F.coalesce(F.col("f.diagonals"), F.sequence("f.low", "f.high")).alias("of"))
+
+    pairs = of(hits.where("not many")).withColumn("at", F.lit(0))
+    if hits.where("many").first():
+        blocks = of(hits.where("many")).withColumn("of", F.array_sort("of")).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("of") - 1, F.lit(DIAGONALS))))
+        blocks = blocks.withColumn("of", F.slice("of", F.col("at") + 1, F.lit(DIAGONALS))).withColumn("from", F.greatest(F.lit(0), F.get("of", F.lit(0))))
+        stretch = F.slice("doc_words", F.col("from") + 1, F.greatest(F.lit(0), F.element_at("of", -1) + F.size("item_words") - F.col("from")))
+        blocks = blocks.select("row", "doc", stretch.alias("doc_words"), "item", "item_words", F.transform("of", lambda a: a - F.col("from")).alias("of"), "at")
+        # Few bytes but much work: a number of partitions, which adaptive execution would else make one.
+        parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        pairs = pairs.unionByName(blocks.repartition(parts, "row", "item", "at"))
+    near = pairs.select("row", "doc", "item", "at", F.explode(F.array(near_diagonals(F.col("doc_words"), F.col("item_words"), F.col("of"), s))).alias("near")).where(F.size("near") > 0)
+    once = near.groupBy("row", "doc", "item", "at").agg(F.max("near").alias("near"))  # rows that repeat others find the same
+    return once.groupBy("row", "doc", "item").agg(F.max(F.array_max("near")).alias("n_matched"), F.sum(F.size("near").cast("long")).alias("n_diagonals"))
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -120,36 +218,17 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text
     lengths = sorted(r[0] for r in every.select(F.size("item_words").alias("n")).where(F.col("n") < s.window).distinct().collect() if not covered(r[0], s))
     own = every.where(~F.size("item_words").isin(lengths)).select("item", "item_words")
     item_seeds = own.select("item", hashed(F.col("item_words")).alias("hashes")).select("item", F.explode(seeds(F.col("hashes"), s)).alias("s")).select("item", F.col("s.place").alias("item_place"), F.col("s.seed").alias("seed"))
-    small = item_seeds.count() <= MOST_SENT
-    sent = F.broadcast if small else (lambda df: df)
     # A row goes by a hash of its id and text; what the hits of two rows have in common is told apart by the verification.
     # Exploded, so that the hash is taken once a row and not once a seed.
     texts = docs.select(F.explode(F.array(F.xxhash64(F.col(doc_id).cast("string"), doc_text))).alias("row"), F.col(doc_id).alias("doc"), F.col(doc_text).alias("doc_text"))
     words = texts.select("row", "doc", tokens(F.col("doc_text")).alias("doc_words"))
     doc_seeds = words.select("row", hashed(F.col("doc_words")).alias("hashes")).select("row", F.explode(seeds(F.col("hashes"), s)).alias("s")).select("row", F.col("s.place").alias("place"), F.col("s.seed").alias("seed"))
-    hits = written(doc_seeds.join(sent(item_seeds), "seed").select("row", "item", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct(), "hits")
-    at, n = F.col("diagonal"), F.size("item_words")
-    if hits.count() <= MOST_SENT:
-        met = texts.join(F.broadcast(hits.select("row").distinct()), "row", "left_semi")
-        rows = met.select("row", "doc", F.explode(F.array(tokens(F.col("doc_text")))).alias("doc_words")).join(F.broadcast(hits), "row")
-        doc_words = F.col("doc_words")
-    else:
-        rows, doc_words = texts.join(hits, "row"), tokens(F.col("doc_text"))
-    # What of the document lies beside the item's tokens; exploded, so that it is cut out once.
-    ahead = F.concat(F.array_repeat(F.lit(None).cast("string"), -at), F.slice(doc_words, F.lit(1), F.greatest(n + at, F.lit(0))))
-    beside = F.when(at >= 0, F.slice(doc_words, F.greatest(at, F.lit(0)) + 1, n)).otherwise(ahead)
-    compared = rows.join(sent(own), "item").select("row", "doc", "item", "diagonal", "item_words", F.explode(F.array(beside)).alias("beside"))
+    hits = written(met_items(doc_seeds, item_seeds), "hits")
+    of_rows = verified(texts, hits, own, s)
     if lengths:
-        compared = compared.unionByName(short_pairs(words, every.where(F.size("item_words").isin(lengths)), lengths, s))
-    equal = F.zip_with("item_words", "beside", lambda w, d: F.coalesce((w == d).cast("int"), F.lit(0)))
-    length = F.least(F.size("equal"), F.lit(s.window))
-    need = F.ceil(length * s.matches / s.window).cast("int")
-    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
-    close = F.exists(F.sequence(F.lit(1), F.size("equal") - length + 1), lambda i: total(F.slice("equal", i, length)) >= need)
-    kept = compared.select("row", "doc", "item", "diagonal", equal.alias("equal")).where(close).select("row", "doc", "item", "diagonal", total(F.col("equal")).alias("matched"))
-    of_rows = kept.groupBy("row", "doc", "item").agg(F.max("matched").alias("n_matched"), F.countDistinct("diagonal").alias("n_diagonals"))
+        of_rows = of_rows.unionByName(short_pairs(words, every.where(F.size("item_words").isin(lengths)), lengths, s))
     ids = every.join(named.select("item_id", "key").distinct(), "key").select("item", "item_id")
-    pairs = of_rows.join(sent(ids), "item").groupBy("doc", "item_id").agg(F.max(F.struct("n_matched", "n_diagonals")).alias("most"))
+    pairs = of_rows.join(ids, "item").groupBy("doc", "item_id").agg(F.max(F.struct("n_matched", "n_diagonals")).alias("most"))
     return pairs.select(F.col("doc").alias(doc_id), F.col("item_id").alias(item_id), F.col("most.n_diagonals").alias("n_diagonals"), F.col("most.n_matched").alias("n_matched"))
 
 
@@ -161,11 +240,8 @@ def without_overlaps(docs: DataFrame, items: DataFrame, doc_text: str = "text",
     return docs.withColumn("__key", key).join(found, "__key", "left_anti").drop("__key")
 
 
-def oracle(settings: Settings = Settings(masks=("110110101", "111001011"))) -> str:
-    """The same over the tables documents and benchmark, in DuckDB's SQL, with the seeds spelled out instead of hashed.
-
-    It keeps its two masks, which lose nothing from the given tables' items.
-    """
+def oracle(settings: Settings = Settings()) -> str:
+    """The same over the tables documents and benchmark, in DuckDB's SQL, with the seeds spelled out instead of hashed."""
     s = settings
     split = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda t: t <> '')"
     key = lambda mask: " || chr(1) || ".join(f"words[p + {i + 1}]" for i, c in enumerate(mask) if c == "1")

@@ -518,3 +518,35 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     secret = spark.createDataFrame([(1, "a token=abcdefghijklmnop b", "en", "s", 26), (2, None, None, None, None)], plain.schema)
     assert [tuple(r) for r in p.secrets(spark, secret, "").collect()] == [(1, "a [secret] b", "en", "s", 12), (2, None, None, None, None)]
     assert p.pieces(spark, plain, "").count() == len(rows)
+
+
+def diagonals_by_force(doc, item, window=13, matches=11):
+    """(diagonals, most equal tokens on one) of two token lists, window by window."""
+    n, best, count = len(item), 0, 0
+    length = min(n, window)
+    need = -(-length * matches // window)
+    for a in range(-n + 1, len(doc)):
+        equal = [0 <= a + k < len(doc) and doc[a + k] == item[k] for k in range(n)]
+        if any(sum(equal[k : k + length]) >= need for k in range(n - length + 1)):
+            count, best = count + 1, max(best, sum(equal))
+    return (count, best) if count else None
+
+
+def test_repetitive_texts_against_every_diagonal(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(decontaminate, "DIAGONALS", 16)
+    letters = lambda n, k: [rng.choice("abcdefgh"[:k]) for _ in range(n)]
+    base = letters(60, 8)
+    items = {1: ["a"] * 40, 2: letters(90, 2), 3: ["a", "b"] * 20, 4: base, 5: letters(9, 2), 6: base[:12] + ["z"] * 5 + base[:12]}
+    texts = {1: ["a"] * 300, 2: letters(400, 2), 3: ["b", "a"] * 100, 4: letters(50, 8) + base[5:40] + letters(20, 8), 5: base, 6: base[:13], 7: letters(5, 2), 8: base[:30] + ["x"] + base[31:] + base}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()] * 2, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    expected = {(d, i): diagonals_by_force(texts[d], items[i]) for d in texts for i in items}
+    expected = {k: v for k, v in expected.items() if v}
+    assert len(expected) > 12
+    for most in (500_000, 0):
+        monkeypatch.setattr(decontaminate, "MOST_SENT", most)
+        found = {(r["doc_id"], r["item_id"]): (r["n_diagonals"], r["n_matched"]) for r in decontaminate.overlaps(docs, bench).collect()}
+        assert found == expected
