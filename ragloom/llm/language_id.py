@@ -29,11 +29,17 @@ from pyspark.sql import types as T
 
 from ragloom.llm.support import narrow, steps, utf8
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter; numerals such as one half are words for a pattern, but no letters.
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
+def has_letter(text: str | None) -> bool:
+    """A character of a letter's category, as \\p{L} takes them."""
+    return text is not None and any(m.group().isalpha() for m in _WORDLIKE.finditer(text))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Of the net and its training; ``per_language`` and ``most_rows`` bound the sample."""
@@ -217,7 +223,7 @@ def predict(df: DataFrame, net: ByteNet, text: str = "text", label: str = "lang_
                 continue
             p = net.predict(*utf8(column))
             best = p.argmax(1)
-            letters = [t is not None and _LETTER.search(t) is not None for t in column.to_pylist()]
+            letters = [has_letter(t) for t in column.to_pylist()]
             names = [net.labels[b] if ok else "und" for b, ok in zip(best, letters)]
             scores = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0) if len(p) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, label, score])

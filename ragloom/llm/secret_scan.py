@@ -196,6 +196,9 @@ def is_openssh(data: bytes) -> bool:
     return parts[0] != b"none" or private[0][:4] == private[0][4:8]
 
 
+_JSON, _JSON_SPACE = json.JSONDecoder(), " \t\n\r"
+
+
 def _object(text: str) -> dict | None:
     """The JSON object that base64 letters hold."""
     data = unbase64(text)
@@ -231,16 +234,37 @@ def unbase64(text: str) -> bytes | None:
 
 
 def header_in(run: str) -> tuple[int, dict] | None:
-    """Where in the run the header of a signed token begins that ends with it, and the header."""
+    """Where in the run the header of a signed token begins that ends with it, and the header.
+
+    The run is decoded once for each of the four alignments; a start is a place in what its alignment gives.  Only an
+    object that ends where the run does, of which there is one at most, is decoded by itself.
+    """
+    decoded: dict[int, tuple[str, int] | None] = {}
     for m in _HEADER_START.finditer(run):
-        n = len(run) - m.start()
-        if n >= 12 and n % 4 != 1:
-            # Its first and last bytes tell most others apart.
-            first, last = unbase64(run[m.start() : m.start() + 8]).lstrip(), unbase64(run[-(n % 4 or 4) :]).rstrip()
-            if first[:1] in (b"", b"{") and last[-1:] in (b"", b"}"):
-                own = _object(run[m.start() :])
-                if own is not None and "alg" in own:
-                    return m.start(), own
+        start = m.start()
+        n = len(run) - start
+        if n < 12 or n % 4 == 1:
+            continue
+        align = start % 4
+        if align not in decoded:
+            data = unbase64(run[align:])
+            held = None if data is None else data.decode("latin-1")
+            decoded[align] = None if held is None else (held, len(held.rstrip(_JSON_SPACE)))
+        if decoded[align] is not None:
+            text, end = decoded[align]
+            at = (start - align) // 4 * 3
+            while at < end and text[at] in _JSON_SPACE:
+                at += 1
+            if text[end - 1 : end] != "}" or text[at : at + 1] != "{":
+                continue
+            try:
+                if _JSON.raw_decode(text, at)[1] != end:
+                    continue
+            except (ValueError, RecursionError):
+                continue
+        own = _object(run[start:])
+        if own is not None and "alg" in own:
+            return start, own
     return None
 
 

@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -550,3 +551,38 @@ def test_repetitive_texts_against_every_diagonal(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "MOST_SENT", most)
         found = {(r["doc_id"], r["item_id"]): (r["n_diagonals"], r["n_matched"]) for r in decontaminate.overlaps(docs, bench).collect()}
         assert found == expected
+
+
+def test_letters_are_letters():
+    assert not any(map(language_id.has_letter, ("½ ² ③", "Ⅷ 12", "_ 3 ٣", "", None, "①" * 1000)))
+    assert all(map(language_id.has_letter, ("½ a", "日", "ª", "ǅ", "ʰ")))
+
+
+def probabilities_by_force(net, text):
+    """Embedding, convolutions, pooling and softmax one window, place and filter at a time; windows weigh by their bytes."""
+    s, p = net.settings, net.parameters
+    data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    total = [0.0] * len(net.labels)
+    for at in range(0, len(data), s.window):
+        own = data[at : at + s.window]
+        padded = own + bytes(s.window - len(own))
+        pooled = []
+        for w in s.widths:
+            for f in range(s.filters):
+                places = range(s.window - max(s.widths) + 1)
+                most = max(sum(float(p["embedding"][padded[i + o]] @ p[f"filter{w}"][o, :, f]) for o in range(w)) for i in places)
+                pooled.append(max(0.0, most + float(p["bias"][len(pooled)])))
+        out = [sum(x * float(p["out"][k, c]) for k, x in enumerate(pooled)) + float(p["out_bias"][c]) for c in range(len(net.labels))]
+        powers = [math.exp(x - max(out)) for x in out]
+        total = [t + len(own) * x / sum(powers) for t, x in zip(total, powers)]
+    return [t / len(data) for t in total]
+
+
+def test_net_equals_a_plain_loop():
+    settings = language_id.Settings(window=40, filters=5, embedding=4)
+    net = language_id.ByteNet(settings, ["a", "b", "c"])
+    texts = ["One TEXT of some words, é and 日本.", "x" * 95, "ab"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    for found, text in zip(net.predict(data, offsets), texts):
+        assert found.tolist() == pytest.approx(probabilities_by_force(net, text), abs=1e-4)

@@ -1,6 +1,7 @@
 """Structural confirmation of secrets: made keys, near misses, and a parser of its own beside the operator's."""
 
 import base64
+import time
 import hashlib
 import hmac
 import json
@@ -136,6 +137,11 @@ def test_secrets_behind_other_letters_of_their_run():
 def test_long_texts_take_time_in_proportion():
     for text in ("eyJ" * 100_000 + ".a.b", "MI" * 100_000, "A" * 200_000, "e/" * 100_000 + ".a.b", "-----BEGIN A-----" * 20_000, "-----BEGIN A-----" + "\\n" * 100_000, "3082" * 50_000):
         assert confirmed(text) == []
+    for part in ("eyJh", base64.b64encode(b'{"a":').decode().rstrip("="), base64.b64encode(b"{} ").decode(), base64.b64encode(b"   ").decode()):
+        text = part * 100_000 + "fQ." + "e" * 20 + "." + "a" * 43
+        began = time.process_time()
+        confirmed(text)
+        assert time.process_time() - began < 20
 
 
 def tree(data):
