@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragloom.functions import text as tx
+from ragloom.operators import stretches
 from ragloom.sources.writers import staged
 
 # Sizes of the element chunker in characters.
@@ -36,18 +37,17 @@ def sliding_windows(segments: DataFrame, keys: list[str], order: str, size: int
     segment knows from its place which windows hold it, so it is sent to these alone.
     """
     step = max(1, size - overlap)
-    own = Window.partitionBy(*keys)
-    placed = segments.select(*keys, F.col(text).alias("__text"), (F.row_number().over(own.orderBy(order)) - 1).alias("__at"), F.count("*").over(own).alias("__n"))
+    rows = segments.select(*keys, F.col(text).alias("__text"), F.col(order).alias("__order"))
+    placed = stretches.placed(rows, keys, ["__order"])
     last = F.greatest(F.lit(0), F.ceil((F.col("__n") - size) / step)).cast("int")
     low = F.greatest(F.lit(0), F.ceil((F.col("__at") - size + 1) / step)).cast("int")
     high = F.least(last, F.floor(F.col("__at") / step)).cast("int")
-    dealt = placed.where(low <= high).select("*", F.explode(F.sequence(low, high)).alias("window_index"))
-    chunks = dealt.groupBy(*keys, "window_index").agg(
-        F.min("__at").alias("first"), F.max("__at").alias("last"), F.count("*").alias("n_segments"),
+    dealt = placed.where(low <= high).select("*", last.alias("__last"), F.explode(F.sequence(low, high)).alias("window_index"))
+    chunks = dealt.groupBy(*keys, "window_index", "__last").agg(
+        F.min("__at").cast("int").alias("first"), F.max("__at").cast("int").alias("last"), F.count("*").alias("n_segments"),
         F.array_join(F.transform(ordered(["__text"], "__at"), lambda s: F.coalesce(s["__text"], F.lit(""))), " ").alias("text"))
-    marked = chunks.withColumn("overlap_prev", F.when(F.col("window_index") == 0, 0).otherwise(overlap))
-    following = F.lead("overlap_prev").over(own.orderBy("window_index"))
-    return marked.withColumn("overlap_next", F.coalesce(following, F.lit(0)))
+    at = F.col("window_index")
+    return chunks.withColumn("overlap_prev", F.when(at == 0, 0).otherwise(overlap)).withColumn("overlap_next", F.when(at == F.col("__last"), 0).otherwise(overlap)).drop("__last")
 
 
 def concept_blocks(segments: DataFrame, keys: list[str], order: str, topics: str = "topics", least: int = 4, most: int = 12, text: str = "text") -> DataFrame:
@@ -90,15 +90,15 @@ def lecture_summary(lectures: DataFrame, summary: str = "summary", topics: str =
 def as_of_chapter(snippets: DataFrame, chapters: DataFrame, key: str, at: str, start: str = "chapter_start", title: str = "title") -> DataFrame:
     """Append chapter and chapter_index: the last chapter that has begun, before the first one the first, without chapters ("Unknown", -1).
 
-    Chapters are carried forward over the snippets of their video; nothing is joined by all pairs.
+    Chapters are carried forward over the snippets of their video, stretch by stretch; nothing is joined by all pairs.
     """
     marks = chapters.select(key, start, F.col(title).alias("chapter"), (F.row_number().over(Window.partitionBy(key).orderBy(start)) - 1).alias("chapter_index"))
-    first = marks.where("chapter_index = 0").select(key, F.col("chapter").alias("first_chapter"))
-    tagged = snippets.select(F.struct(*snippets.columns).alias("row"), F.col(key).alias(key), F.col(at).cast("double").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("struct<chapter:string,chapter_index:int>").alias("mark"))
-    begun = marks.select(F.lit(None).cast(tagged.schema["row"].dataType).alias("row"), key, F.col(start).cast("double").alias("t"), F.lit(0).alias("kind"), F.struct(F.col("chapter").cast("string").alias("chapter"), "chapter_index").alias("mark"))
-    last = F.last("mark", ignorenulls=True).over(Window.partitionBy(key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = tagged.unionByName(begun).withColumn("last", last).where("kind = 1").join(first, key, "left")
-    return found.select("row.*", F.coalesce("last.chapter", "first_chapter", F.lit("Unknown")).alias("chapter"), F.coalesce("last.chapter_index", F.when(F.col("first_chapter").isNotNull(), 0), F.lit(-1)).alias("chapter_index"))
+    none = F.lit(float("-inf"))  # the first chapter is there for what comes before it, too
+    tagged = snippets.select(F.struct(*snippets.columns).alias("row"), F.col(key).alias(key), F.coalesce(F.col(at).cast("double"), none).alias("t"), F.lit(1).alias("kind"), F.lit(None).cast("struct<chapter:string,chapter_index:int>").alias("mark"))
+    begins = F.when(F.col("chapter_index") == 0, none).otherwise(F.col(start).cast("double"))
+    begun = marks.select(F.lit(None).cast(tagged.schema["row"].dataType).alias("row"), key, begins.alias("t"), F.lit(0).alias("kind"), F.struct(F.col("chapter").cast("string").alias("chapter"), "chapter_index").alias("mark"))
+    found = stretches.carried(tagged.unionByName(begun), [key], ["t", "kind"], F.col("mark"), "last").where("kind = 1")
+    return found.select("row.*", F.coalesce("last.chapter", F.lit("Unknown")).alias("chapter"), F.coalesce("last.chapter_index", F.lit(-1)).alias("chapter_index"))
 
 
 # --- questions -------------------------------------------------------------------------------
@@ -172,8 +172,9 @@ def qna_chunks(blocks: DataFrame, doc: str, most: int = 800) -> DataFrame:
 def post_process(chunks: DataFrame, doc: str, order: str, text: str = "text", least: int = 0, id: str = "chunk_id") -> DataFrame:
     """Drop chunks under ``least`` estimated tokens and repeats of a text in a document, number the others anew and link them."""
     kept = chunks.where(tx.token_estimate(F.col(text)) >= least) if least else chunks
-    same = F.row_number().over(Window.partitionBy(doc, F.sha2(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), 256)).orderBy(order))
-    return numbered(kept.withColumn("__same", same).where("__same = 1").drop("__same"), doc, order, id)
+    same = F.sha2(F.regexp_replace(F.col(text), r"^\s+|\s+$", ""), 256)
+    first = kept.groupBy(doc, same.alias("__same")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in kept.columns]), order).alias("__row"))
+    return numbered(first.select("__row.*"), doc, order, id)
 
 
 def numbered(rows: DataFrame, doc: str, order: str, id: str) -> DataFrame:
@@ -196,8 +197,8 @@ def numbered(rows: DataFrame, doc: str, order: str, id: str) -> DataFrame:
 def carried_headings(lines: DataFrame, doc: str, order: list[str], text: str = "text") -> DataFrame:
     """Body lines with the last heading before them (``section``), across pages; headings themselves are dropped."""
     heading = F.when(tx.looks_like_section(F.col(text)), F.col(text))
-    own = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("__h", heading).withColumn("section", F.last("__h", ignorenulls=True).over(own)).where("__h is null").drop("__h")
+    found = stretches.carried(lines.withColumn("__h", heading), [doc], order, F.col("__h"), "section")
+    return found.where("__h is null").drop("__h")
 
 
 def document_chunks(elements: DataFrame, doc: str) -> DataFrame:
