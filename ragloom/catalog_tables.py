@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragloom.catalog import PLANNED, SCHOOL, SCORED, TOKENS, WORDS, asked_plans, query, school, spending, table, vectors_of
+from ragloom.catalog import PLANNED, SCHOOL, SCORED, SOURCE_NAMES, TOKENS, WORDS, asked_plans, query, school, spending, table, vectors_of
 from ragloom.functions import text as tx
-from ragloom.operators import cache, chunking, metrics, ocr, ranking, relational, vectors
+from ragloom.operators import cache, chunking, live, metrics, ocr, ranking, relational, vector_index, vectors
 from ragloom.plans import planner
 from ragloom.sources import files, readers, writers
+from ragloom.sources.bucket_table import BucketTable
 from ragloom.streaming import rate_limit
 
 
@@ -441,6 +442,58 @@ def m21_m27_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", *[F.round(c, 6).alias(c) for c in ("context_utilisation", "citation_coverage", "keyword_recall", "hallucination", "plan_alignment")], "length_ok")
 
 
+@query(f"""WITH c AS (SELECT {SOURCE_NAMES}[doc_id % 6 + 1] AS source, text, source AS source_file, CASE WHEN doc_id % 4 > 0 THEN lang END AS topic, CASE WHEN doc_id % 5 > 0 THEN 'x' ELSE '' END AS section_title, {WORDS.format("text")} AS w, {WORDS.format("lower(text)")} AS l FROM documents),
+f AS (SELECT source, (CASE WHEN coalesce(source_file, '') <> '' THEN 1 ELSE 0 END) AS f1, (CASE WHEN coalesce(topic, '') <> '' THEN 1 ELSE 0 END) AS f2, (CASE WHEN section_title <> '' THEN 1 ELSE 0 END) AS f3, len(w) BETWEEN 15 AND 2000 AS ok,
+  CASE WHEN len(l) = 0 THEN 0 ELSE round(least(len(list_distinct(l)) / len(l) + CAST(0.1 AS DOUBLE), 1), 4) END AS rich FROM c),
+g AS (SELECT source, ok, rich, round(CASE source WHEN 'qna' THEN (f2 + f1) / 3 WHEN 'image' THEN f1 / 2 WHEN 'audio' THEN 0 WHEN 'youtube' THEN 0 WHEN 'documents' THEN (f1 + f3) / 2 ELSE (f1 + f2) / 2 END, 4) AS filled FROM f)
+SELECT source, count(*) AS total, round(avg(filled), 4) AS completeness, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 4) AS size_ok, round(avg(rich), 4) AS richness FROM g GROUP BY GROUPING SETS ((source), ())""")
+def m35_live_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    chunks = table(spark, sf_dir, "documents").select(pick(ranking.SOURCES, doc % 6).alias("source"), "text", F.col("source").alias("source_file"), F.when(doc % 4 > 0, F.col("lang")).alias("topic"), F.when(doc % 5 > 0, "x").otherwise("").alias("section_title"))
+    return live.chunking_report(chunks)
+
+
+@query("""SELECT event_type AS stage, count(*) AS n, min(value) AS min, max(value) AS max, true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY event_type""")
+def m32_sketched_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of daily sketches, and whether the exact ranks of what they say are within the stated error."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), "value", F.col("ts").cast("timestamp").alias("ts"))
+    parts = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = live.percentiles(live.daily_sketches(events, ["stage"], "value"), ["stage"], parts)
+    both = events.join(F.broadcast(found), "stage")
+    share = lambda test: F.avg(test.cast("double"))
+    near = [((share(F.col("value") < F.col(p)) - live.RANK_ERROR <= q) & (share(F.col("value") <= F.col(p)) + live.RANK_ERROR >= q)).alias(f"{p}_near") for p, q in parts.items()]
+    return both.groupBy("stage", "n", "min", "max").agg(*near)
+
+
+@query(f"""WITH {SCORED} SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank = 1""")
+def r4_indexed_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest chunk of every query by a stored index, which is trained and written here."""
+    queries, chunks = vectors_of(spark, sf_dir)
+    path = writers.kept_path(spark, "index")
+    vector_index.create(chunks, path)
+    return vector_index.search(queries, path, 5).where("rank = 1").select("query_id", "chunk_id", "score")
+
+
+@query()
+def r4_indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest by a stored index; recall is held against the exact search in tests/test_vector_index.py."""
+    queries, chunks = vectors_of(spark, sf_dir)
+    path = writers.kept_path(spark, "index")
+    vector_index.create(chunks, path)
+    return vector_index.search(queries, path, 5)
+
+
+@query("""SELECT 'c' || (user_id % 3) AS course_id, CASE WHEN user_id % 2 = 0 THEN 'qna' ELSE 'documents' END AS namespace, 'u' || user_id AS chunk_id, max(event_id) AS version, arg_max(event_type, event_id) AS text FROM events GROUP BY user_id""")
+def k3_bucket_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of their user's chunk, upserted in three parts into a table of buckets."""
+    user = F.col("user_id")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), (user % 3).cast("string")).alias("course_id"), F.when(user % 2 == 0, "qna").otherwise("documents").alias("namespace"), F.concat(F.lit("u"), user.cast("string")).alias("chunk_id"), F.col("event_id").alias("version"), F.col("event_type").alias("text"))
+    held = BucketTable.create(spark, writers.kept_path(spark, "buckets"), "course_id string, namespace string, chunk_id string, version long, text string", buckets=4)
+    for part in (1, 0, 2):
+        held.upsert(rows.where(F.col("version") % 3 == part))
+    return held.read()
+
+
 # --- budgets ---------------------------------------------------------------------------------
 
 def bucket(capacity: float, rate: float, users: str = "true") -> str:
