@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import narrow, steps, utf8
+from ragloom.llm.support import lean, narrow, steps, utf8
 
 #: What may be a letter; numerals such as one half are words for a pattern, but no letters.
 _WORDLIKE = re.compile(r"[^\W\d_]")
@@ -228,7 +228,7 @@ def predict(df: DataFrame, net: ByteNet, text: str = "text", label: str = "lang_
             scores = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0) if len(p) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, label, score])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def identify(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", settings: Settings = Settings()) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import mix, narrow, ragged, run_hashes, spread, steps, utf8, words, written
+from ragloom.llm.support import lean, mix, narrow, ragged, run_hashes, spread, steps, utf8, words, written
 
 #: Ids up to this number (8 bytes each) are sent to all tasks to pick rows of a large table; more are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -136,7 +136,7 @@ def sketches(df: DataFrame, id: str, text: str, s: Settings) -> DataFrame:
             values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), ragged(values, np.array(ends), pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def signatures(column: pa.Array, s: Settings) -> np.ndarray:
@@ -159,7 +159,7 @@ def screened(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
             pick = pa.array(alive)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(agree[alive])], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -176,7 +176,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([batch.column(0), ragged(values, ends, pa.int64())], names=schema.names)
 
-    return written(base.mapInArrow(run, schema), "sets")
+    return written(base.mapInArrow(lean(run), schema), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -353,7 +353,7 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None  # the block that the last batch ended in
-        for batch in itertools.chain(batches, [None]):
+        for batch in itertools.chain(narrow(batches), [None]):  # with sets a row is kilobytes
             t = carried if batch is None else batch if carried is None else pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
             if t is None or not t.num_rows:
                 continue
@@ -372,7 +372,7 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
             else:
                 yield pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y)], names=["a", "b"])
 
-    return placed.mapInArrow(run, schema).distinct()
+    return placed.mapInArrow(lean(run), schema).distinct()
 
 
 def across(members: DataFrame, sigs: DataFrame, groups: Groups) -> None:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import narrow
+from ragloom.llm.support import lean, narrow
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -299,7 +299,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids") -> D
             ids = pa.array([list(map(int, c.summary(t or "")[1].split(" "))) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -314,7 +314,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
             texts = pa.array([None if i is None else c.decode(i) for i in own], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def digests(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", release: bool = False) -> DataFrame:
@@ -338,4 +338,4 @@ def digests(df: DataFrame, model: str, id: str = "doc_id", text: str = "text", r
         if release:
             c.forget()
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import narrow
+from ragloom.llm.support import lean, narrow
 
 KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
 BASE_KINDS = KINDS[:3]
@@ -368,7 +368,7 @@ def find_secrets(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if i in (3, 4) else pa.int64()) for i, c in enumerate(columns))], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
@@ -380,7 +380,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
             out = [None if t is None else redacted(t, mark) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def redacted(text: str, mark: str = "[secret]") -> str:
