@@ -7,7 +7,8 @@ smoothed along the page (between blocks of one container or of a container and i
 parent), and fused with the share of text outside links into one value a path.  Paths at
 or over a share of the page's best value are content.  Short blocks, such as headings and
 lists, that stand in a container right beside content paths belong to it, and so does all
-that an article holds whose own text is content.
+that an article holds whose own text is content.  Where the text has no title of its own, the
+one before it in a wrapper around both is its title, with what stands between, such as a byline.
 
 Containers of other matter (menu, form, advert, ...) tell themselves by tag, role, class
 or id.  This is a prior only: first the page is read as the containers claim, then every
@@ -101,11 +102,12 @@ ROUNDS = 16
 class Element:
     """An open element.  ``claim``: which claim to hold other matter it stands in, the innermost."""
 
-    __slots__ = ("tag", "path", "hard", "claim", "content", "article", "container", "above", "holder", "link")
+    __slots__ = ("tag", "path", "parent", "hard", "claim", "content", "article", "container", "above", "holder", "link")
 
     def __init__(self, tag: str, parent: Element | None):
         self.tag = tag
         self.path = 0
+        self.parent = parent
         self.hard = self.content = self.article = self.link = False
         self.claim: int | None = None
         self.container, self.above, self.holder = self, None, self
@@ -386,6 +388,46 @@ def selected(page: Page, outermost: dict[int | None, int | None]) -> list[int]:
     return [i for i, b in left if b.element.path in chosen or b.element.article and articles or b.element.tag in BESIDE and b.element.container.path in beside and not linked(b)]
 
 
+def meeting(a: Element, b: Element) -> Element | None:
+    """The innermost element around both."""
+    around = set()
+    x: Element | None = a
+    while x is not None:
+        around.add(id(x))
+        x = x.parent
+    y: Element | None = b
+    while y is not None and id(y) not in around:
+        y = y.parent
+    return y
+
+
+def headed(page: Page, kept: list[int], outermost: dict[int | None, int | None]) -> list[int]:
+    """The places of the title before the text and of what stands between them, such as a byline.
+
+    The title is the nearest h1 before the text or, where there is none, the nearest heading above the text's own; it
+    stands with the text in some element, mostly the wrapper around both.  Where that is the page's body, a menu in
+    between tells that the title is another part's.
+    """
+    if not kept or any(page.blocks[i].element.tag == "h1" for i in kept):
+        return []
+    own = lambda b: not b.element.hard and outermost[b.element.claim] is None
+    links = lambda b: 2 * b.linked >= len(b.text)
+    top = min((int(page.blocks[i].element.tag[1]) for i in kept if page.blocks[i].element.tag in HEADINGS), default=7)
+    before = [i for i in range(kept[0]) if own(page.blocks[i])]
+    heads = [i for i in before if page.blocks[i].element.tag in HEADINGS and not links(page.blocks[i])]
+    title = next((i for i in reversed(heads) if page.blocks[i].element.tag == "h1"), None)
+    if title is None:
+        title = next((i for i in reversed(heads) if int(page.blocks[i].element.tag[1]) < top), None)
+    if title is None:
+        return []
+    between = [i for i in before if i > title]
+    text = meeting(page.blocks[kept[0]].element, page.blocks[kept[-1]].element)
+    wrapper = meeting(text, page.blocks[title].element) if text is not None else None
+    if (wrapper is None or wrapper.tag in ("", "html", "body")) and any(links(page.blocks[i]) for i in between):
+        return []
+    return [title, *(i for i in between if not links(page.blocks[i]))]
+
+
 def doubted(page: Page, outermost: dict[int | None, int | None]) -> set[int]:
     """Claims that what they hold speaks against."""
     held: dict[int | None, float] = {}
@@ -405,7 +447,9 @@ def extract(html: str | None) -> str:
     lifted: set[int] = set()
     for _ in range(ROUNDS):
         outermost = page.outermost(lifted)
-        kept.update(selected(page, outermost))
+        found = selected(page, outermost)
+        kept.update(found)
+        kept.update(headed(page, found, outermost))
         doubt = doubted(page, outermost)
         if not doubt:
             break

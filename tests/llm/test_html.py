@@ -74,7 +74,7 @@ class Plain(HTMLParser):
         if text:
             path = tuple(t for t, _ in self.owner)
             holders = [n for t, n in self.owner if t not in html_text.BESIDE and t not in html_text.LISTS]
-            self.blocks.append((text, path, tuple(holders[-1:]), tuple(holders[-2:-1]), self.linked, tuple(t for t, n in self.owner if n <= holders[-1])))
+            self.blocks.append((text, path, tuple(holders[-1:]), tuple(holders[-2:-1]), self.linked, tuple(t for t, n in self.owner if n <= holders[-1]), list(self.owner)))
         self.text, self.linked = "", 0
 
     def handle_starttag(self, tag, attributes):
@@ -118,7 +118,26 @@ def chosen_by_force(page):
     good = {p for p, v in values.items() if v >= 0.3 * max(values.values())}
     beside = {b[5] for b in blocks if b[1] in good}
     kind = lambda b: b[1][-1].split(".")[0]
-    return [b[0] for b in blocks if b[1] in good or kind(b) in html_text.BESIDE and b[5] in beside and (kind(b)[0] == "h" or 2 * b[4] < len(b[0]))]
+    kept = [i for i, b in enumerate(blocks) if b[1] in good or kind(b) in html_text.BESIDE and b[5] in beside and (kind(b)[0] == "h" or 2 * b[4] < len(b[0]))]
+    return [blocks[i][0] for i in sorted({*kept, *title_by_force(blocks, kept, kind)})]
+
+
+def title_by_force(blocks, kept, kind):
+    """The nearest h1 before the text, or heading above its own, with what stands between; none over a menu in the body."""
+    level = lambda i: int(kind(blocks[i])[1]) if kind(blocks[i]) in html_text.HEADINGS else None
+    menu = lambda i: 2 * blocks[i][4] >= len(blocks[i][0])
+    levels = [level(i) for i in kept if level(i)]
+    if 1 in levels:
+        return []
+    before = [i for i in range(kept[0]) if level(i) and not menu(i)]
+    fits = [i for i in before if level(i) == 1] or [i for i in before if level(i) < min(levels, default=7)]
+    if not fits:
+        return []
+    around = [e for e in blocks[fits[-1]][6] if e in blocks[kept[0]][6] and e in blocks[kept[-1]][6]]
+    between = range(fits[-1] + 1, kept[0])
+    if around[-1][0] in ("", "html", "body") and any(map(menu, between)):
+        return []
+    return [fits[-1], *(i for i in between if not menu(i))]
 
 
 def test_ratios_equal_force():
@@ -132,7 +151,8 @@ def test_ratios_equal_force():
         if kind <= 2:
             return f"<p>{words(draw.choice([3, 10, 60]))}</p>"
         if kind == 3:
-            return f"<h2>{words(4)}</h2>"
+            level = draw.choice("1223")
+            return f"<h{level}>{words(4)}</h{level}>"
         if kind == 4:
             return f"<p><a>{words(5)}</a></p>" if draw.random() < 0.5 else f"<p>{words(9)} <a>{words(3)}</a> {words(9)}</p>"
         if kind == 5:
@@ -154,3 +174,19 @@ def test_rows_and_clashing_columns(spark):
     found = html_text.main_text(df)
     assert found.columns == ["page_id", "html", "text", "n_chars"]
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in found.collect()) == [(0, "", 0), (1, LONG, len(LONG)), (1, LONG, len(LONG))]
+
+
+TEXT = f"<p>{LONG}</p><h2>Part</h2><p>{LONG}</p>"
+
+
+@pytest.mark.parametrize("page, wanted", [
+    (f"<div class=story><h1>T</h1><div class=byline>By Ann Lee</div><div class=txt>{TEXT}</div></div>", ["T", "By Ann Lee", LONG, "Part", LONG]),
+    (f"<body>{LINKS}<div class=page><div class=header><h1>T</h1></div><div class=entry>{TEXT}</div></div><footer>Foot, all.</footer></body>", ["T", LONG, "Part", LONG]),
+    (f"<body><div class=header><h1>T</h1></div><div class=entry>{TEXT}</div></body>", ["T", LONG, "Part", LONG]),
+    (f"<body><main><h1>T</h1><div><span>By Ann</span><a>Share</a></div><div class=txt>{TEXT}</div></main></body>", ["T", "By AnnShare", LONG, "Part", LONG]),
+    (f"<body><h1>Site</h1><div>{LINKS}</div><div class=entry>{TEXT}</div></body>", [LONG, "Part", LONG]),
+    (f"<body><div class=w><h3>Title</h3><p class=lead>In short, this.</p><div class=entry><p>{LONG}</p><h4>Part</h4><p>{LONG}</p></div></div></body>", ["Title", "In short, this.", LONG, "Part", LONG]),
+    (f"<body><nav><h1>Menu</h1></nav><div class=entry><h1>Own</h1>{TEXT}</div></body>", ["Own", LONG, "Part", LONG]),
+])
+def test_titles_and_bylines_of_wrappers(page, wanted):
+    assert parts(page) == wanted
