@@ -1,19 +1,21 @@
 """Chunking of transcripts, question sheets, elements, pages and captions.
 
 Window and block chunkers are joins, windows and aggregates.  The packers, whose next cut hangs on
-the last one, run once a document over its rows in order (applyInPandas): a group is one document.
+the last one, are folds over a document's rows in order, which stream through their task.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ragloom.functions import text as tx
 from ragloom.operators import stretches
@@ -220,17 +222,50 @@ def document_chunks(elements: DataFrame, doc: str) -> DataFrame:
 
 # --- packers: one document at a time ---------------------------------------------------------
 
-def per_document(df: DataFrame, doc: str, order: str, columns: list[str], pack: Callable[[pd.DataFrame], list[dict]], out: str) -> DataFrame:
-    """Rows that ``pack`` makes of each document's rows in order, under the schema ``out`` after the document's key."""
-    schema = T.StructType([df.schema[doc], T.StructField("chunk_index", T.IntegerType()), *T.StructType.fromDDL(out).fields])
-    names = [f.name for f in schema.fields]
+#: Rows that a packer's task turns into Python values at once, and that it sends on at once.
+STREAMED = 1000
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        made = pack(pdf.sort_values(order, kind="stable"))
-        rows = [{doc: key[0], "chunk_index": i, **r} for i, r in enumerate(made)]
-        return pd.DataFrame(rows, columns=names)
 
-    return df.select(doc, order, *columns).groupBy(doc).applyInPandas(run, schema)
+def per_document(df: DataFrame, doc: str, order: str, columns: list[str], pack: Callable[[Iterator[tuple]], Iterator[dict]], out: str) -> DataFrame:
+    """Rows that ``pack`` makes of each document's rows (tuples of ``columns``) in order, under the schema ``out`` after the document's key.
+
+    Documents stream through their task in order, batch by batch, and what is packed goes on at once: of a document
+    no more is held than ``pack`` holds, so it may have any number of rows.
+    """
+    fields = T.StructType.fromDDL(out).fields
+    schema = T.StructType([df.schema[doc], T.StructField("chunk_index", T.IntegerType()), *fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, STREAMED):
+                    part = batch.slice(at, STREAMED)
+                    yield from zip(*(part.column(k).to_pylist() for k in range(part.num_columns)))
+
+        made: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), kinds)], schema=kinds)
+
+        for key, own in itertools.groupby(rows(), lambda r: r[0]):
+            for i, r in enumerate(pack(x[1:] for x in own)):
+                made.append((key, i, *(r[f.name] for f in fields)))
+                if len(made) >= STREAMED:
+                    yield batch_of()
+                    made = []
+        if made:
+            yield batch_of()
+
+    names = [F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(columns)]
+    dealt = df.select(F.col(f"`{doc}`").alias("__doc"), F.col(f"`{order}`").alias("__order"), *names).repartition("__doc").sortWithinPartitions("__doc", "__order")
+    return dealt.drop("__order").mapInArrow(run, schema)
+
+
+def released(out: list[dict]) -> Iterator[dict]:
+    """All finished rows but the last, which what follows may still join."""
+    while len(out) > 1:
+        yield out.pop(0)
 
 
 def sentence_tail(text: str, most: int) -> str:
@@ -262,21 +297,30 @@ def element_chunks(elements: DataFrame, doc: str, order: str = "at") -> DataFram
     Chunks under TINY characters join the one before them with the same anchors.
     """
 
-    def pack(pdf: pd.DataFrame) -> list[dict]:
+    def pack(rows: Iterator[tuple]) -> Iterator[dict]:
         out: list[dict] = []
         anchors = {"title": "", "heading": ""}
         held: list[tuple[str, int]] = []
         carry = ""
 
+        def add(c: dict) -> None:
+            before = out[-1] if out else None
+            if before and len(c["text"]) < TINY and not c["standalone"] and not before["standalone"] and (c["title"], c["heading"]) == (before["title"], before["heading"]):
+                before["text"] += "\n\n" + c["text"]
+                before["page_end"] = max(before["page_end"], c["page_end"])
+            else:
+                out.append(c)
+
         def flush(alone: bool = False) -> None:
             nonlocal held
             text = "\n\n".join(t for t, _ in held).strip()
             if text and not (len(held) == 1 and text == carry):
                 pages = [p for _, p in held]
-                out.append({"text": text, **anchors, "page_start": min(pages), "page_end": max(pages), "standalone": alone})
+                add({"text": text, **anchors, "page_start": min(pages), "page_end": max(pages), "standalone": alone})
             held = []
 
-        for kind, content, page in zip(pdf["kind"], pdf["content"], pdf["page"]):
+        for kind, content, page in rows:
+            yield from released(out)
             content = (content or "").strip()
             if not content:
                 continue
@@ -302,20 +346,12 @@ def element_chunks(elements: DataFrame, doc: str, order: str = "at") -> DataFram
                         held = [(carry, int(page))]
                 held.append((part, int(page)))
         flush()
-        merged: list[dict] = []
-        for c in out:
-            before = merged[-1] if merged else None
-            if before and len(c["text"]) < TINY and not c["standalone"] and not before["standalone"] and (c["title"], c["heading"]) == (before["title"], before["heading"]):
-                before["text"] += "\n\n" + c["text"]
-                before["page_end"] = max(before["page_end"], c["page_end"])
-            else:
-                merged.append(c)
-        return merged
+        yield from out
 
     return per_document(elements, doc, order, ["kind", "content", "page"], pack, "text string, title string, heading string, page_start int, page_end int, standalone boolean")
 
 
-def packed_words(paragraphs: list[str | None], most: int = 400, overlap: int = 60) -> list[list[str]]:
+def packed_words(paragraphs: Iterable[str | None], most: int = 400, overlap: int = 60) -> Iterator[list[str]]:
     """Windows of words of at most ``most`` estimated tokens; a window begins with the last ``overlap`` words of the one before.
 
     A paragraph over the limit is packed by its sentences, one long sentence by fixed runs of words.  A last
@@ -340,7 +376,8 @@ def packed_words(paragraphs: list[str | None], most: int = 400, overlap: int = 6
     for paragraph in paragraphs:
         for piece in pieces(paragraph or ""):
             if fresh and tokens(len(now) + len(piece)) > most:
-                windows.append(now)
+                yield from windows  # the one before can't change any more
+                windows = [now]
                 now, fresh = (now[-overlap:] if overlap else []), 0
             now = now + piece
             fresh += len(piece)
@@ -349,12 +386,12 @@ def packed_words(paragraphs: list[str | None], most: int = 400, overlap: int = 6
             windows[-1] = windows[-1] + now[-fresh:]
         else:
             windows.append(now)
-    return windows
+    yield from windows
 
 
 def word_windows(units: DataFrame, doc: str, order: str = "at", most: int = 400, overlap: int = 60, text: str = "text") -> DataFrame:
     """packed_words() of each document's paragraphs in their order, where they are rows of their own."""
-    pack = lambda pdf: [{"text": " ".join(w), "n_words": len(w)} for w in packed_words(list(pdf[text]), most, overlap)]
+    pack = lambda rows: ({"text": " ".join(w), "n_words": len(w)} for w in packed_words((t for (t,) in rows), most, overlap))
     return per_document(units, doc, order, [text], pack, "text string, n_words int")
 
 
@@ -382,9 +419,8 @@ def caption_chunks(snippets: DataFrame, video: str, start: str = "start", most:
     At a chapter's end a rest of at least ``least`` words is a chunk; a shorter one joins the chunk before it, and is a chunk if there is none.
     """
 
-    def pack(pdf: pd.DataFrame) -> list[dict]:
+    def pack(rows: Iterator[tuple]) -> Iterator[dict]:
         out: list[dict] = []
-        chapters = pdf[chapter] if chapter else [""] * len(pdf)
         held: list[str] = []
         begin = last = None
         fresh = 0
@@ -401,7 +437,9 @@ def caption_chunks(snippets: DataFrame, video: str, start: str = "start", most:
             held, fresh = ([] if rest or not overlap else held[-overlap:]), 0
             begin = None
 
-        for t, s, c in zip(pdf[text], pdf[start], chapters):
+        for t, s, *named in rows:
+            c = named[0] if named else ""
+            yield from released(out)
             if current is not None and c != current:
                 close(rest=True)
             current, last = c, s
@@ -412,9 +450,9 @@ def caption_chunks(snippets: DataFrame, video: str, start: str = "start", most:
                 close(rest=False)
         if current is not None:
             close(rest=True)
-        return out
+        yield from out
 
-    columns = [text, *([chapter] if chapter else [])]
+    columns = [text, start, *([chapter] if chapter else [])]
     return per_document(snippets, video, start, columns, pack, "text string, chapter string, start_sec double, end_sec double")
 
 
@@ -425,11 +463,12 @@ def timed_captions(snippets: DataFrame, video: str, start: str = "start", most:
     read, so words between the cut and these are in no chunk, and a video of fewer words than ``least`` has none.
     """
 
-    def pack(pdf: pd.DataFrame) -> list[dict]:
+    def pack(rows: Iterator[tuple]) -> Iterator[dict]:
         out: list[dict] = []
         held: list[str] = []
         begin = last = None
-        for t, s in zip(pdf[text], pdf[start]):
+        for t, s in rows:
+            yield from released(out)
             begin, last = (s if begin is None else begin), s
             held = held + (t or "").split()
             if len(held) < most:
@@ -446,9 +485,9 @@ def timed_captions(snippets: DataFrame, video: str, start: str = "start", most:
             out.append({"text": " ".join(held), "start_sec": float(begin), "end_sec": float(last)})
         elif held and out:
             out[-1]["text"] += " " + " ".join(held)
-        return out
+        yield from out
 
-    return per_document(snippets, video, start, [text], pack, "text string, start_sec double, end_sec double")
+    return per_document(snippets, video, start, [text, start], pack, "text string, start_sec double, end_sec double")
 
 
 def paragraphs(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -511,53 +550,63 @@ def window_metadata(units: DataFrame, keys: list[str], text: str = "text") -> Da
 SECTION_MOST, SECTION_SOFT, SECTION_COMBINE, SECTION_OVERLAP = 3000, 2400, 500, 200
 
 
-def section_parts(kinds: list[str], texts: list[str], most: int = SECTION_MOST, soft: int = SECTION_SOFT, combine: int = SECTION_COMBINE, overlap: int = SECTION_OVERLAP) -> list[list[tuple[int, str]]]:
-    """Chunks of a document's elements, as lists of (element, text).
+def sections(elements: Iterable[tuple[str, str | None, object]], most: int = SECTION_MOST, soft: int = SECTION_SOFT, combine: int = SECTION_COMBINE, overlap: int = SECTION_OVERLAP) -> Iterator[list[tuple]]:
+    """Chunks of a document's elements (kind, text, page), as lists of (element, text, kind, page), as they are finished.
 
     A title begins a chunk, and so does an element after ``soft`` characters, or that would go over ``most``.  An
     element that is longer than ``most`` is split by itself, at a blank where there is one, each part after the
     first beginning with the last ``overlap`` characters of the one before.  Then a chunk under ``combine``
     characters takes in the next as long as both fit.  Elements in a chunk are two characters apart.
     """
-    size = lambda chunk: sum(len(t) for _, t in chunk) + 2 * max(len(chunk) - 1, 0)
-    chunks: list[list[tuple[int, str]]] = []
-    now: list[tuple[int, str]] = []
-    split: set[int] = set()  # chunks that are parts of one element
-    for i, (kind, text) in enumerate(zip(kinds, texts)):
-        if not text:
-            continue
-        if now and (kind == "Title" or size(now) >= soft or size(now) + 2 + len(text) > most):
-            chunks.append(now)
-            now = []
-        if len(text) <= most:
-            now.append((i, text))
-            continue
-        while len(text) > most:
-            cut = text.rfind(" ", overlap + 1, most + 1)
-            cut = cut if cut > 0 else most
-            split.add(len(chunks))
-            chunks.append([(i, text[:cut])])
-            text = text[cut - overlap :] if overlap else text[cut:].lstrip()
-        split.add(len(chunks))
-        chunks.append([(i, text)])
-    if now:
-        chunks.append(now)
-    out: list[list[tuple[int, str]]] = []
-    for k, chunk in enumerate(chunks):
-        if out and k not in split and k - 1 not in split and size(out[-1]) < combine and size(out[-1]) + 2 + size(chunk) <= most:
-            out[-1] = out[-1] + chunk
+    size = lambda chunk: sum(len(e[1]) for e in chunk) + 2 * max(len(chunk) - 1, 0)
+
+    def cut() -> Iterator[tuple[list[tuple], bool]]:
+        """Chunks, and whether each is a part of one element."""
+        now: list[tuple] = []
+        for i, (kind, text, page) in enumerate(elements):
+            if not text:
+                continue
+            if now and (kind == "Title" or size(now) >= soft or size(now) + 2 + len(text) > most):
+                yield now, False
+                now = []
+            if len(text) <= most:
+                now.append((i, text, kind, page))
+                continue
+            while len(text) > most:
+                at = text.rfind(" ", overlap + 1, most + 1)
+                at = at if at > 0 else most
+                yield [(i, text[:at], kind, page)], True
+                text = text[at - overlap :] if overlap else text[at:].lstrip()
+            yield [(i, text, kind, page)], True
+        if now:
+            yield now, False
+
+    last: list[tuple] = []
+    part_before = False
+    for chunk, part in cut():
+        if last and not part and not part_before and size(last) < combine and size(last) + 2 + size(chunk) <= most:
+            last = last + chunk
         else:
-            out.append(chunk)
-    return out
+            if last:
+                yield last
+            last = chunk
+        part_before = part
+    if last:
+        yield last
+
+
+def section_parts(kinds: list[str], texts: list[str], **sizes: int) -> list[list[tuple[int, str]]]:
+    """sections() of elements without pages, as lists of (element, text)."""
+    return [[(i, t) for i, t, _, _ in chunk] for chunk in sections(((k, t, None) for k, t in zip(kinds, texts)), **sizes)]
 
 
 def title_chunks(elements: DataFrame, doc: str, order: str = "at", **sizes: int) -> DataFrame:
     """Rows of elements under the chunk that holds them: doc, chunk_index (of the rows), chunk, at, kind, text and page, as document_chunks() needs them."""
 
-    def pack(pdf: pd.DataFrame) -> list[dict]:
-        kinds, texts, pages = list(pdf["kind"]), [t or "" for t in pdf["text"]], list(pdf["page"])
-        parts = section_parts(kinds, texts, **sizes)
-        return [{"chunk": c, "at": i, "kind": kinds[i], "text": t, "page": None if pages[i] is None or pages[i] != pages[i] else int(pages[i])} for c, chunk in enumerate(parts) for i, t in chunk]
+    def pack(rows: Iterator[tuple]) -> Iterator[dict]:
+        for c, chunk in enumerate(sections(rows, **sizes)):
+            for i, t, kind, page in chunk:
+                yield {"chunk": c, "at": i, "kind": kind, "text": t, "page": page}
 
     return per_document(elements, doc, order, ["kind", "text", "page"], pack, "chunk int, at int, kind string, text string, page int")
 

@@ -66,3 +66,31 @@ def test_repeats_of_a_text_keep_the_first(spark):
 def test_no_rows(spark):
     none = frame(spark, rows(3)).limit(0)
     assert stretches.carried(none, ["doc"], ["at"], F.col("text"), "x").collect() == [] == stretches.placed(none, ["doc"], ["at"]).collect()
+
+
+def test_packers_stream_a_document_of_any_length(spark):
+    """A million elements of one document: the task gives its chunks while it reads, and they are those of the fold over a list."""
+    n = 1_000_000
+    kind = F.when(F.col("id") % 5000 == 0, "Title").when(F.col("id") % 997 == 0, "Table").otherwise("Paragraph")
+    big = spark.range(n).select(F.lit("d").alias("doc"), F.col("id").alias("at"), kind.alias("kind"), F.concat(F.lit("Text of "), F.col("id").cast("string"), F.lit(".")).alias("content"), F.lit(1).alias("page"))
+    found = chunking.element_chunks(big, "doc")
+    total = found.agg(F.count("*"), F.sum(F.length("text")), F.countDistinct("title"), F.max("chunk_index")).first()
+    assert total[0] == total[3] + 1 and total[1] > 15 * n and total[2] == 200
+    held, most = 0, 0
+    rows = ((f"paragraph number {i}",) for i in range(200_000))
+    for w in chunking.packed_words((t for (t,) in rows), 400, 60):
+        held += 1
+        most = max(most, len(w))
+    assert held > 1000 and most < 400
+
+
+def test_a_packer_reads_no_further_than_it_gives():
+    read = []
+
+    def elements():
+        for i in range(10_000):
+            read.append(i)
+            yield ("Title" if i % 50 == 0 else "Text", f"element {i}", 1)
+
+    first = next(chunking.sections(elements()))
+    assert first and len(read) < 500
