@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragloom.llm.support import lean, mix, narrow, ragged, run_hashes, spread, steps, utf8, words, written
+from ragloom.llm.support import mix, narrow, ragged, run_hashes, small_batches, spread, steps, utf8, words, written
 
 #: Ids up to this number (8 bytes each) are sent to all tasks to pick rows of a large table; more are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -136,7 +136,7 @@ def sketches(df: DataFrame, id: str, text: str, s: Settings) -> DataFrame:
             values = np.concatenate(bands) if bands else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), ragged(values, np.array(ends), pa.int64()), pa.array(sigs, pa.binary())], names=schema.names)
 
-    return base.mapInArrow(lean(run), schema)
+    return base.mapInArrow(run, schema)
 
 
 def signatures(column: pa.Array, s: Settings) -> np.ndarray:
@@ -159,7 +159,7 @@ def screened(pairs: DataFrame, sigs: DataFrame, s: Settings) -> DataFrame:
             pick = pa.array(alive)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(agree[alive])], names=schema.names)
 
-    return joined.mapInArrow(lean(run), schema)
+    return joined.mapInArrow(run, schema)
 
 
 def full_sets(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -176,7 +176,7 @@ def full_sets(nodes: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.RecordBatch.from_arrays([batch.column(0), ragged(values, ends, pa.int64())], names=schema.names)
 
-    return written(base.mapInArrow(lean(run), schema), "sets")
+    return written(base.mapInArrow(run, schema), "sets")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
@@ -372,7 +372,7 @@ def met(blocks: DataFrame, sigs: DataFrame, sets: DataFrame | None, s: Settings,
             else:
                 yield pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y)], names=["a", "b"])
 
-    return placed.mapInArrow(lean(run), schema).distinct()
+    return placed.mapInArrow(run, schema).distinct()
 
 
 def across(members: DataFrame, sigs: DataFrame, groups: Groups) -> None:
@@ -396,7 +396,16 @@ def across(members: DataFrame, sigs: DataFrame, groups: Groups) -> None:
 
 def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """id, n_shingles, component_id and kept of every row of ``df``."""
-    s = settings
+    with small_batches(df.sparkSession):
+        rows, classes, labels = grouped(df, id, text, settings)
+    placed = rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
+    placed = relabel(placed, labels, "node", "component")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return placed.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def grouped(df: DataFrame, id: str, text: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Sketches of all rows, the node of each class, and the label of each node that is linked."""
     docs = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = written(sketches(docs, "id", "text", s), "sketches")
     some = rows.where("n > 0 and id is not null")
@@ -410,8 +419,4 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", setti
     pairs = written(members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
     groups.settle(screened(pairs, sigs, s))
     across(members.where("size > 2").select("bucket", "band", "node", "n"), sigs, groups)
-
-    placed = rows.select("id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
-    placed = relabel(placed, groups.labels, "node", "component")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return placed.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return rows, classes, groups.labels

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,23 +94,16 @@ def narrow(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def give_back() -> None:
-    """Return the memory that this process has freed to the system; numpy's and Arrow's allocators keep it otherwise."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(AttributeError, OSError):  # another C library than glibc
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, after which the worker gives its memory back: workers live on for the tasks of other operators."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            give_back()
-
-    return task
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Within, jobs send at most so many rows to a worker at once: of long texts or sets the buffers of both sides stay small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def steps(sizes: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
