@@ -321,3 +321,11 @@ def test_trees_of_a_table(spark):
     found = sorted(((r.page_id, r.at, r.kind, r.text) for r in readers.tree_elements(pages).collect()), key=str)
     assert found == sorted([(1, 0, "NarrativeText", "a"), (1, 1, "NarrativeText", "b")] * 2 + [(None, 0, "Title", "c")], key=str)
     assert readers.tree_elements(pages.limit(0)).collect() == []
+
+
+def test_references_without_a_semicolon_are_text(spark):
+    html = "<h1>a&&&amp</h1><p>x &amp;lt; &lt b &copy=1 &notit; &eacute;&#65;&#x42; &#67 &unknown; &"
+    assert read(el.html_elements(html)) == [("Title", "a&&&amp", 1, None), ("NarrativeText", "x &lt; &lt b &copy=1 &notit; éAB &#67 &unknown; &", 0, None)]
+    pages = spark.createDataFrame([(1, html.replace("&eacute;&#65;&#x42;", ""))], "page_id int, html string")
+    flat = [(r.at, r.kind, r.text) for r in readers.html_elements(pages).collect()]
+    assert [(r.at, r.kind, r.text) for r in readers.tree_elements(pages).collect()] == flat
