@@ -4,7 +4,8 @@ create() trains on a bounded sample: centroids of cells by k-means over unit vec
 vector's numbers a codebook of what is left of it after its cell's centroid.  Every row is then given its cell and its
 codes and written under ``path``, parted by group of neighbouring cells and sorted by cell, with the trained tables
 beside it.  search() reads the groups and cells that its queries probe and no others: candidates are scored by
-codes (a table look-up a stretch), the best are scored again by their whole vectors, and k of them stay.
+codes (a table look-up a stretch), the best are scored again by their whole vectors, and k of them stay.  An exact
+search takes the last of these scores as a bound and looks again into every cell that could hold a row above it.
 
 At scale: the sample and the trained tables are bounded by Settings, whatever the number of rows; encoding is one pass
 without a shuffle before the write; a cell that holds a large part of all rows is dealt to parts of PART_ROWS rows.
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.operators.vectors import MOST_SENT, packed
+
 #: Names that the index gives its own columns.
 RESERVED = ("cell", "group", "part", "codes", "unit")
 #: Rows of one cell in one part, and queries that one task scores at once.
@@ -174,11 +177,57 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def search(queries: DataFrame, path: str, k: int, probes: float = 0.18, again: int = 8, query_id: str = "query_id", id: str = "chunk_id", vector: str = "embedding", where: str | None = None) -> DataFrame:
+def checked(asked: DataFrame, found: DataFrame, rows: DataFrame, t: Trained, k: int) -> DataFrame:
+    """query, id and score of every row that may be among the k most similar of a query, and of few others.
+
+    asked: query and vector; found: query, id and score, as an index gave them; rows: id, cell and vector.  The score of a
+    query's k-th found row is a bound, and by the triangle's inequality the angles of a query and of a row that passes it to
+    any centroid differ by no more than the bound's angle: of a cell whose rows are all farther off no product is taken.
+    Queries meet rows in blocks, as in dense_top_k(); of equal scores the k lowest ids of a block go on.
+    """
+    bounds = found.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-1.0).alias("bound"))
+    own = asked.join(bounds, "query", "left").select(F.struct("query", F.coalesce("bound", F.lit(-1.0)).alias("bound")).alias("asked"), "vector")
+    n = own.count()
+    wanted = packed(own.repartition(max(1, -(-n // QUERY_BLOCK))), "asked", [], "vector").select(F.col("ids").alias("asked"), F.col("matrix").alias("q_matrix"))
+    if n * t.width * 8 <= MOST_SENT:
+        wanted = F.broadcast(wanted)
+    pairs = packed(rows, "id", ["cell"], "vector").drop("width").crossJoin(wanted)
+    kind, id_kind = asked.schema["query"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, keys, matrix, asked, q_matrix = (batch.column(c).slice(i, 1) for c in range(5))
+                x, q = (np.frombuffer(m[0].as_buffer(), np.float64).reshape(-1, t.width) for m in (matrix, q_matrix))
+                ids, asked = ids.flatten(), asked.flatten()
+                names, bound = asked.field("query"), asked.field("bound").to_numpy()
+                cells = keys.flatten().field("cell").to_numpy()
+                order = np.lexsort((pa.compute.rank(ids).to_numpy(), cells))
+                x, cells = x[order], cells[order]
+                angle = lambda cosine: np.arccos(np.clip(cosine, -1.0, 1.0))
+                lean = angle((x * t.centroids[cells]).sum(1))
+                starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+                off = angle(q @ t.centroids[cells[starts]].T)
+                # Angles of nearly equal vectors are known to about 1e-8.
+                reach = angle(bound - 1.1e-6)[:, None] + 1e-7
+                open_ = (off >= np.minimum.reduceat(lean, starts) - reach) & (off <= np.maximum.reduceat(lean, starts) + reach)
+                for c, (a, b) in enumerate(zip(starts, [*starts[1:], len(x)])):
+                    if len(asking := np.flatnonzero(open_[:, c])):
+                        scores = q[asking] @ x[a:b].T
+                        at, row = np.nonzero(scores >= bound[asking, None] - 1.1e-6)
+                        kept = pd.DataFrame({"q": asking[at], "row": row + a, "score": scores[at, row]})
+                        kept = kept[kept.groupby(["q", "score"], sort=False).cumcount() < k]
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(kept["q"].to_numpy())), ids.take(pa.array(order[kept["row"].to_numpy()])), pa.array(kept["score"].to_numpy())], names=["query", "id", "score"])
+
+    return pairs.mapInArrow(run, f"query {kind}, id {id_kind}, score double").withColumn("score", F.round("score", 6))
+
+
+def search(queries: DataFrame, path: str, k: int, probes: float = 0.18, again: int = 8, query_id: str = "query_id", id: str = "chunk_id", vector: str = "embedding", where: str | None = None, exact: bool = False) -> DataFrame:
     """query_id, id, score and rank of about the k most similar rows of every query.
 
     ``probes``: cells to look into, as a part of all; ``again`` times k candidates are scored by their whole vectors.
-    ``where``: a condition on the kept columns, applied to the rows as they are read.
+    ``where``: a condition on the kept columns, applied to the rows as they are read.  ``exact``: what was found is checked
+    against all other cells (checked()), and the k most similar rows are given; equal scores are ranked by id.
     """
     spark = queries.sparkSession
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query"), F.col(vector).alias("vector"))
@@ -234,9 +283,13 @@ def search(queries: DataFrame, path: str, k: int, probes: float = 0.18, again: i
     met = best.select("query", "id", "cell", "part").join(read.select(F.col(id).alias("id"), "cell", "part", F.col(vector).cast("array<double>").alias("v")), ["cell", "part", "id"]).join(vectors, "query")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     length = F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v"))
-    exact = met.select("query", "id", F.round(F.when(length == 0, 0.0).otherwise(dot("q", "v") / F.when(length == 0, 1.0).otherwise(length)), 6).alias("score"))
+    rated = met.select("query", "id", F.round(F.when(length == 0, 0.0).otherwise(dot("q", "v") / F.when(length == 0, 1.0).otherwise(length)), 6).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("id").alias(id), "score", "rank")
+    if exact:
+        first = rated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        every = spark.read.parquet(f"{path}/rows")
+        rated = checked(asked, first, (every.where(where) if where else every).select(F.col(id).alias("id"), "cell", F.col(vector).alias("vector")), t, k)
+    return rated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias(query_id), F.col("id").alias(id), "score", "rank")
 
 
 def scored_part(queries: DataFrame, path: str, probes: float = 0.18, vector: str = "embedding") -> float:

@@ -81,3 +81,22 @@ def test_empty_and_tiny_tables(spark, tmp_path):
     assert vector_index.search(asked, str(tmp_path / "none"), 3).collect() == []
     vector_index.create(made(spark, 2), str(tmp_path / "two"))
     assert len(vector_index.search(asked, str(tmp_path / "two"), 3, probes=1.0).collect()) == 2
+
+
+def test_exact_search_equals_all_pairs(spark, tmp_path):
+    """Near copies that codes do not tell apart, copies of one vector, and single vectors, with few probes and few candidates."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 24))
+    vectors_of = [base[0] + 0.02 * rng.normal(size=24) for _ in range(300)] + [base[1]] * 150 + list(base) + [np.zeros(24)]
+    chunks = spark.createDataFrame([(i, [float(v) for v in x], f"s{i % 3}") for i, x in enumerate(vectors_of)], "chunk_id long, embedding array<float>, source string")
+    path = str(tmp_path / "index")
+    vector_index.create(chunks, path)
+    queries = chunks.where("chunk_id % 7 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 5)) for r in df.collect())
+    settings = {"probes": 0.02, "again": 1}
+    for k in (1, 4):
+        expected = rows(vectors.dense_top_k(queries, chunks, k))
+        assert k == 1 or rows(vector_index.search(queries, path, k, **settings)) != expected
+        assert rows(vector_index.search(queries, path, k, exact=True, **settings)) == expected
+    some = vectors.dense_top_k(queries, chunks.where("source = 's1'"), 4)
+    assert rows(vector_index.search(queries, path, 4, exact=True, where="source = 's1'", **settings)) == rows(some)
