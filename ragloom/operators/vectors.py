@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 QUERY_BLOCK = 500
 #: Bytes of queries that are sent to every task; more meet the chunks block by block in a shuffled product.
 MOST_SENT = 64 << 20
+#: Bytes of scores that a worker holds at once; a block's queries are taken in as many steps.
+SCORE_BYTES = 4 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,17 +68,20 @@ def packed(rows: DataFrame, id: str, by: list[str], vector: str) -> DataFrame:
     return own.mapInArrow(run, schema)
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", by: list[str] | None = None, vector: str = "embedding", where: dict | None = None) -> DataFrame:
-    """Exact top-k chunks by cosine for every query, within each value of ``by`` (such as the namespace).
+def codes_of(keys: pa.StructArray, by: list[str]) -> np.ndarray:
+    """A number for each row's values of ``by``, from 0; null is a value."""
+    codes = np.zeros(len(keys), np.int64)
+    for name in by:
+        own = keys.field(name).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        codes = np.unique(codes * (own.max() + 1) + own, return_inverse=True)[1]
+    return codes
 
-    Columns: query_id, by, chunk_id, score, rank.  Chunks are read once and packed to blocks, queries to blocks of
-    QUERY_BLOCK; blocks meet as one matrix product each, of which the top-k are kept, so what is shuffled
-    is k rows a query, group and block.  Neither passes the driver.  Equal scores are ranked by chunk id; rows
-    without a vector are in no list.
+
+def best_in_blocks(queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str, by: list[str], vector: str, buckets: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The k best chunks of every query and value of ``by``: query_id, by, chunk_id, score, rank.
+
+    ``buckets``: gives each of a matrix's rows its buckets, one of each table (rows, tables); then only rows that share a bucket count.
     """
-    by = by or []
-    if where:
-        chunks = chunks.where(filters(where))
     asked = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("vector"))
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     wanted = packed(asked.repartition(max(1, -(-size["n"] // QUERY_BLOCK))), "query", [], "vector").select(F.col("ids").alias("queries"), F.col("width").alias("q_width"), F.col("matrix").alias("q_matrix"))
@@ -86,6 +91,17 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "
     pairs = held.crossJoin(wanted)
     kind = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("key", held.schema["keys"].dataType.elementType), T.StructField("id", held.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType())])
 
+    limit = SCORE_BYTES
+
+    def best(scores: np.ndarray, groups: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        for rows in groups:
+            part = scores[:, rows] if len(groups) > 1 else scores
+            # What rounding could lift over the cut goes on too; of equal scores the k lowest ids.
+            least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - 1.1e-6 if part.shape[1] > k else np.full(len(part), -np.inf)
+            q, c = np.nonzero((part >= least[:, None]) & (part > -np.inf))
+            found = pd.DataFrame({"q": q, "c": rows[c], "score": part[q, c]})
+            yield found[found.groupby(["q", "score"], sort=False).cumcount() < k]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -96,20 +112,21 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "
                 own, asked = (np.frombuffer(m[0].as_buffer(), np.float64).reshape(-1, n) for m in (matrix, q_matrix))
                 ids, keys, names = ids.flatten(), keys.flatten(), names.flatten()
                 order = pc.sort_indices(ids).to_numpy()
-                places = pa.array(order)
-                ids, keys = ids.take(places), keys.take(places)
-                scores = asked @ own[order].T
-                codes = pd.factorize(pd.Series([tuple(v.values()) for v in keys.to_pylist()]))[0] if by else np.zeros(len(keys), np.int64)
-                for code in range(codes.max() + 1):
-                    rows = np.flatnonzero(codes == code)
-                    part = scores[:, rows]
-                    # What rounding could lift over the cut goes on too; of equal scores the k lowest ids.
-                    least = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k] - 1.1e-6 if part.shape[1] > k else np.full(len(part), -np.inf)
-                    q, c = np.nonzero(part >= least[:, None])
-                    found = pd.DataFrame({"q": q, "c": c, "score": part[q, c]})
-                    found = found[found.groupby(["q", "score"], sort=False).cumcount() < k]
-                    picked = pa.array(rows[found["c"].to_numpy()])
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(found["q"].to_numpy())), keys.take(picked), ids.take(picked), pa.array(found["score"].to_numpy())], names=kind.names)
+                own, codes = own[order], codes_of(keys, by)[order]
+                groups = [np.flatnonzero(codes == code) for code in range(codes.max() + 1)]
+                if buckets:
+                    held, met = np.ascontiguousarray(buckets(own).T), buckets(asked).T
+                step = max(1, limit // (8 * len(own)))
+                for at in range(0, len(asked), step):
+                    scores = asked[at : at + step] @ own.T
+                    if buckets:
+                        shared = np.zeros(scores.shape, bool)
+                        for h, m in zip(held, met[:, at : at + step]):
+                            shared |= m[:, None] == h
+                        scores[~shared] = -np.inf
+                    found = pd.concat(best(scores, groups))
+                    picked = pa.array(order[found["c"].to_numpy()])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(found["q"].to_numpy() + at)), keys.take(picked), ids.take(picked), pa.array(found["score"].to_numpy())], names=kind.names)
 
     found = pairs.mapInArrow(run, kind)
     order = Window.partitionBy("query", *[f"key.{b}" for b in by]).orderBy(F.desc("score"), "id")
@@ -117,29 +134,32 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "
     return ranked.select(F.col("query").alias(query_id), *[F.col(f"key.{b}").alias(b) for b in by], F.col("id").alias(chunk_id), "score", "rank")
 
 
-def hashed_top_k(queries: DataFrame, chunks: DataFrame, k: int, tables: int = 32, bits: int = 5, seed: int = 3, parts: int = 4, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """Approximate top-k: chunks that share a random-hyperplane bucket with the query are scored exactly.
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", by: list[str] | None = None, vector: str = "embedding", where: dict | None = None) -> DataFrame:
+    """Exact top-k chunks by cosine for every query, within each value of ``by`` (such as the namespace).
 
-    A join on (table, bucket) instead of a scan of all pairs; recall grows with ``tables`` and falls with ``bits``.
-    The defaults reach 0.98 of the five nearest on the driver's 2,000 vectors, where they score 0.63 of all pairs.
+    Columns: query_id, by, chunk_id, score, rank.  Chunks are read once and packed to blocks, queries to blocks of
+    QUERY_BLOCK; blocks meet as one matrix product each (in steps of SCORE_BYTES), of which the top-k are kept, so what is
+    shuffled is k rows a query, group and block.  Neither passes the driver.  Equal scores are ranked by chunk id; rows
+    without a vector are in no list.  A worker holds what travels from the JVM at once (the session's
+    spark.sql.execution.arrow.maxBytesPerBatch, or one pair of blocks), a step's scores and what it keeps of them.
     """
+    return best_in_blocks(queries, chunks.where(filters(where)) if where else chunks, k, query_id, chunk_id, by or [], vector)
+
+
+def hashed_top_k(queries: DataFrame, chunks: DataFrame, k: int, tables: int = 32, bits: int = 5, seed: int = 3, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """Approximate top-k: chunks that share a random-hyperplane bucket with the query in any table; of repeated ids one counts.
 
-    @F.pandas_udf("array<long>")
-    def buckets(vectors: pd.Series) -> pd.Series:
-        own = np.stack(vectors.to_numpy())
+    Recall grows with ``tables`` and falls with ``bits``.  The defaults reach 0.98 of the five nearest on the driver's 2,000
+    vectors, where 0.63 of all pairs share a bucket: far too many to join, so blocks meet as in dense_top_k(), buckets are
+    compared a table at a time within a step's scores, and no pair is a row.
+    """
+    kind = np.uint8 if bits <= 8 else np.int64
+
+    def buckets(own: np.ndarray) -> np.ndarray:
         planes = np.random.default_rng(seed).normal(size=(tables * bits, own.shape[1]))
-        keys = (own @ planes.T > 0).reshape(len(own), tables, bits) @ (1 << np.arange(bits))
-        return pd.Series(list(keys + (np.arange(tables) << bits)))
-
-    keyed = lambda df, id: df.where(F.col(vector).isNotNull()).select(F.col(id).alias(id), F.col(vector).alias(f"{id}_vector"), F.explode(buckets(vector)).alias("bucket"))
-    # A bucket's chunks are dealt to parts, and its queries go to each of them, so that no bucket is one task's.
-    near, own = keyed(chunks, chunk_id), keyed(queries, query_id)
-    near = near.withColumn("part", F.pmod(F.xxhash64(chunk_id), F.lit(parts)))
-    own = own.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    pairs = own.join(near, ["bucket", "part"])
-    scored = pairs.select(query_id, chunk_id, F.round(cosine(F.col(f"{query_id}_vector"), F.col(f"{chunk_id}_vector")), 6).alias("score")).dropDuplicates([query_id, chunk_id])
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), chunk_id)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ((own @ planes.T > 0).reshape(len(own), tables, bits) @ (1 << np.arange(bits))).astype(kind)
+
+    return best_in_blocks(queries.dropDuplicates([query_id]), chunks.dropDuplicates([chunk_id]), k, query_id, chunk_id, [], vector, buckets)
 
 
 def sequential_clusters(df: DataFrame, doc: str, order: str, vector: str = "embedding", threshold: float = 0.45, recent: int = 5) -> DataFrame:

@@ -69,6 +69,31 @@ def test_hashed_search_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_blocks_meet_in_steps_and_hashed_pairs_are_no_rows(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(120, 6))
+    own[40:80] = own[7]
+    chunks = spark.createDataFrame([(i, v.tolist(), f"s{i % 3}" if i % 4 else None) for i, v in enumerate(own)], "chunk_id int, embedding array<double>, part string").unionByName(spark.createDataFrame([(500, None, "s1")], "chunk_id int, embedding array<double>, part string"))
+    queries = chunks.where("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    asked = [i for i in range(120) if i % 10 == 0]
+    unit = own / np.linalg.norm(own, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    planes = np.random.default_rng(3).normal(size=(4 * 6, 6))
+    codes = (own @ planes.T > 0).reshape(120, 4, 6) @ (1 << np.arange(6))
+    met = (codes[:, None] == codes[None]).any(2)
+    hashed = {(q, c, r + 1) for q in asked for r, c in enumerate(sorted(np.flatnonzero(met[q]).tolist(), key=lambda c: (-score[q, c], c))[:4])}
+    part = lambda c: f"s{c % 3}" if c % 4 else None
+    dense = {(q, p, c, r + 1) for q in asked for p in ("s0", "s1", "s2", None) for r, c in enumerate(sorted((c for c in range(120) if part(c) == p), key=lambda c: (-score[q, c], c))[:4])}
+    for limit in (64, 4000, 1 << 22):
+        monkeypatch.setattr(vectors, "SCORE_BYTES", limit)
+        found = vectors.hashed_top_k(queries, chunks.unionByName(chunks), 4, tables=4, bits=6)
+        assert {(r.query_id, r.chunk_id, r["rank"]) for r in found.collect()} == hashed
+        assert {(r.query_id, r.part, r.chunk_id, r["rank"]) for r in vectors.dense_top_k(queries, chunks, 4, by=["part"]).collect()} == dense
+    assert "Generate" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_recall_of_the_registered_hashed_search(spark, sf):
     import os
