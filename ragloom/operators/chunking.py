@@ -224,6 +224,8 @@ def document_chunks(elements: DataFrame, doc: str) -> DataFrame:
 
 #: Rows that a packer's task turns into Python values at once, and that it sends on at once.
 STREAMED = 1000
+#: Characters of windows that text_windows() sends on at once.
+WINDOW_CHARS = 2 << 20
 
 
 def per_document(df: DataFrame, doc: str, order: str, columns: list[str], pack: Callable[[Iterator[tuple]], Iterator[dict]], out: str) -> DataFrame:
@@ -396,19 +398,28 @@ def word_windows(units: DataFrame, doc: str, order: str = "at", most: int = 400,
 
 
 def text_windows(docs: DataFrame, doc: str, text: str = "text", most: int = 400, overlap: int = 60) -> DataFrame:
-    """packed_words() of the lines of whole texts, row by row: nothing is shuffled."""
+    """packed_words() of the lines of whole texts, row by row: nothing is shuffled.  A worker makes a text after the other to Python values and sends windows on at WINDOW_CHARS."""
     base = docs.select(doc, F.col(text).alias("__text"))
     schema = T.StructType([base.schema[doc], *T.StructType.fromDDL("chunk_index int, text string, n_words int").fields])
 
+    limit = WINDOW_CHARS
+
+    def made_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, str, int]]:
+        for i, whole in enumerate(batch.column(1)):
+            for k, w in enumerate(packed_words((whole.as_py() or "").split("\n"), most, overlap)):
+                yield i, k, " ".join(w), len(w)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, made = [], []
-            for i, whole in enumerate(batch.column(1).to_pylist()):
-                for k, w in enumerate(packed_words((whole or "").split("\n"), most, overlap)):
-                    rows.append(i)
-                    made.append((k, " ".join(w), len(w)))
-            index, texts, sizes = zip(*made) if made else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], names=schema.names)
+            made, held = [], 0
+            for one in itertools.chain(made_of(batch), [None]):
+                if made and (one is None or held >= limit):
+                    rows, index, texts, sizes = zip(*made)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(texts, pa.string()), pa.array(sizes, pa.int32())], names=schema.names)
+                    made, held = [], 0
+                if one is not None:
+                    made.append(one)
+                    held += len(one[2])
 
     return base.mapInArrow(run, schema)
 

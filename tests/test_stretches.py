@@ -94,3 +94,14 @@ def test_a_packer_reads_no_further_than_it_gives():
 
     first = next(chunking.sections(elements()))
     assert first and len(read) < 500
+
+
+def test_windows_of_texts_are_sent_on_at_a_bound(spark, monkeypatch):
+    texts = [None, "", "\n".join(f"a{i} b. c" for i in range(900)), "x " * 700, "one\ntwo"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").coalesce(1)
+    expected = [(i, k, " ".join(w), len(w)) for i, t in enumerate(texts) for k, w in enumerate(chunking.packed_words((t or "").split("\n")))]
+    for limit in (1, 5000, 1 << 20):
+        monkeypatch.setattr(chunking, "WINDOW_CHARS", limit)
+        found = chunking.text_windows(docs, "doc_id")
+        assert [tuple(r) for r in found.collect()] == expected
+    assert len(expected) > 8
