@@ -5,6 +5,10 @@ The pixels themselves are read elsewhere; these operators take words, texts and
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+from re import _parser as sre
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +36,48 @@ def count(text: Column, patterns: list[str], flags: str) -> Column:
     return sum((F.regexp_count(text, F.lit(f"(?{flags}){p}")) for p in patterns), F.lit(0))
 
 
+def needed(parsed: list) -> list[list[str]]:
+    """What every match of a parsed pattern holds, in small letters: one at least of each list's texts."""
+    out, run = [], ""
+    for kind, value in [*parsed, (None, None)]:
+        if kind is sre.LITERAL:
+            run += chr(value).lower()
+            continue
+        out, run = [*out, [run]] if run else out, ""
+        if kind is sre.SUBPATTERN:
+            out += needed(value[-1])
+        elif kind is sre.BRANCH and all(each := [needed(b) for b in value[1]]):
+            out.append([w for e in each for w in e[0]])
+        elif kind is sre.IN and all(k is sre.LITERAL for k, _ in value):
+            out.append([chr(v).lower() for _, v in value])
+    return out
+
+
+def signs(own: Column, patterns: list[str], flags: str) -> Column:
+    """count() over a struct of a text and the same in small letters: a pattern is sought only in a text that holds its plain characters."""
+    found = F.lit(0)
+    for p in patterns:
+        one = count(own["text"], [p], flags)
+        told = [reduce(or_, [F.contains(own["small"], F.lit(w)) for w in words]) for words in needed(sre.parse(p))]
+        found = found + (F.when(reduce(and_, told), one).otherwise(0) if told else one)
+    return found
+
+
 def looks_like_code(text: Column) -> Column:
-    return count(F.coalesce(text, F.lit("")), CODE_SIGNS, "m") >= 3
+    own = F.coalesce(text, F.lit(""))
+    made = F.transform(F.array(F.struct(own.alias("text"), F.lower(own).alias("small"))), lambda t: signs(t, CODE_SIGNS, "m") >= 3)
+    return F.get(made, F.lit(0))
 
 
 def code_language(text: Column) -> Column:
-    """The language with the most signs, two at least; the earlier in the table wins ties."""
+    """The language with the most signs, two at least; the earlier in the table wins ties.
+
+    Prose meets few of the patterns (see signs()), and the scores are made once.
+    """
     own = F.coalesce(text, F.lit(""))
-    scores = F.array(*[F.struct(count(own, p, "im").alias("n"), F.lit(-i).alias("at"), F.lit(lang).alias("lang")) for i, (lang, p) in enumerate(LANGUAGE_SIGNS.items())])
-    best = F.array_max(scores)
-    return F.when(best["n"] >= 2, best["lang"]).otherwise("unknown")
+    scores = lambda t: F.array(*[F.struct(signs(t, p, "im").alias("n"), F.lit(-i).alias("at"), F.lit(lang).alias("lang")) for i, (lang, p) in enumerate(LANGUAGE_SIGNS.items())])
+    best = F.transform(F.array(F.struct(own.alias("text"), F.lower(own).alias("small"))), lambda t: F.array_max(scores(t)))
+    return F.get(F.transform(best, lambda b: F.when(b["n"] >= 2, b["lang"]).otherwise("unknown")), F.lit(0))
 
 
 def block_type(text: Column, top: Column, page_height: Column) -> Column:

@@ -191,3 +191,22 @@ def test_bm25_of_empty_and_tied_groups(spark):
     rows = [(1, "x y", "c1", 1, None), (1, "x y", "c2", 2, ""), (2, "", "c1", 1, "alpha beta"), (3, "alpha", "c1", 1, "alpha"), (3, "alpha", "c2", 2, "alpha beta"), (3, "alpha", "c3", 3, "gamma delta")]
     found = {(r.q, r.chunk_id): (r.bm25, r.bm25_rank) for r in ranking.bm25(spark.createDataFrame(rows, "q int, query string, chunk_id string, rank int, text string"), ["q"]).collect()}
     assert found[1, "c1"] == (0.0, 1) and found[1, "c2"] == (0.0, 2) and found[2, "c1"] == (0.0, 1) and len(found) == 6
+
+
+def test_code_is_told_by_all_signs_though_few_are_sought(spark):
+    from ragloom.operators import ocr
+
+    needed = lambda p: ocr.needed(ocr.sre.parse(p))
+    assert needed(r"\bif\s+__name__\s*==") == [["if"], ["__name__"], ["=="]] and needed(r"\bEND\b|A[xy]") == [["end", "a"]] and needed(r"[;{]\w+(a|\d)") == [[";", "{"]]
+    texts = [
+        None, "", "plain words only", "DEF f (x):\n  RETURN x;", "public static void main(String[] a) {\n  System.out.println(1);\n}", "#include <a>\nstd::cout << 1; a->b",
+        "select a\nfrom b", "SELECT a FROM b WHERE c JOIN d", "if a then\nEND while x do y\n←", "const x = 1; let y = () => { z === 1 }", "#!/bin/sh\necho $a | cat && \n \\\n", "int *p; printf (\"a\"); malloc (3)", "\u212aelvin İF THEN ıf",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    whole = F.coalesce("text", F.lit(""))
+    counts = {lang: ocr.count(whole, p, "im").alias(lang) for lang, p in ocr.LANGUAGE_SIGNS.items()}
+    rows = df.select("id", ocr.looks_like_code(F.col("text")).alias("code"), ocr.code_language(F.col("text")).alias("language"), (ocr.count(whole, ocr.CODE_SIGNS, "m") >= 3).alias("plain"), *counts.values()).collect()
+    for r in rows:
+        best = max(counts, key=lambda lang: r[lang])
+        assert (r["code"], r["language"]) == (r["plain"], best if r[best] >= 2 else "unknown")
+    assert len({r["language"] for r in rows}) >= 6
