@@ -3,6 +3,7 @@
 import collections
 import io
 import random
+import re
 import zipfile
 
 import pytest
@@ -172,6 +173,34 @@ def test_keywords_of_a_row_are_those_of_a_group(spark):
     assert {r.doc_id: r.keywords for r in keywords.document_keywords(df).collect()} == plain and plain[2] == "alpha, beta, gamma"
 
 
+def test_keywords_of_a_row_are_counted_not_sorted(spark, monkeypatch):
+    """Plain counting of odd and long texts gives the same, pieces of any size included; no occurrence is sorted or shuffled."""
+    draw = random.Random(5)
+    pool = ["".join(draw.choices("abc", k=draw.choice([1, 3, 4, 5]))) for _ in range(60)] + ["ABCD", "\u0130abcd", "\u212aelvin", "abcd\u00e9", "a\0bcde", "from", "\U0001f600", "ab-cd_e"]
+    texts = ["", None, "\0", "from these", "abcd", " abcd\0", "zeta" * 5000, *(draw.choice([" ", "\n", "\0"]).join(draw.choices(pool, k=n)) for n in (1, 2, 13, 50, 400, 3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    wanted = {}
+    for i, text in enumerate(texts):
+        found = [t for t in re.findall("[a-z]{4,}", (text or "").lower()) if t not in keywords.tx.KEYWORD_STOPWORDS]
+        wanted[i] = ", ".join(sorted(dict.fromkeys(found), key=lambda t: -found.count(t))[:12])  # noqa: B023
+    made = keywords.document_keywords(df)
+    assert {r.doc_id: r.keywords for r in made.collect()} == wanted
+    for plan in (made, keywords.caption_tags(df, "doc_id")):
+        shown = plan._jdf.queryExecution().executedPlan().toString()
+        assert "sort" not in shown.lower() and "exchange" not in shown.lower() and "lambda" not in shown
+    for step in (0, 1, 7):
+        monkeypatch.setattr(keywords, "PIECE_CHARS", step)
+        assert {r.doc_id: r.keywords for r in keywords.document_keywords(df).collect()} == wanted
+
+
+def test_terms_of_a_row_keep_its_columns_and_the_pattern_of_the_jvm(spark):
+    df = spark.createDataFrame([(1, "na\u00efve na\u00efve \u00fcber \u00bdabcd x\u0301abcd", [1], None)], "id int, text string, other array<int>, none string")
+    assert [tuple(r) for r in keywords.row_terms(df, "text", r"\p{L}{4,}", ["\u00fcber"], 2, " / ", "t").collect()] == [(1, df.first().text, [1], None, "na\u00efve / abcd")]
+    wide = keywords.row_terms(df, "text", "[a-z]*", [], 50, "|", "t").first().t.split("|")
+    assert sorted(wide) == sorted({"", "na", "ve", "ber", "abcd", "x"})
+    assert keywords.row_terms(df, "none", "[a-z]+", [], 5, out="t").first().t == ""
+
+
 def test_zip_demands_equal_ids(spark):
     chunks = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     good = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "chunk_id string, embedding array<double>")
